@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, quality, shards, url_filter
+from . import decontaminate, line_dedup, page_text, quality, secrets, sentence_pieces, shards, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_kd_shards": shards.op2_kd_shards,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op6_secret_scan": secrets.op6_secret_scan,
+    "op7_page_text": page_text.op7_page_text,
+    "op8_token_counts": token_counts.op8_token_counts,
     "op9_url_filter": url_filter.op9_url_filter,
+    "op10_sentence_pieces": sentence_pieces.op10_sentence_pieces,
 }
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE_SQL,
