@@ -27,6 +27,8 @@ RATES = {
     "word_len": ("word_chars", "n_words", 100, 100),
 }
 SPREAD, MIN_GROUP = 6, 30
+#: Rejected keys up to which they are broadcast; beyond, the planner shuffles.
+MAX_KEYS = 1_000_000
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
 
 
@@ -135,12 +137,15 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """docs without the rejected rows, columns as before. The texts are measured twice rather than shuffled once."""
-    core = docs.select("doc_id", "text", "lang", "source")
-    fences = stage(thresholds(sketches(stage(measure(core).drop("text"), "measures"))), "fences")
-    names = docs.columns
-    packed = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), "text", "lang", "source")
-    return judge(measure(packed), fences).where("kept").select("_row.*")
+    """docs without the rejected rows, columns as before. Verdicts are found on narrow rows; only their keys meet the texts again."""
+    key = F.xxhash64("text", "lang", "source")
+    core = docs.select("doc_id", "text", "lang", "source", key.alias("key"))
+    m = stage(measure(core).drop("text"), "measures")
+    out = judge(m, stage(thresholds(sketches(m)), "fences"))
+    bad = stage(out.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct(), "rejected")
+    bad = F.broadcast(bad) if bad.limit(MAX_KEYS + 1).count() <= MAX_KEYS else bad
+    keyed = docs.withColumn("_own", key)
+    return keyed.join(bad, (F.col("_own") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").drop("_own")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, page_text, quality, secrets, sentence_pieces, shards, token_counts, url_filter
+from . import decontaminate, jaccard_join, line_dedup, page_text, quality, secrets, sentence_pieces, shards, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_kd_shards": shards.op2_kd_shards,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_page_text": page_text.op7_page_text,
     "op8_token_counts": token_counts.op8_token_counts,
@@ -23,5 +24,6 @@ ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE_SQL,
     "op3_line_dedup": line_dedup.ORACLE_SQL,
     "op4_decontaminate": decontaminate.ORACLE_SQL,
+    "op5_jaccard_join": jaccard_join.ORACLE_SQL,
     "op9_url_filter": url_filter.ORACLE_SQL,
 }
