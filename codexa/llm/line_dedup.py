@@ -50,8 +50,8 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     hit = stage(hit.groupBy("doc_id", "th").agg(F.collect_set("lh").alias("_bad")), "hits")
     keyed = docs.withColumns({"_th": F.xxhash64("text"), "_id": F.col("doc_id")})
     hit = hit.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_bad")
-    # a missing id never equals another in a join: ids are compared null-safe
-    out = keyed.join(hit.withColumnRenamed("_id", "_hid").withColumnRenamed("_th", "_hth"), (F.col("_th") == F.col("_hth")) & F.col("_id").eqNullSafe(F.col("_hid")), "left")
+    # ids are compared null-safe; a merge join at every size, as the documents that hold a common line grow with the corpus
+    out = keyed.join(hit.hint("merge").withColumnRenamed("_id", "_hid").withColumnRenamed("_th", "_hth"), (F.col("_th") == F.col("_hth")) & F.col("_id").eqNullSafe(F.col("_hid")), "left")
     split = F.split("text", "\n", -1)
     kept = F.filter(split, lambda x: ~(x.rlike(THREE_WORDS) & F.array_contains(F.col("_bad"), F.xxhash64(_trim(x)))))
     cleaned = F.when(F.col("_bad").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
