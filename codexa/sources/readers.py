@@ -90,7 +90,7 @@ def parse_articles(articles: DataFrame) -> DataFrame:
         _xp(f"{art}/Journal/JournalIssue/Issue").alias("issue"), _xp(f"{art}/Pagination/MedlinePgn").alias("pages"), doi.alias("doi"), by_id("pmc").alias("pmc_id"),
         F.array_join(F.filter(F.transform(segments, part), lambda x: x != ""), " ").alias("abstract"),
     )
-    return out.withColumn("authors_str", F.array_join(F.filter(F.transform("authors", lambda a: a.name), lambda n: n != ""), ", "))
+    return out.withColumn("authors_str", F.array_join(F.filter(F.transform("authors", lambda a: a["name"]), lambda n: n != ""), ", "))
 
 
 def bibtex(spark: SparkSession, path: str) -> DataFrame:
