@@ -28,6 +28,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import components, stage, table
 
@@ -112,6 +113,17 @@ def _prints(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(32)).astype(np.uint32)
 
 
+def _planes(sorted_prints: np.ndarray) -> bytes:
+    """Gaps between sorted fingerprints, byte plane by byte plane: the high planes are zeros, which the shuffle's compression removes."""
+    gaps = np.diff(sorted_prints, prepend=np.uint32(0))
+    return gaps.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    gaps = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1)
+    return np.cumsum(gaps, dtype=np.uint32)
+
+
 def frequent_bitmap(docs: DataFrame, k: int, frequent: int) -> np.ndarray:
     """Bits of the fingerprints in more than `frequent` documents (more, if those would be over MAX_FREQUENT)."""
     bits = min(26, max(6, (docs.count() // 1000).bit_length()))
@@ -126,21 +138,21 @@ def frequent_bitmap(docs: DataFrame, k: int, frequent: int) -> np.ndarray:
             part = prints >> np.uint32(32 - bits)
             cut = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
             rows = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]].astype(np.int64)), pa.array([prints[a:b].tobytes() for a, b in rows], pa.binary()), pa.array([n[a:b].tobytes() for a, b in rows], pa.binary())], ["part", "prints", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]].astype(np.int64)), pa.array([_planes(prints[a:b]) for a, b in rows], pa.binary()), pa.array([n[a:b].tobytes() for a, b in rows], pa.binary())], ["part", "prints", "n"])
 
         total = 0
         for batch in batches:
             for _, sets in sets_of(batch, 0, k):
                 held.extend(_prints(s) for s in sets if len(s))
                 total += sum(map(len, sets))
-                if total > 2_000_000:
+                if total > 4_000_000:
                     yield flush()
                     total = 0
         if held:
             yield flush()
 
     def merge(group: pa.Table) -> pa.Table:
-        prints = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in group.column("prints")])
+        prints = np.concatenate([_from_planes(x.as_py()) for x in group.column("prints")])
         n = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in group.column("n")]).astype(np.int64)
         order = np.argsort(prints, kind="stable")
         prints, n = prints[order], n[order]
@@ -185,7 +197,10 @@ def _id_type(docs: DataFrame) -> str:
 
 
 def index(docs: DataFrame, k: int, percent: int, frequent: int, combine: int) -> DataFrame:
-    """Rows of kind 0 (doc_id, n, d1, d2: a document and its node), 1 (d1, d2, n, key: rare) and 2 (frequent); staged."""
+    """Rows of kind 0 (doc_id, n, d1, d2: a document and its node), 1 (d1, n, key, pos: rare) and 2 (d1, key: frequent); staged.
+
+    Keys carry the first half of the digest only: nodes that share it are all compared.
+    """
     bitmap = docs.sparkSession.sparkContext.broadcast(frequent_bitmap(docs, k, frequent))  # 8 MB, always
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +210,7 @@ def index(docs: DataFrame, k: int, percent: int, frequent: int, combine: int) ->
                 every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 place = every >> np.uint64(64 - BITMAP_BITS)
                 hot = (bits[place >> np.uint64(3)] >> (7 - (place & np.uint64(7)).astype(np.uint8))) & 1 == 1
-                kinds, n_of, digest, keys, rows = [], [], [], [], []
+                kinds, n_of, digest, keys, rows, pos = [], [], [], [], [], []
                 a = 0
                 for i, s in enumerate(sets):
                     d = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else b""
@@ -206,28 +221,48 @@ def index(docs: DataFrame, k: int, percent: int, frequent: int, combine: int) ->
                     keys += [np.zeros(1, np.uint64), one, two]
                     n_of.append(np.full(m, len(s), np.int64))
                     digest.append(np.tile(np.frombuffer(d or bytes(16), np.int64), (m, 1)))
+                    digest[-1][1:, 1] = 0
+                    pos += [np.zeros(1, np.int32), np.arange(len(one), dtype=np.int32), np.zeros(len(two), np.int32)]
                     rows.append(np.full(m, at + i))
                 digest = np.concatenate(digest)
                 kinds = np.concatenate(kinds)
                 ids = batch.column(0).take(pa.array(np.concatenate(rows)))
                 ids = pa.compute.if_else(pa.array(kinds == 0), ids, None)
-                yield pa.RecordBatch.from_arrays([pa.array(kinds), ids, pa.array(np.concatenate(n_of)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(np.concatenate(keys).view(np.int64))], ["kind", "doc_id", "n", "d1", "d2", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(kinds), ids, pa.array(np.concatenate(n_of)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(pos))], ["kind", "doc_id", "n", "d1", "d2", "key", "pos"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, f"kind byte, doc_id {_id_type(docs)}, n long, d1 long, d2 long, key long")
+    rows = docs.select("doc_id", "text").mapInArrow(run, f"kind byte, doc_id {_id_type(docs)}, n long, d1 long, d2 long, key long, pos int")
     return stage(rows, "index")
 
 
 def fetch_sets(docs: DataFrame, need: DataFrame, k: int) -> DataFrame:
-    """need(node) -> node, n, set (bytes) of the documents with those ids; staged."""
+    """need(node, d1, d2) -> node, set (bytes) of the documents with those ids and digests; staged. A repeated row gives its set again."""
     few = need.limit(MAX_IDS + 1).count() <= MAX_IDS
-    found = docs.select(F.col("doc_id").alias("node"), "text").join(F.broadcast(need) if few else need, "node")
+    found = docs.select(F.col("doc_id").alias("node"), "text").join(F.broadcast(need) if few else need, "node").select("node", "text", "d1", "d2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, sets in sets_of(batch, 1, k):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "set"])
+                raw = [s.tobytes() for s in sets]
+                own = np.array([np.frombuffer(hashlib.blake2b(r, digest_size=16).digest(), np.int64) for r in raw])
+                same = (own[:, 0] == batch.column(2).slice(at, len(sets)).to_numpy()) & (own[:, 1] == batch.column(3).slice(at, len(sets)).to_numpy())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array(raw, pa.binary())], ["node", "set"]).filter(pa.array(same))
+
+    return stage(found.mapInArrow(run, f"node {_id_type(docs)}, set binary"), "sets")
+
+
+def candidate_pairs(rare: DataFrame, percent: int) -> DataFrame:
+    """rare(key, d1, n, pos) -> (d1, e1) whose sets can still be similar enough.
 
-    return stage(found.mapInArrow(run, f"node {_id_type(docs)}, n long, set binary").dropDuplicates(["node"]), "sets")
+    One shuffle by key drops the keys of a single document. What a pair shares up to its last common key is known exactly, as both sets are in the same
+    order, so their overlap is at most that number plus what follows.
+    """
+    seen = F.count("*").over(W.partitionBy("key"))
+    key = stage(rare.withColumn("c", seen).where("c > 1").select("key", "d1", "n", "pos"), "keys").distinct()
+    other = key.select("key", F.col("d1").alias("e1"), F.col("n").alias("m"), F.col("pos").alias("qos"))
+    close = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("d1") < F.col("e1"))
+    pairs = key.join(other, "key").where(close).groupBy("d1", "e1", "n", "m").agg(F.count("*").alias("c"), F.max("pos").alias("i"), F.max("qos").alias("j"))
+    most = F.col("c") + F.least(F.col("n") - F.col("i") - 1, F.col("m") - F.col("j") - 1)
+    return pairs.where((100 + percent) * most >= percent * (F.col("n") + F.col("m"))).select("d1", "e1")
 
 
 def _linked(shared, a, b, percent: int):
@@ -309,20 +344,16 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, fr
     rows = index(docs, words, percent, frequent, combine)
     members = rows.where("kind = 0").select("doc_id", "n", "d1", "d2")
     nodes = stage(members.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.max("n").alias("n")), "nodes")
-    key = rows.where("kind = 1").select("key", "d1", "d2", "n").distinct()
-    other = key.select("key", F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("n").alias("m"))
-    close = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & ((F.col("d1") < F.col("e1")) | ((F.col("d1") == F.col("e1")) & (F.col("d2") < F.col("e2"))))
-    pairs = key.join(other, "key").where(close).select("d1", "d2", "e1", "e2").distinct()
-    name = nodes.select("d1", "d2", F.col("node").alias("a"))
-    pairs = pairs.join(name, ["d1", "d2"]).join(name.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("a").alias("b")), ["e1", "e2"])
+    name = nodes.select("d1", F.col("node").alias("a"))
+    pairs = candidate_pairs(rows.where("kind = 1").select("key", "d1", "n", "pos"), percent)
+    pairs = pairs.join(name, "d1").join(name.select(F.col("d1").alias("e1"), F.col("a").alias("b")), "e1")
     pairs = stage(pairs.select("a", "b"), "pairs")
-    tied = rows.where("kind = 2").select("key", "d1", "d2").distinct().join(name, ["d1", "d2"]).select("key", F.col("a").alias("node"))
-    tied = stage(tied, "tied")
+    tied = stage(rows.where("kind = 2").select("key", "d1").distinct().join(name, "d1").select("key", F.col("a").alias("node")), "tied")
     least = tied.groupBy("key").agg(F.min("node").alias("least"))
     clusters = components(tied.join(least, "key").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
     need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(clusters.select("node")).distinct()
-    sets = fetch_sets(docs, stage(need, "need"), words)
-    links = verify_pairs(pairs, sets, percent).union(block_links(clusters, sets, percent))
+    sets = fetch_sets(docs, stage(need.join(nodes, "node").select("node", "d1", "d2"), "need"), words)
+    links = stage(verify_pairs(pairs, sets, percent).union(block_links(clusters, sets, percent)), "links")
     comps = components(links)
     named = nodes.join(comps, "node", "left").select("d1", "d2", F.coalesce("comp", "node").alias("comp"))
     out = members.join(named, ["d1", "d2"], "left")
