@@ -22,7 +22,7 @@ from .common import SPACE_RE, split_words, stage, table
 #: rate -> (numerator, denominator, scale, slack)
 RATES = {
     "symbol_pm": ("n_symbols", "word_chars", 1000, 50),
-    "dup_line_pm": ("n_dup_lines", "n_lines", 1000, 300),
+    "dup_line_pm": ("n_dup_lines", "n_lines", 1000, 600),
     "upper_pm": ("n_upper", "word_chars", 1000, 200),
     "word_len": ("word_chars", "n_words", 100, 100),
 }
