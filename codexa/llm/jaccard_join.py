@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import components, stage, table
+from .common import components, frugal, stage, table
 
 WORDS, PERCENT = 4, 85
 FREQUENT, COMBINE = 16, 64
@@ -161,7 +161,7 @@ def frequent_bitmap(docs: DataFrame, k: int, frequent: int) -> np.ndarray:
         hot = sums > frequent
         return pa.table({"print": prints[first][hot].astype(np.int64), "n": np.minimum(sums[hot], 1_000_000)})
 
-    parts = docs.select("text").where("text is not null").mapInArrow(count, "part long, prints binary, n binary")
+    parts = docs.select("text").where("text is not null").mapInArrow(frugal(count), "part long, prints binary, n binary")
     hot = stage(parts.groupBy("part").applyInArrow(merge, "print long, n long"), "frequent")
     sizes = hot.groupBy(F.log2("n").cast("int").alias("b")).count().collect()  # a few rows
     least, left = 0, sum(r["count"] for r in sizes)
@@ -230,7 +230,7 @@ def index(docs: DataFrame, k: int, percent: int, frequent: int, combine: int) ->
                 ids = pa.compute.if_else(pa.array(kinds == 0), ids, None)
                 yield pa.RecordBatch.from_arrays([pa.array(kinds), ids, pa.array(np.concatenate(n_of)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(pos))], ["kind", "doc_id", "n", "d1", "d2", "key", "pos"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, f"kind byte, doc_id {_id_type(docs)}, n long, d1 long, d2 long, key long, pos int")
+    rows = docs.select("doc_id", "text").mapInArrow(frugal(run), f"kind byte, doc_id {_id_type(docs)}, n long, d1 long, d2 long, key long, pos int")
     return stage(rows, "index")
 
 
@@ -247,7 +247,7 @@ def fetch_sets(docs: DataFrame, need: DataFrame, k: int) -> DataFrame:
                 same = (own[:, 0] == batch.column(2).slice(at, len(sets)).to_numpy()) & (own[:, 1] == batch.column(3).slice(at, len(sets)).to_numpy())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array(raw, pa.binary())], ["node", "set"]).filter(pa.array(same))
 
-    return stage(found.mapInArrow(run, f"node {_id_type(docs)}, set binary"), "sets")
+    return stage(found.mapInArrow(frugal(run), f"node {_id_type(docs)}, set binary"), "sets")
 
 
 def candidate_pairs(rare: DataFrame, percent: int) -> DataFrame:
@@ -284,7 +284,7 @@ def verify_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     kind = sets.schema["node"].dataType.simpleString()
-    return both.mapInArrow(run, f"a {kind}, b {kind}")
+    return both.mapInArrow(frugal(run), f"a {kind}, b {kind}")
 
 
 def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:

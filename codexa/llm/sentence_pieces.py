@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import frugal, table
 from .token_counts import MARK, Units, groups, loaded, model_path
 
 KNOWN_UNITS, LONG_UNIT = 300_000, 64
@@ -225,7 +225,7 @@ def encode_decode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFra
     fields = [StructField("n_pieces", LongType()), StructField("n_byte_pieces", LongType()), StructField("ids_sha256", StringType()), StructField("round_trip", BooleanType())]
     fields += [StructField("token_ids", ArrayType(IntegerType()))] * with_ids
     added = [f.name for f in fields]
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *fields]))
+    return docs.mapInArrow(frugal(run), StructType([*docs.schema.fields, *fields]))
 
 
 def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
