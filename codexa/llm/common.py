@@ -40,10 +40,19 @@ def release() -> None:
         trim(0)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
+    """Bound the Arrow batches of this session, which live outside the heap in the JVM and again in the worker. Smaller settings of the user stay."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A mapInArrow function that releases its memory at the end of each task."""
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if limit := getattr(ctypes.CDLL(None), "mallopt", None):
+            limit(-3, 1 << 20)  # M_MMAP_THRESHOLD: arrays over 1 MB go back at once when freed
         try:
             yield from run(batches)
         finally:

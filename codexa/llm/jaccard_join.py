@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import components, frugal, stage, table
+from .common import bounded_batches, components, frugal, stage, table
 
 WORDS, PERCENT = 4, 85
 FREQUENT, COMBINE = 16, 64
@@ -340,6 +340,7 @@ def block_links(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, frequent: int = FREQUENT, combine: int = COMBINE) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id; documents link when 100 * shared >= percent * union."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     rows = index(docs, words, percent, frequent, combine)
     members = rows.where("kind = 0").select("doc_id", "n", "d1", "d2")

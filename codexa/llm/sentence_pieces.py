@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import frugal, table
+from .common import bounded_batches, frugal, table
 from .token_counts import MARK, Units, groups, loaded, model_path
 
 KNOWN_UNITS, LONG_UNIT = 300_000, 64
@@ -199,6 +199,7 @@ def encode_decode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFra
     """docs with n_pieces, n_byte_pieces, ids_sha256 (of the comma-joined ids), round_trip and, if asked, token_ids."""
     from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
+    bounded_batches(docs.sparkSession)
     names = docs.columns
     trie = docs.sparkSession.sparkContext.broadcast(loaded(Pieces, path).trie)  # as large as the vocabulary, not the data
 
