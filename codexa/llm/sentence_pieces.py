@@ -111,7 +111,7 @@ class Pieces:
         edges = [0, 8, 12, 16, 24, 32, 64]
         for lo, hi in zip(edges, [*edges[1:], None], strict=True):
             rows = np.flatnonzero((sizes > lo) & (sizes <= (hi or sizes.max(initial=0))))
-            step = 50_000 if hi else 16
+            step = 12_000 if hi else 16
             rows = rows[np.argsort(sizes[rows], kind="stable")]
             for a in range(0, len(rows), step):
                 part = rows[a : a + step]
