@@ -1,6 +1,6 @@
 """Cross-site line removal by distinct-site spread (operator 3).
 
-Method. Lines (split at \\n, trimmed, three words or more) are hashed; a HyperLogLog sketch of the sites is kept for each hash and
+Method. Lines (split at \\n, trimmed, not blank) are hashed; a HyperLogLog sketch of the sites is kept for each hash and
 sketches merge by aggregation. A line whose estimate clears `min_sites` by more than the sketch's error is boilerplate, one
 below by more is not; for lines within the error band the sites are counted exactly. All occurrences of boilerplate lines leave
 the texts; other lines stay as they are, byte by byte.
@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from .common import SPACE, stage, table
 
 MIN_SITES, LG_K = 10, 12
-THREE_WORDS = "[^ \\t\\n\\x0B\\f\\r][ \\t\\x0B\\f\\r]+[^ \\t\\n\\x0B\\f\\r]+[ \\t\\x0B\\f\\r]+[^ \\t\\n\\x0B\\f\\r]"
 
 
 def _trim(line: Column) -> Column:
@@ -27,7 +26,7 @@ def _trim(line: Column) -> Column:
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), site and the hash of each distinct line of a text."""
     site = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    hashes = F.array_distinct(F.transform(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(THREE_WORDS)), lambda x: F.xxhash64(_trim(x))))
+    hashes = F.array_distinct(F.transform(F.filter(F.transform(F.split("text", "\n", -1), _trim), lambda x: x != ""), lambda x: F.xxhash64(x)))
     return docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), site.alias("site"), F.explode(hashes).alias("lh"))
 
 
@@ -53,7 +52,7 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     # ids are compared null-safe; a merge join at every size, as the documents that hold a common line grow with the corpus
     out = keyed.join(hit.hint("merge").withColumnRenamed("_id", "_hid").withColumnRenamed("_th", "_hth"), (F.col("_th") == F.col("_hth")) & F.col("_id").eqNullSafe(F.col("_hid")), "left")
     split = F.split("text", "\n", -1)
-    kept = F.filter(split, lambda x: ~(x.rlike(THREE_WORDS) & F.array_contains(F.col("_bad"), F.xxhash64(_trim(x)))))
+    kept = F.filter(split, lambda x: ~((_trim(x) != "") & F.array_contains(F.col("_bad"), F.xxhash64(_trim(x)))))
     cleaned = F.when(F.col("_bad").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     out = out.withColumns({
         "_clean": cleaned,
