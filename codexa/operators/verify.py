@@ -5,12 +5,18 @@ Missing side of a comparison is never a mismatch; a failed lookup is never 'veri
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codexa.functions import text as T
 
 TITLE_THRESHOLD = 0.55
+COMMON = 200_000
 STATUSES = ["verified", "mismatch", "partial", "not_found", "error"]
 ISSUE = "struct<field:string,supplied:string,canonical:string,source:string,severity:string>"
 FIELDS = ["doi", "pmid", "title", "first_author", "all_authors", "year", "journal", "volume", "issue", "pages", "lookup_error"]
@@ -67,23 +73,79 @@ def decide_status(resolved: Column, issues: Column, errors: Column) -> Column:
     return F.when(~resolved, F.when(F.size(errors) > 0, "error").otherwise("not_found")).when(F.size(issues) > 0, "mismatch").when(F.size(errors) > 0, "partial").otherwise("verified")
 
 
-def title_candidates(refs: DataFrame, crossref: DataFrame, least: float = TITLE_THRESHOLD) -> DataFrame:
+def _staged(df: DataFrame, what: str) -> DataFrame:
+    """df written to the folder of spark.checkpoint.dir and read back."""
+    spark = df.sparkSession
+    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints/codexa').rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _rare_first(sets: DataFrame) -> DataFrame:
+    """sets(node, ts) with ts in one order for all: rare tokens by hash, then the COMMON most frequent ones, the most frequent last."""
+    seen = sets.select(F.explode("ts").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    top = seen.orderBy(F.desc("n"), "h").limit(COMMON).select("h", "n").toArrow()  # COMMON rows at most
+    h, n = top.column("h").to_numpy(), top.column("n").to_numpy()
+    at = np.argsort(h)
+    order = np.empty(len(h), np.int64)
+    order[np.lexsort((h, n))] = np.arange(1, len(h) + 1)
+    known = sets.sparkSession.sparkContext.broadcast((h[at], order[at]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, place = known.value
+        for batch in batches:
+            ts = batch.column(1)
+            flat, sizes = ts.flatten().to_numpy(), ts.value_lengths().to_numpy()
+            key = np.zeros(len(flat), np.int64)
+            if len(common):
+                i = np.minimum(np.searchsorted(common, flat), len(common) - 1)
+                key = np.where(common[i] == flat, place[i], 0)
+            flat = flat[np.lexsort((flat, key, np.repeat(np.arange(len(sizes)), sizes)))]
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "ts"])
+
+    return sets.select("node", "ts").mapInArrow(run, "node long, ts array<long>")
+
+
+def title_candidates(refs: DataFrame, crossref: DataFrame, least: float = TITLE_THRESHOLD, same: bool = False) -> DataFrame:
     """key -> the most similar title (Jaccard of tokens, then DOI), by equi-joins on prefix tokens: a pair of at least `least` shares one of the
-    first n - ceil(least n) + 1 tokens in a fixed order, here by hash."""
-    tokens = F.transform(F.array_sort(F.transform(T.tokens(F.col("title")), lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("t")))), lambda x: x.t)
-    keyed = refs.select("key", tokens.alias("ts")).where("size(ts) > 0")
-    # equal titles are compared once: each distinct token set stands for its least DOI
-    canon = crossref.select("doi", tokens.alias("us")).where("size(us) > 0").groupBy("us").agg(F.min("doi").alias("doi"))
-
-    def prefix(df: DataFrame, c: str) -> DataFrame:
-        keep = (F.size(c) - F.ceil(F.lit(least) * F.size(c) - 1e-9) + 1).cast("int")
-        return df.withColumn("t", F.explode(F.slice(c, F.lit(1), keep)))
-
-    near = F.least(F.size("ts"), F.size("us")) >= F.lit(least) * F.greatest(F.size("ts"), F.size("us")) - 1e-9
-    pairs = prefix(keyed.select("ts").distinct(), "ts").join(prefix(canon, "us"), "t").where(near).select("ts", "us", "doi").distinct()
-    scored = pairs.withColumn("similarity", T.jaccard(F.col("ts"), F.col("us"))).where(F.col("similarity") >= least)
-    best = scored.groupBy("ts").agg(F.min_by(F.struct("doi", "similarity"), F.struct(-F.col("similarity"), "doi")).alias("x"))
-    return keyed.join(best, "ts").select("key", F.col("x.doi").alias("found_doi"), F.col("x.similarity").alias("similarity"))
+    first n - ceil(least n) + 1 tokens in a fixed order, here rare ones first. What a pair shares up to its last common prefix token is known exactly, so
+    its overlap is at most that number plus what follows. Equal titles need no search; each distinct token set is compared once. Tokens and token sets are
+    compared by 64-bit hashes. same: keys and DOIs name the same rows, and no row is matched with its own name."""
+    tokens = F.array_sort(F.array_distinct(F.transform(T.tokens(F.col("title")), lambda x: F.xxhash64(x))))
+
+    def hashed(df: DataFrame, name: str) -> DataFrame:
+        return _staged(df.select(name, tokens.alias("ts")).where("size(ts) > 0").select(name, F.xxhash64("ts").alias("node"), "ts"), "titles")
+
+    refs = hashed(refs, "key")
+    canon = refs.withColumnRenamed("key", "doi") if same else hashed(crossref, "doi")
+    named = canon.groupBy("node").agg(F.min("doi").alias("doi"))
+    if same:
+        rest = canon.select("node", F.col("doi").alias("d")).join(named, "node").where("d <> doi").groupBy("node").agg(F.min("d").alias("next"))
+        named = named.join(rest, "node", "left")
+    named = _staged(named, "named")
+    own = F.when(F.col("doi") != F.col("key"), F.col("doi")).otherwise(F.col("next")) if same else F.col("doi")
+    exact = refs.select("key", "node").join(named, "node", "left").select("key", "node", own.alias("found_doi"))
+    alone = exact.where("found_doi is null").select("key", "node")
+    ts = refs.select("node", "ts") if same else refs.select("node", "ts").union(canon.select("node", "ts"))
+    sets = _staged(_rare_first(ts.groupBy("node").agg(F.any_value("ts").alias("ts"))), "sets").withColumn("n", F.size("ts"))
+    keep = (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).cast("int")
+    prefix = sets.select("node", "n", F.posexplode(F.slice("ts", F.lit(1), keep)).alias("pos", "t"))
+    x = prefix.join(alone.select("node").distinct(), "node", "left_semi").select("t", F.col("node").alias("a"), "n", F.col("pos").alias("i"))
+    y = (prefix if same else prefix.join(named, "node", "left_semi")).select("t", F.col("node").alias("b"), F.col("n").alias("m"), F.col("pos").alias("j"))
+    near = (F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - 1e-9) & (F.col("a") != F.col("b"))
+    # the first common token of a pair leaves room for the whole overlap behind it in both sets
+    near = near & (F.lit(1 + least) * F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= F.lit(least) * (F.col("n") + F.col("m")) - 1e-9)
+    pairs = x.join(y, "t").where(near).groupBy("a", "b", "n", "m").agg(F.count("*").alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))
+    most = F.col("c") + F.least(F.col("n") - F.col("i") - 1, F.col("m") - F.col("j") - 1)
+    pairs = pairs.where(F.lit(1 + least) * most >= F.lit(least) * (F.col("n") + F.col("m")) - 1e-9).select("a", "b")
+    both = _staged(pairs, "pairs").join(sets.select(F.col("node").alias("a"), F.col("ts").alias("p")), "a").join(sets.select(F.col("node").alias("b"), F.col("ts").alias("q")), "b")
+    shared = F.size(F.array_intersect("p", "q"))
+    scored = both.select("a", "b", (shared / (F.size("p") + F.size("q") - shared)).alias("similarity")).where(F.col("similarity") >= least)
+    scored = scored.join(named.select(F.col("node").alias("b"), "doi"), "b")
+    best = scored.groupBy(F.col("a").alias("node")).agg(F.min_by(F.struct("doi", "similarity"), F.struct(-F.col("similarity"), "doi")).alias("x"))
+    found = alone.join(best, "node").select("key", F.col("x.doi").alias("found_doi"), F.col("x.similarity").alias("similarity"))
+    return exact.where("found_doi is not null").select("key", "found_doi", F.lit(1.0).alias("similarity")).union(found)
 
 
 def verify(refs: DataFrame, crossref: DataFrame, doi_pmid: DataFrame, pubmed: DataFrame) -> DataFrame:

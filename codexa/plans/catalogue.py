@@ -304,10 +304,8 @@ _TT = f"t as (select id, list_distinct(list_filter(string_split({_NORM.replace('
 @query(f"""with {_TT}, u as (select id, unnest(ts) as w from t), c as (select a.id as x, b.id as y, count(*) as k from u a join u b on a.w = b.w and a.id % 2 = 0 and b.id % 2 = 1 group by 1, 2),
 s as (select x, y, k / (len(a.ts) + len(b.ts) - k) as j from c join t a on a.id = x join t b on b.id = y) select x::varchar as key, arg_min(y::varchar, (-j, y::varchar)) as found_doi, round(max(j), 9) as similarity from s where j >= 0.55 group by 1""")
 def title_similarity_pairs(spark, d):
-    t = read(spark, d, "documents").select("doc_id", F.left("text", F.lit(80)).alias("title"))
-    refs = t.where("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("key"), "title")
-    canon = t.where("doc_id % 2 = 1").select(F.col("doc_id").cast("string").alias("doi"), "title")
-    return verify.title_candidates(refs, canon).select("key", "found_doi", F.round("similarity", 9).alias("similarity"))
+    t = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("key"), F.col("text").alias("title"))
+    return verify.title_candidates(t, t.withColumnRenamed("key", "doi"), same=True).select("key", "found_doi", F.round("similarity", 9).alias("similarity"))
 
 
 _PG = "(select l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_partkey + 100)::varchar || '-' || (l_suppkey % 10)::varchar as s from lineitem)"
