@@ -255,7 +255,7 @@ def dedupe_pmid(spark, d):
 
 @query("with k as (select doc_id::varchar as pmid, regexp_replace(translate(left(text, 60), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]', '', 'g') as title_key from documents) select title_key, string_agg(pmid, ',' order by pmid) as pmids from k where title_key <> '' group by 1 having count(*) > 1")
 def title_duplicate_groups(spark, d):
-    t = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("pmid"), F.left("text", F.lit(60)).alias("title"))
+    t = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("pmid"), F.col("text").alias("title"))
     return identity.title_duplicates(t).select("title_key", F.array_join("pmids", ",").alias("pmids"))
 
 

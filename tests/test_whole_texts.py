@@ -58,3 +58,12 @@ def test_title_candidates_between_two_tables(spark, monkeypatch, common):
     canon = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(b)], "doi string, title string")
     got = {r["key"]: (r["found_doi"], round(r["similarity"], 9)) for r in verify.title_candidates(refs, canon).collect()}
     assert got == brute([(f"k{i}", tokens(t)) for i, t in enumerate(a)], [(f"d{i}", tokens(t)) for i, t in enumerate(b)], False)
+
+
+def test_title_duplicates_on_whole_texts(spark, folder):
+    want = {}
+    for i, t in enumerate(texts()):
+        if key := re.sub("[^a-z0-9]", "", (t or "").lower()):
+            want.setdefault(key, []).append(str(i))
+    got = {r["title_key"]: r["pmids"] for r in catalogue.title_duplicate_groups(spark, folder).collect()}
+    assert got == {k: ",".join(sorted(v)) for k, v in want.items() if len(v) > 1}
