@@ -67,3 +67,11 @@ def test_title_duplicates_on_whole_texts(spark, folder):
             want.setdefault(key, []).append(str(i))
     got = {r["title_key"]: r["pmids"] for r in catalogue.title_duplicate_groups(spark, folder).collect()}
     assert got == {k: ",".join(sorted(v)) for k, v in want.items() if len(v) > 1}
+
+
+def test_date_iso_on_whole_texts(spark, tmp_path):
+    long = "Étude " + "über alles " * 40
+    rows = [(1, f"{long} 1987"), (2, f"June {long} in 2011 and 1999"), (3, long), (4, "2003 May"), (5, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["date_iso"] for r in catalogue.date_iso(spark, str(tmp_path)).collect()}
+    assert got == {1: "1987-01-12", 2: "2011-06-12", 3: "1900-01-12", 4: "2003-05-12", 5: "1900-03-12"}
