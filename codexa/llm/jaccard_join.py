@@ -14,7 +14,7 @@ clusters; a cluster is dealt into blocks, all sets of two blocks are compared in
 block, so no group is expanded into pairs. Links are joined into components.
 
 Equal sets are one node (128-bit digest). Equality of shingles is equality of 64-bit hashes. Defined cases. Null, empty or blank text: no shingles, component of
-its own. Fewer words than a shingle: the whole sequence is one. Very long texts are handled whole. Repeated rows share a node. Empty table: no rows.
+its own. Null and repeated ids: rows count by themselves; a component is named by its least id, null if all are. Fewer words than a shingle: the whole sequence is one. Very long texts are handled whole. Repeated rows share a node. Empty table: no rows.
 Further columns are left out.
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import bounded_batches, components, frugal, stage, table
+from .common import SPACE, bounded_batches, components, frugal, stage, table
 
 WORDS, PERCENT = 4, 85
 FREQUENT, COMBINE = 16, 64
@@ -197,7 +197,7 @@ def _id_type(docs: DataFrame) -> str:
 
 
 def index(docs: DataFrame, k: int, percent: int, frequent: int, combine: int) -> DataFrame:
-    """Rows of kind 0 (doc_id, n, d1, d2: a document and its node), 1 (d1, n, key, pos: rare) and 2 (d1, key: frequent); staged.
+    """Rows of kind 0 (doc_id, th, n, d1, d2: a document, the hash of its text and its node), 1 (d1, n, key, pos: rare) and 2 (d1, key: frequent); staged.
 
     Keys carry the first half of the digest only: nodes that share it are all compared.
     """
@@ -226,18 +226,19 @@ def index(docs: DataFrame, k: int, percent: int, frequent: int, combine: int) ->
                     rows.append(np.full(m, at + i))
                 digest = np.concatenate(digest)
                 kinds = np.concatenate(kinds)
-                ids = batch.column(0).take(pa.array(np.concatenate(rows)))
-                ids = pa.compute.if_else(pa.array(kinds == 0), ids, None)
-                yield pa.RecordBatch.from_arrays([pa.array(kinds), ids, pa.array(np.concatenate(n_of)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(pos))], ["kind", "doc_id", "n", "d1", "d2", "key", "pos"])
+                rows, own = pa.array(np.concatenate(rows)), pa.array(kinds == 0)
+                ids, texts = (pa.compute.if_else(own, batch.column(c).take(rows), None) for c in (0, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(kinds), ids, texts, pa.array(np.concatenate(n_of)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(pos))], ["kind", "doc_id", "th", "n", "d1", "d2", "key", "pos"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(frugal(run), f"kind byte, doc_id {_id_type(docs)}, n long, d1 long, d2 long, key long, pos int")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(frugal(run), f"kind byte, doc_id {_id_type(docs)}, th long, n long, d1 long, d2 long, key long, pos int")
     return stage(rows, "index")
 
 
 def fetch_sets(docs: DataFrame, need: DataFrame, k: int) -> DataFrame:
-    """need(node, d1, d2) -> node, set (bytes) of the documents with those ids and digests; staged. A repeated row gives its set again."""
+    """need(node, id, th, d1, d2) -> node, set (bytes), read from the documents of those ids (null is an id) and text hashes; staged."""
     few = need.limit(MAX_IDS + 1).count() <= MAX_IDS
-    found = docs.select(F.col("doc_id").alias("node"), "text").join(F.broadcast(need) if few else need, "node").select("node", "text", "d1", "d2")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("_th"))
+    found = texts.join(F.broadcast(need) if few else need, (F.col("_th") == F.col("th")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text", "d1", "d2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,7 +248,8 @@ def fetch_sets(docs: DataFrame, need: DataFrame, k: int) -> DataFrame:
                 same = (own[:, 0] == batch.column(2).slice(at, len(sets)).to_numpy()) & (own[:, 1] == batch.column(3).slice(at, len(sets)).to_numpy())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array(raw, pa.binary())], ["node", "set"]).filter(pa.array(same))
 
-    return stage(found.mapInArrow(frugal(run), f"node {_id_type(docs)}, set binary"), "sets")
+    sets = stage(found.mapInArrow(frugal(run), "node binary, set binary"), "sets")
+    return stage(sets.dropDuplicates(["node"]), "sets") if sets.count() > need.count() else sets  # repeated rows
 
 
 def candidate_pairs(rare: DataFrame, percent: int) -> DataFrame:
@@ -338,13 +340,17 @@ def block_links(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return dealt.groupBy("comp", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
 
 
-def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, frequent: int = FREQUENT, combine: int = COMBINE) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, component_id; documents link when 100 * shared >= percent * union."""
+def _members(docs: DataFrame, words: int, percent: int, frequent: int = FREQUENT, combine: int = COMBINE) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, th, n, comp: a row for each row, with the digest that names its component; null without shingles."""
     bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     rows = index(docs, words, percent, frequent, combine)
-    members = rows.where("kind = 0").select("doc_id", "n", "d1", "d2")
-    nodes = stage(members.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.max("n").alias("n")), "nodes")
+    members = rows.where("kind = 0").select("doc_id", "th", "n", "d1", "d2")
+    # ids may be null or repeated, so the digest names a node; one of its rows lends the text
+    digest = F.unhex(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("d1", "d2")]))
+    own = F.coalesce(F.min_by("th", F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "th"))), F.min("th"))
+    nodes = members.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), own.alias("th"))
+    nodes = stage(nodes.withColumn("node", digest), "nodes")
     name = nodes.select("d1", F.col("node").alias("a"))
     pairs = candidate_pairs(rows.where("kind = 1").select("key", "d1", "n", "pos"), percent)
     pairs = pairs.join(name, "d1").join(name.select(F.col("d1").alias("e1"), F.col("a").alias("b")), "e1")
@@ -353,22 +359,35 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, fr
     least = tied.groupBy("key").agg(F.min("node").alias("least"))
     clusters = components(tied.join(least, "key").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
     need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(clusters.select("node")).distinct()
-    sets = fetch_sets(docs, stage(need.join(nodes, "node").select("node", "d1", "d2"), "need"), words)
+    sets = fetch_sets(docs, stage(need.join(nodes, "node").select("node", "id", "th", "d1", "d2"), "need"), words)
     links = stage(verify_pairs(pairs, sets, percent).union(block_links(clusters, sets, percent)), "links")
     comps = components(links)
-    named = nodes.join(comps, "node", "left").select("d1", "d2", F.coalesce("comp", "node").alias("comp"))
-    out = members.join(named, ["d1", "d2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = nodes.join(comps, "node", "left").select("d1", "d2", F.coalesce("comp", "node").alias("comp"), "id")
+    ids = named.groupBy("comp").agg(F.min("id").alias("least"))
+    named = stage(named.drop("id").join(ids, "comp"), "named")
+    return members.join(named, ["d1", "d2"], "left").select("doc_id", "th", "n", F.when(F.col("n") > 0, F.col("comp")).alias("comp"), "least")
+
+
+def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, frequent: int = FREQUENT, combine: int = COMBINE) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_shingles, component_id; documents link when 100 * shared >= percent * union."""
+    out = _members(docs, words, percent, frequent, combine)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document, the one of the least id, of each component; columns as before. Documents without shingles stay."""
-    found = jaccard_join(docs, words, percent)
-    gone = stage(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    """docs with one row of each component, of the least id (null last) and text hash; columns as before. Rows without shingles stay."""
+    rows = stage(_members(docs, words, percent).where("comp is not null").select("doc_id", "th", "comp"), "members")
+    first = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("f"))
+    same = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("th") == F.col("f.th"))
+    rows = stage(rows.join(first, "comp").groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_h"), same.alias("first")).count(), "chosen")
+    gone = rows.where("not first").select("_id", "_h")
     gone = F.broadcast(gone) if gone.limit(MAX_IDS + 1).count() <= MAX_IDS else gone
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if again else kept
+    keyed = docs.withColumn("_th", F.xxhash64("text"))
+    kept = keyed.join(gone, (F.col("_th") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    if rows.where("first and count > 1").limit(1).count():
+        blank = F.coalesce(F.length(F.btrim("text", F.lit(SPACE))) == 0, F.lit(True))
+        kept = kept.where(~blank).dropDuplicates(["doc_id", "_th"]).union(kept.where(blank))
+    return kept.select(*docs.columns)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

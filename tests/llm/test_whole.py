@@ -1,6 +1,6 @@
 """Small cases in which a corpus operator once did less than the whole job."""
 
-from codexa.llm import line_dedup
+from codexa.llm import jaccard_join, line_dedup
 
 
 def test_short_lines_are_removed_by_spread_alone(spark):
@@ -17,3 +17,27 @@ def test_short_lines_below_the_threshold_stay(spark):
     rows = [(i, f"few\nown line number {i}", f"s{i % (line_dedup.MIN_SITES - 1)}") for i in range(40)]
     out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string"))
     assert all(r["text"].startswith("few\n") and r["n_removed"] == 0 for r in out.collect())
+
+
+def words(n, a=0):
+    return " ".join(f"w{a + i}" for i in range(n))
+
+
+def test_keep_one_drops_only_within_a_component(spark):
+    base = words(100)
+    rows = [(1, base), (1, words(60, 500)), (1, base), (None, words(60, 1000)), (None, words(60, 2000)), (None, words(60, 1000)), (None, base + " more"), (2, words(99) + " other"), (3, ""), (3, ""), (None, None), (None, None), (4, words(60, 3000))]
+    got = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    key = lambda r: (str(r[0]), str(r[1]))
+    want = [rows[i] for i in (0, 1, 3, 4, 8, 9, 10, 11, 12)]
+    assert got.columns == ["doc_id", "text"] and sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+    # without a repeated row the null copies go all the same
+    few = jaccard_join.keep_one(spark.createDataFrame([rows[i] for i in (3, 4, 5, 12)], "doc_id long, text string"))
+    assert sorted(map(tuple, few.collect()), key=key) == sorted([rows[i] for i in (3, 4, 12)], key=key)
+
+
+def test_rows_of_null_id_are_bridges(spark):
+    w = words(200).split()
+    ends = [" ".join(w[:180]), " ".join(w), " ".join(w[20:])]
+    rows = [(5, ends[0]), (None, ends[1]), (7, ends[2])]
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["component_id"]) for r in got) == [("5", 5), ("7", 5), ("None", 5)]
