@@ -4,7 +4,8 @@ Method. Pages are parsed into blocks that know the branch they hang on: the path
 into one tree by counting, for each branch, how often each content and each sequence of child elements (the presentation) occurs. The importance of a branch
 is the entropy of its contents or of its presentations, whichever is larger, over the entropy of whole pages of that host: a branch that looks
 alike on pages that differ is of low importance and is cut from each page. Branches that are by their element or class menus, headers,
-footers, sidebars, notices, adverts, forms or reader comments are cut on every host. Of the rest the article (or main) element is taken if there is
+footers, sidebars, notices, adverts, forms or reader comments are cut on every host; class and id words do not cut html, body, main, article or
+what holds one, which are left to importance. Of the rest the article (or main) element is taken if there is
 one, else the body. Counts are merged by aggregation, so a host with a third of all pages never meets in one task.
 
 Defined cases. Null or empty html: empty text. A page without a host is its own host ''. Hosts with fewer than `min_pages` pages are judged by
@@ -34,22 +35,23 @@ VOID = WORDS("area base br col embed hr img input link meta source track wbr par
 RAW = WORDS("script style noscript template textarea title svg iframe object select".split())
 INLINE = WORDS("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var".split())
 CLOSED_BY = {"p": WORDS("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": WORDS(["li"]), "dt": WORDS(["dt", "dd"]), "dd": WORDS(["dt", "dd"]), "tr": WORDS(["tr"]), "td": WORDS(["td", "th", "tr"]), "th": WORDS(["td", "th", "tr"]), "option": WORDS(["option"])}
+#: Never cut by class or id words, nor is what holds them; an article within an article (a comment) is judged as other elements are.
+FRAME = WORDS("html body main article".split())
 NOISE_TAGS = WORDS("nav header footer aside form button head dialog menu".split())
 NOISE_WORDS = WORDS("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header menu nav navbar navigation newsletter notice pager pagination popup promo related share sharing sidebar social sponsor sponsored subscribe widget".split())
 NOISE_ROLES = WORDS("navigation banner contentinfo complementary search alert dialog form".split())
 
 
-def _noisy(tag: str, attributes: str) -> bool:
-    if tag in NOISE_TAGS:
-        return True
+def _noisy(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is cut by its name or role, and by the words of its class or id."""
+    role = words = False
     for m in ATTRIBUTE.finditer(attributes):
         value = (m[2] or m[3] or m[4] or "").lower()
         if m[1].lower() == "role":
-            if value in NOISE_ROLES:
-                return True
-        elif not NOISE_WORDS.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+            role = role or value in NOISE_ROLES
+        else:
+            words = words or not NOISE_WORDS.isdisjoint(re.split(r"[^a-z]+", value))
+    return role or tag in NOISE_TAGS, words
 
 
 def _label(tag: str, attributes: str) -> str:
@@ -60,7 +62,9 @@ def _label(tag: str, attributes: str) -> str:
 def parse(page: str | None) -> list[tuple[str, str, bool, bool]]:
     """Blocks (branch, text, cut by element or class, inside the article) of a page in order; text is decoded, white space not yet collapsed."""
     blocks: list[tuple[str, str, bool, bool]] = []
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, branch, noisy, article
+    cuts: list[frozenset[int]] = []  # of each block, the elements around it that class or id words may cut
+    cleared: set[int] = set()  # those that turned out to hold an article
+    stack: list[tuple[str, str, bool, bool, frozenset[int]]] = [("", "", False, False, WORDS())]  # tag, branch, noisy, article, cuts
     text: list[str] = []
     raw, at, page = "", 0, page or ""
 
@@ -69,8 +73,9 @@ def parse(page: str | None) -> list[tuple[str, str, bool, bool]]:
             joined = entities.unescape("".join(text))
             text.clear()
             if not joined.isspace():
-                _, branch, noisy, article = stack[-1]
+                _, branch, noisy, article, by = stack[-1]
                 blocks.append((branch, joined, noisy, article))
+                cuts.append(by)
 
     def close(depth: int) -> None:
         flush()
@@ -118,10 +123,15 @@ def parse(page: str | None) -> list[tuple[str, str, bool, bool]]:
                 break
             if stack[k][0] not in CLOSED_BY:
                 break
-        _, branch, noisy, article = stack[-1]
-        stack.append((tag, f"{branch}/{_label(tag, m[3])}", noisy or _noisy(tag, m[3]), article or tag in ("article", "main")))
+        _, branch, noisy, article, by = stack[-1]
+        fixed, words = _noisy(tag, m[3])
+        if tag in FRAME and not (tag == "article" and any(x[0] == "article" for x in stack)):
+            cleared |= by
+        elif words:
+            by = by | {at}
+        stack.append((tag, f"{branch}/{_label(tag, m[3])}", noisy or fixed, article or tag in ("article", "main"), by))
     flush()
-    return blocks
+    return [(branch, joined, noisy or not by <= cleared, article) for (branch, joined, noisy, article), by in zip(blocks, cuts, strict=True)]
 
 
 def _digest(s: str) -> int:

@@ -1,6 +1,6 @@
 """Small cases in which a corpus operator once did less than the whole job."""
 
-from codexa.llm import jaccard_join, line_dedup
+from codexa.llm import jaccard_join, line_dedup, page_text
 
 
 def test_short_lines_are_removed_by_spread_alone(spark):
@@ -41,3 +41,17 @@ def test_rows_of_null_id_are_bridges(spark):
     rows = [(5, ends[0]), (None, ends[1]), (7, ends[2])]
     got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r["doc_id"]), r["component_id"]) for r in got) == [("5", 5), ("7", 5), ("None", 5)]
+
+
+def test_class_words_never_cut_the_article():
+    side = "<div class=sidebar>side</div>"
+    story = "<article><p>Main text</p><div class='social'>share</div><section id=comments><article class=comment>reply</article></section></article>"
+    for page in (
+        f"<html class='no-sidebar'><body>{side}{story}</body></html>", f"<body class='no-sidebar has-widget'>{side}{story}</body>",
+        f"<body>{side}{story.replace('<article>', '<article class=&quot;x&quot; id=comments>', 1)}</body>".replace("&quot;", "'"),
+        f"<body>{side}<div class='header-wrap'><div class='widget-content'><i>x</i>{story}</div></div></body>",
+        f"<body>{side}<div id=menu-page><main class='social'>{story}</main></div></body>", f"<body>{side}<main><div class=widget>{story}</div></main></body>",
+    ):
+        assert page_text.extract(page, set()) == "Main text", page
+    assert page_text.extract(f"<body class='has-sidebar'>{side}<p>Plain</p></body>", set()) == "Plain"
+    assert page_text.extract(f"<body><nav class=menu>{story}</nav><p>Plain</p></body>", set()) == "Plain"
