@@ -1,7 +1,7 @@
 """URL filters (operator 9). DataFrame functions only.
 
 Method. A rule is a host and a path prefix. Each distinct URL is expanded into all its host suffixes combined with its path
-prefixes (of the lengths that rules have), every expression is hashed with SHA-256, an equi-join on the first 32 bits finds candidates, the full digest
+prefixes (of the lengths that rules of that host have), every expression is hashed with SHA-256, an equi-join on the first 32 bits finds candidates, the full digest
 confirms them, and the longest rule wins (of equal length: allow before block, then host, then path).
 
 Defined cases. Null URL or one without '://': empty host and path, verdict `default`. Repeated rows each get the verdict. Rules
@@ -20,8 +20,8 @@ RULES = [
     ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
     ("allow", "com", "/fr/"), ("block", "com", "/de/"),
 ]
-#: Paths of rules are at most this long, so the list of lengths is bounded.
-MAX_PATH = 4096
+#: Pairs of host and path length are broadcast up to this number.
+MAX_LENGTHS = 100_000
 
 
 def _ascii_lower(c: Column) -> Column:
@@ -38,7 +38,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 def prepare_rules(rules: DataFrame) -> DataFrame:
     """rules(verdict, host, path) with digest and 32-bit prefix; one row for each expression, allow before block."""
-    r = rules.where("verdict is not null and host is not null and path is not null").where(F.length("path") <= MAX_PATH)
+    r = rules.where("verdict is not null and host is not null and path is not null")
     r = r.groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
     digest = F.sha2(F.concat(F.col("host"), F.lit("\n"), F.col("path")), 256)
     return r.select("verdict", F.concat("host", "path").alias("rule"), F.col("host").alias("r_host"), F.col("path").alias("r_path"), digest.alias("digest")).withColumn("prefix", F.substring("digest", 1, 8))
@@ -47,14 +47,14 @@ def prepare_rules(rules: DataFrame) -> DataFrame:
 def judge(urls: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """Distinct urls(url) -> url, rule, verdict for those that a rule fits."""
     ready = prepare_rules(rules)
-    lengths = [x[0] for x in ready.select(F.length("r_path")).distinct().collect()]  # at most MAX_PATH + 1 numbers
+    lengths = ready.select(F.col("r_host").alias("h"), F.length("r_path").alias("n")).distinct()
+    lengths = F.broadcast(lengths) if lengths.limit(MAX_LENGTHS + 1).count() <= MAX_LENGTHS else lengths
     host, path = host_and_path(F.col("url"))
     u = urls.select("url").where("url is not null").distinct().withColumns({"h": host, "p": path})
     labels = F.split("h", "\\.", -1)
     u = u.withColumn("labels", labels)
     u = u.select("url", "p", F.explode(F.expr("transform(sequence(1, size(labels)), i -> array_join(slice(labels, i, size(labels) - i + 1), '.'))")).alias("h"))
-    fits = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>"), lambda n: n <= F.length("p"))
-    u = u.select("url", "h", F.explode(F.transform(fits, lambda n: F.substring(F.col("p"), F.lit(1), n))).alias("q"))
+    u = u.join(lengths, "h").where(F.col("n") <= F.length("p")).select("url", "h", F.substring(F.col("p"), F.lit(1), F.col("n")).alias("q"))
     u = u.select("url", F.sha2(F.concat(F.col("h"), F.lit("\n"), F.col("q")), 256).alias("digest")).withColumn("prefix", F.substring("digest", 1, 8))
     hits = u.join(ready.withColumnRenamed("digest", "r_digest"), "prefix").where("digest = r_digest")
     rank = F.struct(F.length("rule"), F.when(F.col("verdict") == "allow", 1).otherwise(0), "r_host", "r_path")

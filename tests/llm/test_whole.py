@@ -1,6 +1,6 @@
 """Small cases in which a corpus operator once did less than the whole job."""
 
-from codexa.llm import jaccard_join, line_dedup, page_text
+from codexa.llm import jaccard_join, line_dedup, page_text, url_filter
 
 
 def test_short_lines_are_removed_by_spread_alone(spark):
@@ -55,3 +55,11 @@ def test_class_words_never_cut_the_article():
         assert page_text.extract(page, set()) == "Main text", page
     assert page_text.extract(f"<body class='has-sidebar'>{side}<p>Plain</p></body>", set()) == "Plain"
     assert page_text.extract(f"<body><nav class=menu>{story}</nav><p>Plain</p></body>", set()) == "Plain"
+
+
+def test_rules_of_long_paths_fire(spark):
+    long = "/" + "a" * 5000
+    rules = spark.createDataFrame([("block", "x.org", long), ("block", "x.org", ""), ("allow", "y.org", "/b")], "verdict string, host string, path string")
+    pages = spark.createDataFrame([(1, f"http://x.org{long}/z"), (2, "http://x.org/aa"), (3, "http://w.y.org/bc"), (4, "http://y.org/c"), (5, f"http://y.org{long}")], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.url_filter(pages, rules, "none").collect()}
+    assert got == {1: (f"x.org{long}", "block"), 2: ("x.org", "block"), 3: ("y.org/b", "allow"), 4: (None, "none"), 5: (None, "none")}
