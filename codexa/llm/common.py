@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
+import re
 import uuid
-from collections.abc import Callable, Iterator
+import weakref
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,16 +23,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one of our own only where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/codexa").rstrip("/")
+    """The folder in spark.checkpoint.dir; a local one of our own only where that is unset and everything runs on this machine."""
+    if at := spark.conf.get("spark.checkpoint.dir", None):
+        return at.rstrip("/")
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "/tmp/checkpoints/codexa"
 
 
 def stage(df: DataFrame, what: str = "stage") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors, has a known size."""
+    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors, has a known size. The table goes when the session's JVM ends, or by drop()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    _staged[id(out)] = (weakref.ref(out), fs, at)
+    return out
+
+
+_staged: dict[int, tuple] = {}
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more; frames that were not staged are left alone."""
+    for df in frames:
+        ref, fs, at = _staged.pop(id(df), (None, None, None))
+        if ref is not None and ref() is df:
+            fs.delete(at, True)
+            fs.cancelDeleteOnExit(at)
+
+
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, lengthened until none is among the columns (case aside) or given twice."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def release() -> None:
@@ -40,11 +75,19 @@ def release() -> None:
         trim(0)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
-    """Bound the Arrow batches of this session, which live outside the heap in the JVM and again in the worker. Smaller settings of the user stay."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+@contextlib.contextmanager
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> Iterator[None]:
+    """Bound the Arrow batches, which live outside the heap in the JVM and again in the worker, of what is run in this block. The user's settings come back."""
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        if int(spark.conf.get(keys[0])) > rows:
+            spark.conf.set(keys[0], str(rows))
+            spark.conf.set(keys[1], size)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -67,17 +110,17 @@ def split_words(text: Column) -> Column:
     return F.when(F.length(trimmed) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_RE, -1))
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """Connected components of edges (a, b): rows (node, comp) with comp the least node of the component.
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of edges (a, b): rows (node, comp) with comp the least node of the component; staged.
 
     Each round links every neighbour to the least label around it and halves the label paths (hook and jump), so rounds grow
-    with the logarithm of a component's diameter. Labels live in staged tables; the driver only sees one count a round.
-    Nulls in a or b are dropped, loops give a component of their own.
+    with the logarithm of a component's diameter; labels only fall, so the rounds end by themselves. Labels live in staged tables, of which the last
+    two are kept; the driver only sees one row a round. Nulls in a or b are dropped, loops give a component of their own.
     """
     edges = edges.select("a", "b").where("a is not null and b is not null")
     both = stage(edges.union(edges.select("b", "a")).distinct(), "edges")
     label = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp")), "labels")
-    for _ in range(rounds):
+    while True:
         # hook: the least label among neighbours; jump: the label of the label
         near = (
             both.join(label.select(F.col("node").alias("b"), F.col("comp").alias("c")), "b")
@@ -86,12 +129,11 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         hooked = label.join(near, "node").select("node", F.least("comp", "c").alias("comp"), F.col("comp").alias("old"))
         # the old label's own node also learns of the smaller label
         told = hooked.groupBy(F.col("old").alias("node")).agg(F.min("comp").alias("t"))
-        hooked = hooked.join(told, "node", "left").select("node", F.least("comp", "t").alias("comp"), "old")
-        hooked = stage(hooked, "hooked")
+        hooked = stage(hooked.join(told, "node", "left").select("node", F.least("comp", "t").alias("comp"), "old"), "hooked")
         jump = hooked.select(F.col("node").alias("comp"), F.col("comp").alias("j"))
         nxt = stage(hooked.join(jump, "comp", "left").select("node", F.least("comp", "j").alias("comp"), "old"), "labels")
-        moved = nxt.where(F.col("comp") != F.col("old")).limit(1).count()
-        label = nxt.select("node", "comp")
-        if not moved:
+        drop(label, hooked)
+        label = nxt
+        if label.where(F.col("comp") != F.col("old")).isEmpty():
+            drop(both)
             return label
-    raise RuntimeError("components did not settle")

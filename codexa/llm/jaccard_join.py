@@ -1,17 +1,20 @@
 """N-gram Jaccard join with token-combination prefixes (operator 5).
 
-Method. A document's set holds the hashes of its word shingles. Document frequencies of all shingles are counted by their 32-bit fingerprints; those above
-`frequent` documents form the frequent class, published as a bitmap of fixed size (a fingerprint that shares a bit with a frequent one counts as frequent;
-any fixed division into classes keeps the join exact). Sets are ordered rare class first, then by hash. With n shingles, threshold t and a = ceil(t n):
+Method. A document's set holds the hashes of its word shingles. Document frequencies of all shingles are counted by their 32-bit fingerprints; a table of slots
+gives each shingle a level: 0 (rare, `frequent` documents at most), or one more for each factor of 16 beyond. A fingerprint that shares a slot with a more frequent
+one takes its level; every fixed division into levels keeps the join exact, and frequent shingles are never taken for rare. Sets are ordered by level, then by
+hash. With n shingles, threshold t and a = ceil(t n), two linked sets share their first common shingle within the first n-a+1 and their second within n-a+2:
 
   * if the first n-a+1 shingles are all rare, they are indexed one by one;
-  * otherwise all rare ones are indexed, and of the frequent ones in the prefix extended to n-a+2 all combinations of two (sets up to
-    `combine` shingles) or, for longer sets, the frequent ones in the prefix of n-a+1 one by one. Sets near that size emit both, so no pair falls between.
+  * otherwise all rare ones are indexed one by one, and of the frequent ones in the prefix extended to n-a+2 all combinations of two (sets up to
+    `combine` shingles) or, for longer sets, the frequent ones of the prefix one by one. Sets near that size emit both, so no pair falls between.
 
-Two linked sets share a shingle of the shorter prefix, and two of the extended one, hence a rare shingle, a combination or a frequent shingle of
-long sets. Rare keys have few documents each and give candidate pairs, compared set by set. Keys of the frequent class only tie documents into candidate
-clusters; a cluster is dealt into blocks, all sets of two blocks are compared in one matrix product, and only a spanning forest of the links leaves the
-block, so no group is expanded into pairs. Links are joined into components.
+A rare key has `frequent` documents at most, so its pairs are listed, bounded by positions and verified set by set. Keys of frequent shingles can hold a large
+group. Each entry carries how much its set can still share from there (u): a set whose u is too small for the smallest set of a key leaves it. Then every set is
+compared with one representative of its keys, and the verified links are joined; keys whose members are in one component are done, so a group of
+copies is not expanded into pairs. In the keys that are left, members are compared with a representative of each key, and what is then still apart is
+compared in tiles of a bounded number of sets, dealt by hash, in which a pair is only looked at if sizes and u allow it, its components differ, and no earlier common
+shingle proves that another key has it. Only verified links are ever joined into components.
 
 Equal sets are one node (128-bit digest). Equality of shingles is equality of 64-bit hashes. Defined cases. Null, empty or blank text: no shingles, component of
 its own. Null and repeated ids: rows count by themselves; a component is named by its least id, null if all are. Fewer words than a shingle: the whole sequence is one. Very long texts are handled whole. Repeated rows share a node. Empty table: no rows.
@@ -28,14 +31,15 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .common import SPACE, bounded_batches, components, frugal, stage, table
+from .common import SPACE, bounded_batches, components, drop, frugal, stage, table, unused
 
 WORDS, PERCENT = 4, 85
-FREQUENT, COMBINE = 16, 64
-MAX_FREQUENT, BITMAP_BITS = 2_000_000, 26
-CHUNK, BLOCK_ROWS, BLOCK_BYTES, MAX_IDS = 1 << 20, 1000, 8 << 20, 1_000_000
+FREQUENT, COMBINE = 16, 256
+#: Slots of the level table (a byte each): eight for each frequent fingerprint, between these bounds.
+LEAST_BITS, MOST_BITS = 16, 26
+#: Bytes of text hashed at once; sets and bytes of a tile's side; rows of a broadcast table of ids (under 100 bytes each).
+CHUNK, TILE_ROWS, TILE_BYTES, MAX_IDS = 1 << 20, 192, 2 << 20, 200_000
 
 _rng = np.random.Generator(np.random.PCG64(20240501))
 _BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -124,8 +128,8 @@ def _from_planes(raw: bytes) -> np.ndarray:
     return np.cumsum(gaps, dtype=np.uint32)
 
 
-def frequent_bitmap(docs: DataFrame, k: int, frequent: int) -> np.ndarray:
-    """Bits of the fingerprints in more than `frequent` documents (more, if those would be over MAX_FREQUENT)."""
+def level_table(docs: DataFrame, k: int, frequent: int) -> np.ndarray:
+    """Levels by slot: 0 where no fingerprint of the slot is in more than `frequent` documents. The driver gets the levels, MOST_BITS of slots at most, not the fingerprints."""
     bits = min(26, max(6, (docs.count() // 1000).bit_length()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +149,7 @@ def frequent_bitmap(docs: DataFrame, k: int, frequent: int) -> np.ndarray:
             for _, sets in sets_of(batch, 0, k):
                 held.extend(_prints(s) for s in sets if len(s))
                 total += sum(map(len, sets))
-                if total > 4_000_000:
+                if total > 2_000_000:
                     yield flush()
                     total = 0
         if held:
@@ -159,37 +163,41 @@ def frequent_bitmap(docs: DataFrame, k: int, frequent: int) -> np.ndarray:
         first = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
         sums = np.add.reduceat(n, first)
         hot = sums > frequent
-        return pa.table({"print": prints[first][hot].astype(np.int64), "n": np.minimum(sums[hot], 1_000_000)})
+        level = 1 + np.minimum(np.log2(sums[hot] / frequent) // 4, 14)
+        return pa.table({"print": prints[first][hot].astype(np.int64), "level": level.astype(np.int16)})
 
     parts = docs.select("text").where("text is not null").mapInArrow(frugal(count), "part long, prints binary, n binary")
-    hot = stage(parts.groupBy("part").applyInArrow(merge, "print long, n long"), "frequent")
-    sizes = hot.groupBy(F.log2("n").cast("int").alias("b")).count().collect()  # a few rows
-    least, left = 0, sum(r["count"] for r in sizes)
-    for r in sorted(sizes, key=lambda r: r["b"]):
-        if left <= MAX_FREQUENT:
-            break
-        left, least = left - r["count"], 2 ** (r["b"] + 1)
-    kept = hot.where(F.col("n") >= least).select("print").toArrow().column("print").to_numpy() if left else np.zeros(0, np.int64)  # MAX_FREQUENT at most
-    bitmap = np.zeros(1 << BITMAP_BITS, bool)
-    bitmap[kept >> (32 - BITMAP_BITS)] = True
-    return np.packbits(bitmap)
-
-
-def keys_of(s: np.ndarray, hot: np.ndarray, percent: int, combine: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rare keys, frequent keys) of a set."""
+    hot = stage(parts.groupBy("part").applyInArrow(merge, "print long, level short"), "frequent")
+    slots = min(MOST_BITS, max(LEAST_BITS, (8 * hot.count()).bit_length()))
+    slot = F.call_function("shiftright", F.col("print"), F.lit(32 - slots))
+    got = hot.groupBy(slot.cast("int").alias("slot")).agg(F.max("level").cast("byte").alias("level")).toArrow()
+    drop(hot)
+    levels = np.zeros(1 << slots, np.int8)
+    levels[got.column("slot").to_numpy()] = got.column("level").to_numpy()
+    return levels
+
+
+def keys_of(s: np.ndarray, level: np.ndarray, percent: int, combine: int) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """(rare keys, (frequent keys, u, first and last skipped shingle)) of a set. A shingle is skipped by a key if it is frequent, stands before the key's last one and is not in it."""
     n = len(s)
     short = n - -(-percent * n // 100) + 1
-    rare, often = s[~hot], s[hot]
+    rare = s[level == 0]
     if len(rare) >= short:
-        return rare[:short], often[:0]
+        return rare[:short], (s[:0], np.zeros(0, np.int64), s[:0], s[:0])
+    hot = np.flatnonzero(level)
+    often = s[hot[np.argsort(level[hot], kind="stable")]]
     made = []
     if 100 * combine >= percent * n:
         f = often[: short + 1 - len(rare)]
         i, j = np.triu_indices(len(f), 1)
-        made.append(_mix(f[i] * _PLACE[0] + f[j] * _PLACE[1]))
+        first = np.where(i > 0, f[0], np.where(j > 1, f[min(1, len(f) - 1)], 0)) if len(i) else s[:0]
+        last = np.where(j - 1 != i, f[j - 1], np.where(i > 0, f[i - 1], 0)) if len(i) else s[:0]
+        made.append((_mix(f[i] * _PLACE[0] + f[j] * _PLACE[1]), n - len(rare) - j + 1, first, last))
     if n > combine:
-        made.append(_mix(often[: short - len(rare)] ^ _STEP))
-    return rare, np.concatenate(made)
+        f = often[: short - len(rare)]
+        i = np.arange(len(f))
+        made.append((_mix(f ^ _STEP), n - len(rare) - i, np.where(i > 0, f[0], 0), np.where(i > 0, f[i - 1], 0)))
+    return rare, tuple(np.concatenate(x) for x in zip(*made, strict=True))
 
 
 def _id_type(docs: DataFrame) -> str:
@@ -197,48 +205,50 @@ def _id_type(docs: DataFrame) -> str:
 
 
 def index(docs: DataFrame, k: int, percent: int, frequent: int, combine: int) -> DataFrame:
-    """Rows of kind 0 (doc_id, th, n, d1, d2: a document, the hash of its text and its node), 1 (d1, n, key, pos: rare) and 2 (d1, key: frequent); staged.
+    """Rows of kind 0 (doc_id, th, n, d1, d2: a document, the hash of its text and its node), 1 (d1, n, key, pos: rare) and 2 (d1, n, key, pos = u, s1, s2: frequent); staged.
 
     Keys carry the first half of the digest only: nodes that share it are all compared.
     """
-    bitmap = docs.sparkSession.sparkContext.broadcast(frequent_bitmap(docs, k, frequent))  # 8 MB, always
+    shared = docs.sparkSession.sparkContext.broadcast(level_table(docs, k, frequent))  # 1 << MOST_BITS bytes at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
+        levels = shared.value
+        shift = np.uint64(64 - (len(levels).bit_length() - 1))
         for batch in batches:
             for at, sets in sets_of(batch, 1, k):
-                every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                place = every >> np.uint64(64 - BITMAP_BITS)
-                hot = (bits[place >> np.uint64(3)] >> (7 - (place & np.uint64(7)).astype(np.uint8))) & 1 == 1
-                kinds, n_of, digest, keys, rows, pos = [], [], [], [], [], []
-                a = 0
+                kinds, n_of, digest, keys, rows, pos, skips = [], [], [], [], [], [], []
                 for i, s in enumerate(sets):
                     d = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else b""
-                    one, two = keys_of(s, hot[a : a + len(s)], percent, combine) if len(s) > 1 else (s[:0], s[:0])
-                    a += len(s)
-                    m = 1 + len(one) + len(two)
-                    kinds.append(np.repeat(np.array([0, 1, 2], np.int8), [1, len(one), len(two)]))
-                    keys += [np.zeros(1, np.uint64), one, two]
+                    one, two = keys_of(s, levels[s >> shift], percent, combine) if len(s) > 1 else (s[:0], (s[:0], np.zeros(0, np.int64), s[:0], s[:0]))
+                    m = 1 + len(one) + len(two[0])
+                    kinds.append(np.repeat(np.array([0, 1, 2], np.int8), [1, len(one), len(two[0])]))
+                    keys += [np.zeros(1, np.uint64), one, two[0]]
                     n_of.append(np.full(m, len(s), np.int64))
                     digest.append(np.tile(np.frombuffer(d or bytes(16), np.int64), (m, 1)))
                     digest[-1][1:, 1] = 0
-                    pos += [np.zeros(1, np.int32), np.arange(len(one), dtype=np.int32), np.zeros(len(two), np.int32)]
+                    pos += [np.zeros(1, np.int64), np.arange(len(one)), two[1]]
+                    blank = np.zeros((m, 2), np.uint64)
+                    blank[1 + len(one) :, 0], blank[1 + len(one) :, 1] = two[2], two[3]
+                    skips.append(blank)
                     rows.append(np.full(m, at + i))
-                digest = np.concatenate(digest)
+                digest, skips = np.concatenate(digest), np.concatenate(skips).view(np.int64)
                 kinds = np.concatenate(kinds)
                 rows, own = pa.array(np.concatenate(rows)), pa.array(kinds == 0)
                 ids, texts = (pa.compute.if_else(own, batch.column(c).take(rows), None) for c in (0, 2))
-                yield pa.RecordBatch.from_arrays([pa.array(kinds), ids, texts, pa.array(np.concatenate(n_of)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(pos))], ["kind", "doc_id", "th", "n", "d1", "d2", "key", "pos"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(kinds), ids, texts, pa.array(np.concatenate(n_of)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(skips[:, 0]), pa.array(skips[:, 1])],
+                    ["kind", "doc_id", "th", "n", "d1", "d2", "key", "pos", "s1", "s2"],
+                )
 
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(frugal(run), f"kind byte, doc_id {_id_type(docs)}, th long, n long, d1 long, d2 long, key long, pos int")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(frugal(run), f"kind byte, doc_id {_id_type(docs)}, th long, n long, d1 long, d2 long, key long, pos int, s1 long, s2 long")
     return stage(rows, "index")
 
 
 def fetch_sets(docs: DataFrame, need: DataFrame, k: int) -> DataFrame:
     """need(node, id, th, d1, d2) -> node, set (bytes), read from the documents of those ids (null is an id) and text hashes; staged."""
     few = need.limit(MAX_IDS + 1).count() <= MAX_IDS
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("_th"))
-    found = texts.join(F.broadcast(need) if few else need, (F.col("_th") == F.col("th")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text", "d1", "d2")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("own"))
+    found = texts.join(F.broadcast(need) if few else need, (F.col("own") == F.col("th")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text", "d1", "d2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,14 +265,39 @@ def fetch_sets(docs: DataFrame, need: DataFrame, k: int) -> DataFrame:
 def candidate_pairs(rare: DataFrame, percent: int) -> DataFrame:
     """rare(key, d1, n, pos) -> (d1, e1) whose sets can still be similar enough.
 
-    One shuffle by key drops the keys of a single document. What a pair shares up to its last common key is known exactly, as both sets are in the same
-    order, so their overlap is at most that number plus what follows.
+    The rows are dealt and sorted by key; a key has few rows by its class, which are paired with what follows them. What a pair shares up to its last
+    common key is known exactly, as both sets are in the same order, so their overlap is at most that number plus what follows.
     """
-    seen = F.count("*").over(W.partitionBy("key"))
-    key = stage(rare.withColumn("c", seen).where("c > 1").select("key", "d1", "n", "pos"), "keys").distinct()
-    other = key.select("key", F.col("d1").alias("e1"), F.col("n").alias("m"), F.col("pos").alias("qos"))
-    close = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("d1") < F.col("e1"))
-    pairs = key.join(other, "key").where(close).groupBy("d1", "e1", "n", "m").agg(F.count("*").alias("c"), F.max("pos").alias("i"), F.max("qos").alias("j"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            now = [batch.column(i).to_numpy() for i in range(4)]
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            end = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0  # the last key may go on
+            held = [x[end:] for x in now]
+            yield from paired(*[x[:end] for x in now])
+        if held is not None:
+            yield from paired(*held)
+
+    def paired(key: np.ndarray, d1: np.ndarray, n: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (d1[1:] != d1[:-1])  # copies
+        key, d1, n, pos = key[new], d1[new], n[new], pos[new]
+        lag = 0
+        while (lag := lag + 1) < len(key):
+            i = np.flatnonzero(key[lag:] == key[:-lag])
+            if not len(i):
+                break
+            j = i + lag
+            close = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+            i, j = i[close], j[close]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d1[i], d1[j], n[i], n[j], pos[i], pos[j])], ["d1", "e1", "n", "m", "pos", "qos"])
+
+    dealt = rare.select("key", "d1", "n", "pos").repartition("key").sortWithinPartitions("key", "d1")
+    pairs = dealt.mapInArrow(frugal(run), "d1 long, e1 long, n long, m long, pos int, qos int")
+    pairs = pairs.groupBy("d1", "e1", "n", "m").agg(F.count("*").alias("c"), F.max("pos").alias("i"), F.max("qos").alias("j"))
     most = F.col("c") + F.least(F.col("n") - F.col("i") - 1, F.col("m") - F.col("j") - 1)
     return pairs.where((100 + percent) * most >= percent * (F.col("n") + F.col("m"))).select("d1", "e1")
 
@@ -289,60 +324,124 @@ def verify_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(frugal(run), f"a {kind}, b {kind}")
 
 
-def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between the sets, by products of 0/1 matrices over the shingles that occur twice."""
-    m, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
-    words, inverse, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(m), sizes)
-    twice = n[inverse] > 1
-    row, column = row[twice], (np.cumsum(n > 1) - 1)[inverse[twice]]
-    shared = np.zeros((m, m), np.float32)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    width = 2048
-    for a in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        lo, hi = np.searchsorted(column, [a, a + width])
-        part = np.zeros((m, width), np.float32)
-        part[row[lo:hi], column[lo:hi] - a] = 1
-        shared += part @ part.T
-    near = _linked(shared, sizes[:, None], sizes[None, :], percent)
-    seen, edges = np.zeros(m, bool), []
-    for root in range(m):
-        if seen[root]:
-            continue
-        seen[root], todo = True, [root]
-        while todo:
-            x = todo.pop()
-            new = np.flatnonzero(near[x] & ~seen)
-            seen[new] = True
-            edges += [(x, int(y)) for y in new]
-            todo += new.tolist()
-    return edges
-
-
-def block_links(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """clusters(node, comp) -> links (a, b) that connect what is linked within each cluster."""
-    sized = clusters.join(sets, "node")
-    total = sized.groupBy("comp").agg(F.count("*").alias("m"), F.sum(F.octet_length("set")).alias("bytes")).where("m > 1")
-    total = total.select("comp", F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("nb"))
-    dealt = clusters.join(total, "comp").select("comp", "node", "nb", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("b"))
-    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")
-    dealt = dealt.select("comp", "node", "b", other).select("comp", "node", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
-    dealt = dealt.join(sets.select("node", "set"), "node")
+def apart(tied: DataFrame, label: DataFrame) -> DataFrame:
+    """tied with the component of each node, for the keys that hold several components; staged."""
+    now = tied.drop("comp").join(label.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    open_ = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    return stage(now.join(open_, "key"), "apart")
+
+
+def _possible(percent: int):
+    """Whether the sizes (n, n2) and what they can share (u, u2) allow a link."""
+    n, m, u = F.col("n"), F.col("n2"), F.least("u", "u2")
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * u >= percent * (n + m))
+
+
+def star_pairs(tied: DataFrame, percent: int, every: bool) -> DataFrame:
+    """(a, b): each node with the representative of its keys, or with the least of those if not `every`."""
+    rep = tied.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n", "u", "comp")).alias("r"))
+    met = tied.join(rep, "key").withColumns({"n2": F.col("r.n"), "u2": F.col("r.u")}).where((F.col("comp") != F.col("r.comp")) & _possible(percent))
+    met = met.select(F.col("node").alias("a"), F.struct("r.h", "r.node").alias("r"))
+    met = met.distinct() if every else met.groupBy("a").agg(F.min("r").alias("r"))
+    return met.select("a", F.col("r.node").alias("b"))
+
+
+def tile_links(tied: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of a key that are in different components, one at most for two components in a tile."""
     kind = sets.schema["node"].dataType.simpleString()
+    sized = tied.join(sets.select("node", F.octet_length("set").alias("bytes")), "node")
+    total = sized.groupBy("key").agg(F.count("*").alias("m"), F.sum("bytes").alias("bytes"))
+    total = total.select("key", F.greatest(F.ceil(F.col("m") / TILE_ROWS), F.ceil(F.col("bytes") / TILE_BYTES)).cast("int").alias("nb"))
+    dealt = tied.join(total, "key").withColumn("b", F.pmod(F.xxhash64("node", "key"), F.col("nb")).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o")})
+    dealt = dealt.join(sets, "node").select("key", "i", "j", "b", "node", "comp", "n", "u", "s1", "s2", "set")
 
     def run(group: pa.Table) -> pa.Table:
-        nodes = group.column("node").combine_chunks()
-        edges = forest([np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("set").combine_chunks()], percent)
-        a, b = (pa.array([e[i] for e in edges], pa.int64()) for i in range(2))
+        own = group.column("b").to_numpy() == group.column("i")[0].as_py()
+        left = np.flatnonzero(own)
+        right = left if group.column("i")[0].as_py() == group.column("j")[0].as_py() else np.flatnonzero(~own)
+        n, u, s1, s2 = (group.column(c).to_numpy() for c in ("n", "u", "s1", "s2"))
+        comp = np.unique(np.array([x.as_py() for x in group.column("comp")], object).astype("S"), return_inverse=True)[1]
+        a, b = left[:, None], right[None, :]
+        total = n[a] + n[b]
+        look = (comp[a] != comp[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & ((100 + percent) * np.minimum(u[a], u[b]) >= percent * total)
+        look &= ((s1[a] != s1[b]) | (s1[a] == 0)) & ((s2[a] != s2[b]) | (s2[a] == 0))
+        look = np.triu(look, 1) if right is left else look
+        rows, columns = np.flatnonzero(look.any(1)), np.flatnonzero(look.any(0))
+        nodes, out = group.column("node").combine_chunks(), []
+        if len(rows):
+            every = group.column("set").combine_chunks()
+            x, y = ([np.frombuffer(every[int(k)].as_buffer(), np.uint64) for k in side] for side in (left[rows], right[columns]))
+            near = _linked(overlaps(x, y), n[left[rows]][:, None], n[right[columns]][None, :], percent) & look[np.ix_(rows, columns)]
+            seen = set()
+            for r, c in np.argwhere(near):
+                p, q = int(left[rows[r]]), int(right[columns[c]])
+                pair = (min(comp[p], comp[q]), max(comp[p], comp[q]))
+                if pair not in seen:
+                    seen.add(pair)
+                    out.append((p, q))
+        a, b = (pa.array([e[i] for e in out], pa.int64()) for i in range(2))
         return pa.table({"a": nodes.take(a), "b": nodes.take(b)})
 
-    return dealt.groupBy("comp", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
+    return dealt.groupBy("key", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
+
+
+def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """The number of common shingles of each of x with each of y, by products of 0/1 matrices over the shingles that both sides hold."""
+    common = np.intersect1d(np.concatenate(x), np.concatenate(y))
+    shared = np.zeros((len(x), len(y)), np.float32)
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
+        held = common[at] == flat
+        at, row = at[held], row[held]
+        order = np.argsort(at, kind="stable")
+        return at[order], row[order]
+
+    if not len(common):
+        return shared
+    (at, row), (bt, column), width = places(x), places(y), 2048
+    for lo in range(0, len(common), width):
+        sides = []
+        for place, who, m in ((at, row, len(x)), (bt, column, len(y))):
+            p, q = np.searchsorted(place, [lo, lo + width])
+            part = np.zeros((m, width), np.float32)
+            part[who[p:q], place[p:q] - lo] = 1
+            sides.append(part)
+        shared += sides[0] @ sides[1].T
+    return shared
+
+
+def joined(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """label(node, comp) after links (a, b) between nodes; components are joined through their names only."""
+    if label is None:
+        return components(links)
+    if links.isEmpty():
+        return label
+    name = lambda c: label.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
+    edges = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()
+    step = components(edges).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    old = label.select("node", "comp").join(step, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    new = step.select(F.col("comp").alias("node"), F.col("to").alias("comp")).join(label.select("node"), "node", "left_anti")
+    return stage(old.union(new), "labels")
+
+
+def frequent_links(tied: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """label after all links that the frequent keys lead to. tied(key, node, n, u, s1, s2); every node in it has a set."""
+    left = apart(tied, label)
+    for every in (False, True):
+        if left.isEmpty():
+            return label
+        links = stage(verify_pairs(stage(star_pairs(left, percent, every), "stars"), sets, percent), "links")
+        label = joined(label, links)
+        left, done = apart(left, label), left
+        drop(done, links)
+    return label if left.isEmpty() else joined(label, stage(tile_links(left, sets, percent), "links"))
 
 
 def _members(docs: DataFrame, words: int, percent: int, frequent: int = FREQUENT, combine: int = COMBINE) -> DataFrame:
     """docs(doc_id, text) -> doc_id, th, n, comp: a row for each row, with the digest that names its component; null without shingles."""
-    bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     rows = index(docs, words, percent, frequent, combine)
     members = rows.where("kind = 0").select("doc_id", "th", "n", "d1", "d2")
@@ -355,14 +454,19 @@ def _members(docs: DataFrame, words: int, percent: int, frequent: int = FREQUENT
     pairs = candidate_pairs(rows.where("kind = 1").select("key", "d1", "n", "pos"), percent)
     pairs = pairs.join(name, "d1").join(name.select(F.col("d1").alias("e1"), F.col("a").alias("b")), "e1")
     pairs = stage(pairs.select("a", "b"), "pairs")
-    tied = stage(rows.where("kind = 2").select("key", "d1").distinct().join(name, "d1").select("key", F.col("a").alias("node")), "tied")
-    least = tied.groupBy("key").agg(F.min("node").alias("least"))
-    clusters = components(tied.join(least, "key").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(clusters.select("node")).distinct()
+    # a frequent key keeps the sets that can share enough with its smallest one, if there are two at least
+    tied = rows.where("kind = 2").select("key", "d1", "n", F.col("pos").alias("u"), "s1", "s2").distinct()
+    for _ in range(2):
+        least = tied.groupBy("key").agg(F.min("n").alias("least"), F.count("*").alias("c")).where("c > 1")
+        tied = tied.join(least, "key").where((100 + percent) * F.col("u") >= percent * (F.col("n") + F.col("least"))).drop("least", "c")
+        tied = stage(tied, "tied")
+    tied = stage(tied.join(name, "d1").select("key", F.col("a").alias("node"), "n", "u", "s1", "s2"), "tied")
+    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(tied.select("node")).distinct()
     sets = fetch_sets(docs, stage(need.join(nodes, "node").select("node", "id", "th", "d1", "d2"), "need"), words)
-    links = stage(verify_pairs(pairs, sets, percent).union(block_links(clusters, sets, percent)), "links")
-    comps = components(links)
-    named = nodes.join(comps, "node", "left").select("d1", "d2", F.coalesce("comp", "node").alias("comp"), "id")
+    links = stage(verify_pairs(pairs, sets, percent), "links")
+    label = frequent_links(tied, joined(None, links), sets, percent)
+    drop(pairs, tied, sets, links)
+    named = nodes.join(label.select("node", "comp"), "node", "left").select("d1", "d2", F.coalesce("comp", "node").alias("comp"), "id")
     ids = named.groupBy("comp").agg(F.min("id").alias("least"))
     named = stage(named.drop("id").join(ids, "comp"), "named")
     return members.join(named, ["d1", "d2"], "left").select("doc_id", "th", "n", F.when(F.col("n") > 0, F.col("comp")).alias("comp"), "least")
@@ -370,23 +474,26 @@ def _members(docs: DataFrame, words: int, percent: int, frequent: int = FREQUENT
 
 def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, frequent: int = FREQUENT, combine: int = COMBINE) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id; documents link when 100 * shared >= percent * union."""
-    out = _members(docs, words, percent, frequent, combine)
+    with bounded_batches(docs.sparkSession):
+        out = _members(docs, words, percent, frequent, combine)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each component, of the least id (null last) and text hash; columns as before. Rows without shingles stay."""
-    rows = stage(_members(docs, words, percent).where("comp is not null").select("doc_id", "th", "comp"), "members")
+    with bounded_batches(docs.sparkSession):
+        rows = stage(_members(docs, words, percent).where("comp is not null").select("doc_id", "th", "comp"), "members")
     first = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("f"))
+    own, gone_id, gone_th = unused(docs.columns, "_th", "_gone_id", "_gone_th")
     same = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("th") == F.col("f.th"))
-    rows = stage(rows.join(first, "comp").groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_h"), same.alias("first")).count(), "chosen")
-    gone = rows.where("not first").select("_id", "_h")
+    rows = stage(rows.join(first, "comp").groupBy(F.col("doc_id").alias(gone_id), F.col("th").alias(gone_th), same.alias("first")).count(), "chosen")
+    gone = rows.where("not first").select(gone_id, gone_th)
     gone = F.broadcast(gone) if gone.limit(MAX_IDS + 1).count() <= MAX_IDS else gone
-    keyed = docs.withColumn("_th", F.xxhash64("text"))
-    kept = keyed.join(gone, (F.col("_th") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    if rows.where("first and count > 1").limit(1).count():
+    keyed = docs.withColumn(own, F.xxhash64("text"))
+    kept = keyed.join(gone, (F.col(own) == F.col(gone_th)) & F.col("doc_id").eqNullSafe(F.col(gone_id)), "left_anti")
+    if not rows.where("first and count > 1").isEmpty():
         blank = F.coalesce(F.length(F.btrim("text", F.lit(SPACE))) == 0, F.lit(True))
-        kept = kept.where(~blank).dropDuplicates(["doc_id", "_th"]).union(kept.where(blank))
+        kept = kept.where(~blank).dropDuplicates(["doc_id", own]).union(kept.where(blank))
     return kept.select(*docs.columns)
 
 
