@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
@@ -77,17 +78,17 @@ class Counter:
         return out
 
 
-def groups(texts: list, most: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about `most` characters each, one text at least."""
+def groups(texts: pa.Array, most: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `most` bytes each, one text at least."""
     start = size = 0
-    for i, t in enumerate(texts):
-        n = len(t or "")
+    sizes = pa.compute.binary_length(texts).fill_null(0).to_pylist()
+    for i, n in enumerate(sizes):
         if i > start and size + n > most:
             yield start, i
             start, size = i, 0
         size += n
-    if len(texts) > start:
-        yield start, len(texts)
+    if len(sizes) > start:
+        yield start, len(sizes)
 
 
 def loaded(kind, path: str, shared=None):
@@ -104,9 +105,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
         counter = loaded(Counter, path)
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
-            texts = column.to_pylist()
-            for a, b in groups(texts):
-                part = [t or "" for t in texts[a:b]]
+            for a, b in groups(column):
+                part = column.slice(a, b - a).fill_null("").to_pylist()
                 n = counter.count(part)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(a, b - a), pa.array([len(t.encode()) for t in part], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],

@@ -1,6 +1,9 @@
 """Small cases in which a corpus operator once did less than the whole job."""
 
-from codexa.llm import jaccard_join, line_dedup, page_text, url_filter
+import random
+import time
+
+from codexa.llm import jaccard_join, line_dedup, page_text, sentence_pieces, token_counts, url_filter
 
 
 def test_short_lines_are_removed_by_spread_alone(spark):
@@ -63,3 +66,44 @@ def test_rules_of_long_paths_fire(spark):
     pages = spark.createDataFrame([(1, f"http://x.org{long}/z"), (2, "http://x.org/aa"), (3, "http://w.y.org/bc"), (4, "http://y.org/c"), (5, f"http://y.org{long}")], "page_id long, url string")
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.url_filter(pages, rules, "none").collect()}
     assert got == {1: (f"x.org{long}", "block"), 2: ("x.org", "block"), 3: ("y.org/b", "allow"), 4: (None, "none"), 5: (None, "none")}
+
+
+def plain_path(p, t):
+    """Ids of the best path by a plain dynamic programme over characters."""
+    score = {x.piece: x.score for x in p.units.proto.pieces if x.type in (1, 4)}
+    s = ("▁" + t.replace(" ", "▁")) if t else ""
+    longest = max(map(len, score))
+    top = [(0.0, 0)] + [(float("-inf"), 0)] * len(s)
+    for a in range(len(s)):
+        for b in range(a + 1, min(len(s), a + longest) + 1):
+            v = score.get(s[a:b], p.unk_score if b == a + 1 else None)
+            if v is not None and top[a][0] + v > top[b][0]:
+                top[b] = (top[a][0] + v, a)
+    out, b = [], len(s)
+    while b:
+        out.append(s[top[b][1] : b])
+        b = top[b][1]
+    ids = [[i] if (i := p.units.whole.piece_to_id(x)) else p.byte_id[list(x.encode())].tolist() for x in reversed(out)]
+    return [i for x in ids for i in x]
+
+
+def test_long_units_take_the_best_path():
+    rng = random.Random(5)
+    p = sentence_pieces.Pieces(token_counts.model_path())
+    alphabets = ["abcdefghij0123456789+/=", "中文字符测试数据集", "aé🙂ßñ\U0001F9E9", "the and ing tion "]
+    texts = ["".join(rng.choice(a) for _ in range(n)) for a in alphabets for n in (3, 60, 64, 65, 700)]
+    texts += ["x" * (sentence_pieces.BLOCK + 50), "🧩" * 5000, "", " ", "\n\n", "a\nb\n" * 30]
+    for t, ids in zip(texts, p.encode(texts), strict=True):
+        assert ids.tolist() == plain_path(p, t), t[:40]
+        assert p.decode(ids) == t
+    began = time.process_time()
+    long = "".join(rng.choice(alphabets[0]) for _ in range(300_000))
+    assert p.decode(p.encode([long])[0]) == long and time.process_time() - began < 10
+
+
+def test_made_columns_do_not_clash(spark):
+    rows = [(1, "some text here", 7, "k", 9), (None, None, 8, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_pieces int, ids_sha256 string, token_ids int")
+    out = sentence_pieces.encode_decode(docs, token_counts.model_path(), with_ids=True)
+    assert out.columns == [*docs.columns, "n_pieces_", "n_byte_pieces", "ids_sha256_", "round_trip", "token_ids_"]
+    assert sorted(r["n_pieces"] for r in out.collect()) == [7, 8]
