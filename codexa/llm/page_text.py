@@ -1,15 +1,20 @@
 """Main text of web pages by a site style tree (operator 7).
 
-Method. Pages are parsed into blocks that know the branch they hang on: the path of structural elements with class and id. Pages of a host are merged
-into one tree by counting, for each branch, how often each content and each sequence of child elements (the presentation) occurs. The importance of a branch
-is the entropy of its contents or of its presentations, whichever is larger, over the entropy of whole pages of that host: a branch that looks
-alike on pages that differ is of low importance and is cut from each page. Branches that are by their element or class menus, headers,
-footers, sidebars, notices, adverts, forms or reader comments are cut on every host; class and id words do not cut html, body, main, article or
-what holds one, which are left to importance. Of the rest the article (or main) element is taken if there is
-one, else the body. Counts are merged by aggregation, so a host with a third of all pages never meets in one task.
-
-Defined cases. Null or empty html: empty text. A page without a host is its own host ''. Hosts with fewer than `min_pages` pages are judged by
-elements and classes alone. Unclosed and misnested elements are closed where HTML closes them. Repeated rows alike. Empty table: no rows.
+Method. Pages are parsed into elements and the texts that hang directly on them. The pages of a host are merged into one tree: a branch is the path of element
+names with class, id and role, generic containers without those also with their place among their like. For each branch the tree counts its presentations (sequences of
+child elements) and its contents (texts). The importance of a node is the entropy of its contents, or of its presentations if it has none, over the
+greatest entropy for as many occurrences; that of a branch is the mean over itself and all nodes below it, weighted by occurrences and characters and by DECAY for each level. It is set in
+relation to the whole page's and moved towards 1 while the pages that hold the branch are few (w = pages / (pages + EVIDENCE)). Branches of LEAST or less look
+alike on pages that differ and are cut from each page of the host.
+
+The tree comes with a prior, which is all that hosts of few pages have: branches that are by their element, role, class or id menus, headers, footers, sidebars, notices, adverts,
+forms or reader comments are cut on every host (class and id words do not cut html, body, main, article or what holds one), and on a page that has an article or main
+element the text is what stands inside. Inside, the tree cuts only branches with class, id or role: plain elements of an article are its text, however often they
+occur. With prior=False the tree decides alone. Counts are merged by aggregation, so a host with a third of all pages never meets in one task.
+
+Defined cases. Null or empty html: empty text. A page without a host is its own host ''. Elements deeper than DEPTH count as the branch at that depth; their text is
+kept or cut like any other. Unclosed and misnested elements are closed where HTML closes them; a tag or comment that never ends hides what follows. Repeated rows alike. Empty table: no
+rows. Further columns are left out.
 """
 
 from __future__ import annotations
@@ -17,218 +22,285 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stage, table
+from .token_counts import groups
 from .url_filter import host_and_path
 
-MIN_PAGES, LEAST_IMPORTANCE, MAX_RULES = 8, 0.2, 300_000
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+DECAY, EVIDENCE, LEAST, DEPTH = 0.9, 8, 0.75, 32
+#: Branches that are broadcast at once, eight bytes each; with more, pages are read in as many parts.
+MAX_LOW = 2_000_000
+MARKUP = re.compile(r"<(?:(!--)|(!\[CDATA\[)|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=]+|=)\s*(=?)\s*")
+UNQUOTED = re.compile(r"[^\s>]*")
 WORDS = frozenset
 #: Fixed values of HTML.
 VOID = WORDS("area base br col embed hr img input link meta source track wbr param".split())
 RAW = WORDS("script style noscript template textarea title svg iframe object select".split())
 INLINE = WORDS("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var".split())
 CLOSED_BY = {"p": WORDS("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": WORDS(["li"]), "dt": WORDS(["dt", "dd"]), "dd": WORDS(["dt", "dd"]), "tr": WORDS(["tr"]), "td": WORDS(["td", "th", "tr"]), "th": WORDS(["td", "th", "tr"]), "option": WORDS(["option"])}
-#: Never cut by class or id words, nor is what holds them; an article within an article (a comment) is judged as other elements are.
+GENERIC, PLACES = WORDS(["div", "section"]), 8
+#: The prior. Never cut by class or id words, nor is what holds them; an article within an article (a comment) is judged as other elements are.
 FRAME = WORDS("html body main article".split())
 NOISE_TAGS = WORDS("nav header footer aside form button head dialog menu".split())
 NOISE_WORDS = WORDS("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header menu nav navbar navigation newsletter notice pager pagination popup promo related share sharing sidebar social sponsor sponsored subscribe widget".split())
 NOISE_ROLES = WORDS("navigation banner contentinfo complementary search alert dialog form".split())
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
+_SPLIT = re.compile(r"[^a-z]+")
 
 
-def _noisy(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is cut by its name or role, and by the words of its class or id."""
-    role = words = False
-    for m in ATTRIBUTE.finditer(attributes):
-        value = (m[2] or m[3] or m[4] or "").lower()
-        if m[1].lower() == "role":
-            role = role or value in NOISE_ROLES
-        else:
-            words = words or not NOISE_WORDS.isdisjoint(re.split(r"[^a-z]+", value))
-    return role or tag in NOISE_TAGS, words
-
-
-def _label(tag: str, attributes: str) -> str:
-    named = sorted(f"{m[1].lower()}={(m[2] or m[3] or m[4] or '').strip().lower()}" for m in ATTRIBUTE.finditer(attributes)) if attributes else []
-    return f"{tag}[{' '.join(named)}]" if named else tag
-
-
-def parse(page: str | None) -> list[tuple[str, str, bool, bool]]:
-    """Blocks (branch, text, cut by element or class, inside the article) of a page in order; text is decoded, white space not yet collapsed."""
-    blocks: list[tuple[str, str, bool, bool]] = []
-    cuts: list[frozenset[int]] = []  # of each block, the elements around it that class or id words may cut
-    cleared: set[int] = set()  # those that turned out to hold an article
-    stack: list[tuple[str, str, bool, bool, frozenset[int]]] = [("", "", False, False, WORDS())]  # tag, branch, noisy, article, cuts
-    text: list[str] = []
-    raw, at, page = "", 0, page or ""
-
-    def flush() -> None:
-        if text:
-            joined = entities.unescape("".join(text))
-            text.clear()
-            if not joined.isspace():
-                _, branch, noisy, article, by = stack[-1]
-                blocks.append((branch, joined, noisy, article))
-                cuts.append(by)
-
-    def close(depth: int) -> None:
-        flush()
-        del stack[depth:]
-
-    while at < len(page):
-        if raw:
-            end = re.compile(rf"</{raw}\b[^>]*>", re.I).search(page, at)
-            at, raw = end.end() if end else len(page), ""
-            continue
-        m = TOKEN.search(page, at)
+def _digest(s: str) -> int:
+    return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def _attributes(page: str, at: int) -> tuple[dict[str, str], int, bool]:
+    """(class, id and role, where the tag ends, whether it closes itself); the end is -1 for a tag that never ends."""
+    named: dict[str, str] = {}
+    while True:
+        m = ATTRIBUTE.match(page, at)
         if not m:
-            text.append(page[at:])
-            break
-        if m.start() > at:
+            end = page.find(">", at)
+            return named, end + 1 if end >= 0 else -1, "/" in page[at:end]
+        at, value = m.end(), ""
+        if m[2]:
+            quote = page[at : at + 1]
+            if quote in ("'", '"') and quote:
+                end = page.find(quote, at + 1)
+                if end < 0:
+                    end = page.find(">", at)
+                    return named, end + 1 if end >= 0 else -1, False
+                value, at = page[at + 1 : end], end + 1
+            else:
+                v = UNQUOTED.match(page, at)
+                value, at = v[0], v.end()
+        if (name := m[1].lower()) in ("class", "id", "role") and name not in named:
+            named[name] = value.strip().lower()
+
+
+class Page:
+    """Elements of a page in the order in which they begin, and its texts with the elements they hang on. Element 0 is the page."""
+
+    def __init__(self, page: str | None, host: str | None = "", known: dict | None = None):
+        self.known = {} if known is None else known  # branches by parent and label, shared among pages
+        self.parent, self.tag, self.depth, self.shape = [-1], [""], [0], [0]
+        self.branch = [self._of(0, host or "")]
+        self.labelled, self.noisy, self.wordy, self.clear, self.inside, self.story = [False], [False], [False], [False], [False], [False]
+        self.texts: list[tuple[int, str]] = []
+        self._read(page or "")
+
+    def _of(self, branch: int, label: str) -> int:
+        got = self.known.get((branch, label))
+        if got is None:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            got = self.known[branch, label] = _digest(f"{branch} {label}")
+        return got
+
+    def _open(self, at: int, tag: str, named: dict[str, str], places: dict) -> int:
+        label = f"{tag} {named}" if named else tag
+        if tag in GENERIC and not named:
+            place = places[at, tag] = places.get((at, tag), -1) + 1
+            label = f"{tag} {min(place, PLACES)}"
+        k, story = len(self.tag), self.story[at]  # story: within an article
+        self.shape[at] = hash((self.shape[at], len(label), self._of(1, label)))
+        frame = tag in FRAME and not (tag == "article" and story)
+        if frame:
+            up = at
+            while up >= 0 and not self.clear[up]:
+                self.clear[up], up = True, self.parent[up]
+        self.parent.append(at)
+        self.tag.append(tag)
+        self.depth.append(self.depth[at] + 1)
+        self.branch.append(self._of(self.branch[at], label) if self.depth[at] < DEPTH else self.branch[at])
+        self.shape.append(0)
+        self.labelled.append(bool(named))
+        self.noisy.append(tag in NOISE_TAGS or named.get("role") in NOISE_ROLES)
+        self.wordy.append(not frame and bool(named) and not all(NOISE_WORDS.isdisjoint(_SPLIT.split(named.get(a, ""))) for a in ("class", "id")))
+        self.clear.append(frame)
+        self.inside.append(self.inside[at] or tag in ("article", "main"))
+        self.story.append(story or tag == "article")
+        return k
+
+    def _read(self, page: str) -> None:
+        stack, open_tags, places, text, at = [0], Counter(), {}, [], 0
+
+        def flush() -> None:
+            if text:
+                joined = " ".join(entities.unescape("".join(text)).split())
+                text.clear()
+                if joined:
+                    self.texts.append((stack[-1], joined))
+
+        def close(depth: int) -> None:
+            flush()
+            while len(stack) > depth:
+                open_tags[self.tag[stack.pop()]] -= 1
+
+        while at < len(page):
+            m = MARKUP.search(page, at)
+            if not m:
+                text.append(page[at:])
+                break
             text.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                text.append(entities.escape(m[0][9:].removesuffix("]]>")))
-            continue
-        tag = m[2].lower()
-        if tag in INLINE:
-            continue
-        if m[1]:
+            at = m.end()
+            if m[1]:
+                end = page.find("-->", at)
+                at = end + 3 if end >= 0 else len(page)
+                continue
+            if m[2]:
+                end = page.find("]]>", at)
+                text.append(entities.escape(page[at : end if end >= 0 else len(page)]))
+                at = end + 3 if end >= 0 else len(page)
+                continue
+            if not m[4]:
+                end = page.find(">", at)
+                at = end + 1 if end >= 0 else len(page)
+                continue
+            tag = m[4].lower()
+            named, alone = {}, False
+            if page[at : at + 1] == ">":
+                at += 1
+            else:
+                named, at, alone = _attributes(page, at)
+                if at < 0:
+                    break
+            if tag in INLINE:
+                continue
+            if m[3]:
+                if open_tags[tag] > 0:
+                    k = len(stack) - 1
+                    while self.tag[stack[k]] != tag:
+                        k -= 1
+                    close(k)
+                else:
+                    flush()
+                continue
+            if tag in VOID:
+                if tag in ("br", "hr"):
+                    text.append("\n")
+                continue
+            flush()
+            if tag in RAW:
+                if not (alone and tag == "svg"):
+                    end = _END[tag].search(page, at)
+                    at = end.end() if end else len(page)
+                continue
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
+                if tag in CLOSED_BY.get(self.tag[stack[k]], ()):
                     close(k)
                     break
-            else:
-                flush()
-            continue
-        if tag in VOID:
-            if tag in ("br", "hr"):
-                text.append("\n")
-            continue
-        if tag in RAW:
-            flush()
-            raw = "" if m[3].endswith("/") and tag == "svg" else tag
-            continue
+                if self.tag[stack[k]] not in CLOSED_BY:
+                    break
+            stack.append(self._open(stack[-1], tag, named, places))
+            open_tags[tag] += 1
         flush()
-        for k in range(len(stack) - 1, 0, -1):
-            if tag in CLOSED_BY.get(stack[k][0], ()):
-                close(k)
-                break
-            if stack[k][0] not in CLOSED_BY:
-                break
-        _, branch, noisy, article, by = stack[-1]
-        fixed, words = _noisy(tag, m[3])
-        if tag in FRAME and not (tag == "article" and any(x[0] == "article" for x in stack)):
-            cleared |= by
-        elif words:
-            by = by | {at}
-        stack.append((tag, f"{branch}/{_label(tag, m[3])}", noisy or fixed, article or tag in ("article", "main"), by))
-    flush()
-    return [(branch, joined, noisy or not by <= cleared, article) for (branch, joined, noisy, article), by in zip(blocks, cuts, strict=True)]
 
-
-def _digest(s: str) -> int:
-    return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-
-
-def branches(blocks: list[tuple[str, str, bool, bool]]) -> dict[str, list[str]]:
-    """Texts of each branch and of the branches it hangs on; '' is the page."""
-    out: dict[str, list[str]] = {}
-    for branch, text, _, _ in blocks:
-        while True:
-            out.setdefault(branch, []).append(text)
-            if not branch:
-                break
-            branch = branch.rpartition("/")[0] if "[" not in branch else _parent(branch)
-    return out
-
-
-def _parent(branch: str) -> str:
-    depth = 0
-    for i in range(len(branch) - 1, -1, -1):
-        depth += (branch[i] == "]") - (branch[i] == "[")
-        if branch[i] == "/" and depth <= 0:
-            return branch[:i]
-    return ""
-
-
-def extract(page: str | None, low: set[int]) -> str:
-    """The main text; low: digests of the branches of low importance on this host."""
-    blocks = [b for b in parse(page) if not b[2]]
-    if low:
-        known: dict[str, bool] = {}
-
-        def cut(branch: str, article: bool) -> bool:
-            if branch not in known:
-                # the plain elements of an article are its text, however often they occur
-                known[branch] = bool(branch) and ((branch.endswith("]") or not article) and _digest(branch) in low or cut(_parent(branch), article))
-            return known[branch]
-
-        blocks = [b for b in blocks if not cut(b[0], b[3])] or blocks
-    if any(b[3] for b in blocks):
-        blocks = [b for b in blocks if b[3]]
-    return " ".join(" ".join(text.split()) for _, text, _, _ in blocks if text.split())
-
-
-def style_tree(pages: DataFrame, min_pages: int = MIN_PAGES, least: float = LEAST_IMPORTANCE) -> DataFrame:
-    """host, branch: digests of the branches of low importance; staged. pages(host, html)."""
+    def text(self, low: set[int] | np.ndarray, prior: bool = True) -> str:
+        """The main text; low: branches of low importance."""
+        cut = [False] * len(self.tag)
+        for k in range(1, len(cut)):  # parents stand before their children
+            frame = self.tag[k] in FRAME and self.clear[k] and not (prior and self.tag[k] == "article" and self.story[self.parent[k]])
+            by_tree = self.branch[k] in low and not frame and (self.labelled[k] or not (prior and self.inside[k]))
+            cut[k] = cut[self.parent[k]] or by_tree or prior and (self.noisy[k] or self.wordy[k] and not self.clear[k])
+        kept = [(k, t) for k, t in self.texts if not cut[k]]
+        if prior and any(self.inside[k] for k, _ in kept):
+            kept = [(k, t) for k, t in kept if self.inside[k]]
+        return " ".join(t for _, t in kept)
+
+
+def extract(page: str | None, low: set[int], host: str = "", prior: bool = True) -> str:
+    return Page(page, host).text(low, prior)
+
+
+def count_page(page: Page, counts: Counter) -> None:
+    """Adds a page to counts of (root, branch, kind, value, levels): kind 0 presentations, 1 contents, 2 a branch above (or itself) so many levels up, 3 pages, 4 characters."""
+    root, above = page.branch[0], {}
+    for k, branch in enumerate(page.branch):
+        if page.depth[k] <= DEPTH:
+            counts[root, branch, 0, page.shape[k], 0] += 1
+        if branch not in above:
+            above[branch] = True
+            counts[root, branch, 3, 0, 0] += 1
+            up, levels = k, 0
+            while up >= 0:
+                counts[root, branch, 2, page.branch[up], levels] += 1
+                up, levels = page.parent[up], levels + 1
+                while up > 0 and page.depth[up] > DEPTH:
+                    up = page.parent[up]
+    for k, t in page.texts:
+        counts[root, page.branch[k], 1, _digest(t), 0] += 1
+        counts[root, page.branch[k], 4, 0, 0] += len(t)
+
+
+def style_tree(pages: DataFrame) -> DataFrame:
+    """root, branch, importance: the tree of each host (root: its digest); staged. pages(host, html)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                hosts, keys, contents, shapes = [], [], [], []
-                part = batch.slice(at, 500)
+            for a, b in groups(batch.column(1)):
+                part, counts = batch.slice(a, b - a), Counter()
                 for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    blocks = parse(page)
-                    for branch, texts in branches(blocks).items():
-                        hosts.append(host)
-                        keys.append(_digest(branch) if branch else 0)
-                        contents.append(_digest(" ".join(" ".join(texts).split())))
-                        shapes.append(len(texts))
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(contents, pa.int64()), pa.array(shapes, pa.int64())], ["host", "branch", "content", "shape"])
-
-    rows = pages.mapInArrow(run, "host string, branch long, content long, shape long")
-    seen = rows.groupBy("host", "branch", "content", "shape").agg(F.count("*").alias("n"))
-
-    def entropy(by: str, name: str) -> DataFrame:
-        each = seen.groupBy("host", "branch", by).agg(F.sum("n").alias("n"))
-        h = F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")
-        return each.groupBy("host", "branch").agg(F.sum("n").alias("m"), F.greatest(h, F.lit(0.0)).alias(name))
-
-    seen = stage(seen, "tree")
-    node = entropy("content", "h_content").join(entropy("shape", "h_shape").drop("m"), ["host", "branch"])
-    node = node.where(F.col("m") >= min_pages)
-    page = node.where("branch = 0").select("host", F.col("h_content").alias("h_page"))
-    node = node.where("branch <> 0").join(page, "host").where(F.col("h_page") > 0)
-    low = node.where(F.greatest("h_content", "h_shape") < least * F.least(F.col("h_page"), F.log(F.col("m"))))
-    return stage(low.select("host", "branch"), "low")
-
-
-def page_text(pages: DataFrame) -> DataFrame:
+                    count_page(Page(page, host, known), counts)
+                keys = np.array(list(counts), np.int64).reshape(-1, 5)
+                yield pa.RecordBatch.from_arrays([*(pa.array(keys[:, i]) for i in range(5)), pa.array(list(counts.values()), pa.int64())], ["root", "branch", "kind", "value", "levels", "n"])
+
+    rows = pages.mapInArrow(run, "root long, branch long, kind long, value long, levels long, n long")
+    seen = stage(rows.groupBy("root", "branch", "kind", "value", "levels").agg(F.sum("n").alias("n")), "tree")
+    total, spread = F.sum("n"), F.sum(F.col("n") * F.log("n"))
+    kinds = seen.where("kind <> 2").groupBy("root", "branch", "kind").agg(total.alias("n"), F.when(total > 1, 1 - spread / (total * F.log(total))).otherwise(1.0).alias("x"))
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    node = kinds.groupBy("root", "branch").agg(F.greatest(F.coalesce(of(1, "x"), of(0, "x")), F.lit(0.0)).alias("own"), (of(0, "n") + F.coalesce(of(4, "n"), F.lit(0))).alias("n"), of(3, "n").alias("pages"))
+    node = stage(node, "nodes")
+    below = seen.where("kind = 2").select("root", "branch", F.col("value").alias("above"), "levels").join(node, ["root", "branch"])
+    weight = F.col("n") * F.pow(F.lit(DECAY), F.col("levels"))
+    whole = below.groupBy("root", F.col("above").alias("branch")).agg((F.sum(weight * F.col("own")) / F.sum(weight)).alias("x"))
+    page = whole.where("root = branch").select("root", F.col("x").alias("whole"))
+    rel = F.when(F.col("whole") > 0, F.least(F.col("x") / F.col("whole"), F.lit(1.0))).otherwise(1.0)
+    tree = whole.join(page, "root").join(node.select("root", "branch", "pages"), ["root", "branch"])
+    return stage(tree.select("root", "branch", (1 - F.col("pages") / (F.col("pages") + EVIDENCE) * (1 - rel)).alias("importance")), "importance")
+
+
+def page_text(pages: DataFrame, prior: bool = True) -> DataFrame:
     """pages(page_id, url, html) -> page_id, url, text, n_chars."""
     host = host_and_path(F.col("url"))[0]
     rows = pages.select("page_id", "url", host.alias("host"), "html")
-    low = style_tree(rows.select("host", "html"))
-    cuts = low.groupBy("host").agg(F.collect_list("branch").alias("low"))
-    cuts = F.broadcast(cuts) if low.limit(MAX_RULES + 1).count() <= MAX_RULES else cuts
-    joined = rows.join(cuts, "host", "left").select("page_id", "url", "html", "low")
+    low = style_tree(rows.select("host", "html")).where(F.col("importance") <= LEAST).where("root <> branch").select("root", "branch")
+    parts = -(-max(low.count(), 1) // MAX_LOW)
+    kind = pages.schema["page_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                texts = [extract(h, set(x or ())) for h, x in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+    def part_of(i: int) -> DataFrame:
+        mine = rows if parts == 1 else rows.where(F.pmod(F.xxhash64(F.coalesce("host", F.lit(""))), F.lit(parts)) == i)
+        roots = mine.select(F.coalesce("host", F.lit("")).alias("host")).distinct() if parts > 1 else None
+        few = low if roots is None else low.join(roots.mapInArrow(_roots, "root long"), "root", "left_semi")
+        shared = pages.sparkSession.sparkContext.broadcast(np.sort(few.select("branch").toArrow().column(0).to_numpy()))  # MAX_LOW or so
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cut, known = set(shared.value.tolist()), {}
+            for batch in batches:
+                for a, b in groups(batch.column(3)):
+                    part = batch.slice(a, b - a)
+                    texts = [Page(h, host, known).text(cut, prior) for host, h in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+        return mine.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+
+    out = part_of(0)
+    for i in range(1, parts):
+        out = out.union(part_of(i))
+    return out
 
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([_digest(f"0 {h or ''}") for h in batch.column(0).to_pylist()], pa.int64())], ["root"])
 
 
 def op7_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,7 +165,7 @@ def test_automaton_agrees_with_re():
     rng, scanner = random.Random(1), secrets.Scanner(secrets.compile_rules(), lane=16)
     parts = ["password", "PassWd", "secret", "token", "apikey", "api_key", "=", ":", '"', "'", " ", "abc", "deadbeef", "0123456789abcdef", "AKIA", "ABCDEFGH12345678", "ghp_", "a1b2", "xoxb-", "eyJ", ".", "-----BEGIN ", "RSA PRIVATE KEY-----", "PRIVATE KEY-----", "-", "_", "é", "\n", ",", "=="]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(4000)]
-    texts += ["eyJ" * 30_000, "password" + " " * 60_000 + "=abcdefgh", "0" * 50_000, "token=" * 9000]
+    texts += ["eyJ" * 3000, "password" + " " * 60_000 + "=abcdefgh", "0" * 50_000, "token=" * 9000]
     raw = [t.encode() for t in texts]
     ends = numpy.cumsum([0, *map(len, raw)])
     data, got = numpy.frombuffer(b"".join(raw), numpy.uint8), [[] for _ in texts]
