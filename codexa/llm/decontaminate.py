@@ -3,14 +3,14 @@
 Method. 1. Occurrences in the corpus are counted for all terms of the benchmark. 2. Every window of an item takes its two
 rarest terms as anchors; postings (term, document, position) of the anchors are stored. 3. The posting lists meet offset-adjusted: an
 occurrence of a window has both its anchors on the same diagonal (position minus offset in the item), so diagonals with at least two
-anchors are candidates; anchors of one item on diagonals at most `slop` apart are a proximity match. 4. Along each candidate diagonal
-the words are compared one by one: exact phrase matches.
+anchors are candidates; two anchors of one item on diagonals at most `slop` apart are a proximity match. 4. Along each candidate diagonal
+the words are compared one by one: exact phrase matches. Postings of the other terms would only repeat the texts, so these words are read from the texts.
 
 Terms are matched by lower() and confirmed by the exact rule (only A-Z are lower-cased). Hash or broadcast joins are used for a side
 only after its rows are counted; beyond the bound the planner shuffles.
 
 Defined cases. Null or wordless texts and items: nothing found. An item shorter than a window is one window. Equal items are searched
-once and reported each. Repeated rows get equal results. Empty benchmark: nothing found. Further columns stay with contamination().
+once and reported each. Repeated rows get equal results. Empty benchmark: nothing found. Further columns are left alone.
 """
 
 from __future__ import annotations
@@ -19,11 +19,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import stage, table
+from .common import drop, stage, table, unused
 
 WINDOW, SLOP = 10, 5
 #: Rows up to which a table of terms or of candidate documents is broadcast.
-MAX_TERMS, MAX_DOCS = 1_000_000, 300_000
+MAX_TERMS, MAX_DOCS = 500_000, 200_000
+#: Candidate diagonals (under 150 bytes each) up to which they are broadcast, and in one row.
+MAX_CANDS, ROW_CANDS = 150_000, 1000
 #: What separates words before A-Z are lower-cased.
 SEPARATOR = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -86,8 +88,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = stage(hits_of(core, anchors), "diagonals")
     near = proximity(hits).groupBy("doc_id", "th").agg(F.count("*").alias("n_near"))
     cand = hits.groupBy("doc_id", "th", "gid", "diag", "len", "win").agg(F.count("*").alias("n")).where((F.col("n") >= 2) | (F.col("win") == 1))
-    cand = stage(cand.groupBy("doc_id", "th").agg(F.collect_list(F.struct("gid", "diag", "len", "win")).alias("cs")), "candidates")
-    few = _small(cand.withColumnsRenamed({"doc_id": "c_id", "th": "c_th"}), MAX_DOCS)
+    cand = stage(cand, "diagonals")
+    many = cand.groupBy(F.col("doc_id").alias("m_id"), F.col("th").alias("m_th")).agg((1 + F.floor(F.count("*") / ROW_CANDS)).alias("parts")).where("parts > 1")
+    part = F.pmod(F.xxhash64("gid", "diag"), F.coalesce("parts", F.lit(1)))
+    dealt = cand.join(many, (F.col("th") == F.col("m_th")) & F.col("doc_id").eqNullSafe(F.col("m_id")), "left").withColumn("part", part)
+    rows = stage(dealt.groupBy(F.col("doc_id").alias("c_id"), F.col("th").alias("c_th"), "part").agg(F.collect_list(F.struct("gid", "diag", "len", "win")).alias("cs")), "candidates")
+    few = F.broadcast(rows) if cand.limit(MAX_CANDS + 1).count() <= MAX_CANDS else rows
     d = core.where("text is not null").withColumn("th", F.xxhash64("text"))
     d = d.join(few, (F.col("th") == F.col("c_th")) & F.col("doc_id").eqNullSafe(F.col("c_id")))
     d = d.select("doc_id", "th", "cs", words(F.col("text")).alias("w"))
@@ -103,32 +109,34 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     none = F.lit(None)
     both = exact.withColumn("n_near", none.cast("long")).unionByName(near.withColumns({"n_hit": none.cast("long"), "ids": none.cast("array<string>")}))
-    return stage(both.groupBy("doc_id", "th").agg(*[F.max(c).alias(c) for c in ("n_hit", "ids", "n_near")]), "matches")
+    out = stage(both.groupBy("doc_id", "th").agg(*[F.max(c).alias(c) for c in ("n_hit", "ids", "n_near")]), "matches")
+    drop(hits, cand, rows, anchors)
+    return out
 
 
-def _attach(docs: DataFrame, found: DataFrame) -> DataFrame:
-    f = found.withColumnsRenamed({"doc_id": "_f_id", "th": "_f_th"})
-    return docs.withColumn("_th", F.xxhash64("text")).join(f, (F.col("_th") == F.col("_f_th")) & F.col("doc_id").eqNullSafe(F.col("_f_id")), "left")
+def _keyed(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
+    """docs with the hash of the text, found with its keys renamed, and the condition that joins them; no name clashes."""
+    own, f_id, f_th = unused([*docs.columns, *found.columns], "_th", "_f_id", "_f_th")
+    renamed = found.withColumnsRenamed({"doc_id": f_id, "th": f_th})
+    return docs.withColumn(own, F.xxhash64("text")), renamed, (F.col(own) == F.col(f_th)) & F.col("doc_id").eqNullSafe(F.col(f_id))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that hold a window of an item; columns as before."""
-    found = stage(contamination(docs, benchmark).where("n_hit > 0").select("doc_id", "th"), "leaks")
-    f = _small(found.withColumnsRenamed({"doc_id": "_f_id", "th": "_f_th"}), MAX_DOCS)
-    d = docs.withColumn("_th", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    return d.join(f, (F.col("_th") == F.col("_f_th")) & F.col("doc_id").eqNullSafe(F.col("_f_id")), "left_anti").drop("_th")
+    d, found, same = _keyed(docs, stage(contamination(docs, benchmark).where("n_hit > 0").select("doc_id", "th"), "leaks"))
+    return d.join(_small(found, MAX_DOCS), same, "left_anti").select(*docs.columns)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = contamination(docs, table(spark, sf_dir, "benchmark"))
-    rows = docs.select("doc_id", "text", F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    out = _attach(rows, found)
+    rows, found, same = _keyed(docs.select("doc_id", "text", F.size(words(F.col("text"))).cast("long").alias("n_words")), found)
+    out = rows.join(found, same, "left")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
-        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
     )
 
 
@@ -143,8 +151,19 @@ dw as (select r, n, s, array_to_string(w[s:s + n - 1], ' ') as k
        from (select r, w, n, unnest(range(1, len(w) - n + 2)) as s from d, (select distinct n from bw) where len(w) >= n)),
 m as (select distinct r, s, n, id from dw join bw using (n, k)),
 p as (select r, count(distinct s + o) as n_hit from (select r, s, unnest(range(n)) as o from m) group by r),
-i as (select r, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct r, id from m) group by r)
+i as (select r, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct r, id from m) group by r),
+tok as (select r, unnest(range(len(w))) as pos, lower(unnest(w)) as key from d),
+it as (select distinct w, least(len(w), 10) as win from b where len(w) > 0 and id is not null),
+bt as (select w, win, unnest(range(len(w))) as off, lower(unnest(w)) as key from it),
+cnt as (select key, count(*) as c from tok where key in (select key from bt) group by 1),
+bc as (select w, win, off, key, coalesce(c, 0) as c from bt left join cnt using (key)),
+sp as (select w, win, unnest(range(len(w) - win + 1)) as s from it),
+rk as (select w, off, key, row_number() over (partition by w, s order by c, off, key) as k from sp join bc using (w, win) where off >= s and off < s + win),
+an as (select distinct w, off, key from rk where k <= 2),
+hi as (select r, w, off, pos - off as diag from tok join an using (key)),
+nr as (select r, w, off <> lag(off) over x as other, diag - lag(diag) over x as gap from hi window x as (partition by r, w order by diag, off)),
+ne as (select r, count(distinct w) as n_near from nr where other and gap <= {SLOP} group by r)
 select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
-       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from d left join p using (r) left join i using (r)
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(n_near, 0)::bigint as n_near
+from d left join p using (r) left join i using (r) left join ne using (r)
 """

@@ -6,7 +6,8 @@ below by more is not; for lines within the error band the sites are counted exac
 the texts; other lines stay as they are, byte by byte.
 
 Defined cases. Null text: stays null, no lines. A null site counts as one site. Empty and very long texts are handled whole. Repeated rows are cleaned
-alike. Empty table: no rows. A text of which all lines go becomes empty. Further columns are kept; n_chars, if present, is set anew.
+alike. Empty table: no rows. A text of which all lines go becomes empty. Further columns are kept; n_chars, if present, is set anew; a made column whose name is
+taken gets underscores.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, stage, table
+from .common import SPACE, stage, table, unused
 
 MIN_SITES, LG_K = 10, 12
 
@@ -42,25 +43,22 @@ def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """docs with cleaned texts and the columns n_lines, n_removed in front of nothing else: columns as before plus those two."""
+    """docs with cleaned texts: columns as before, then n_lines and n_removed."""
     core = docs.select("doc_id", "text", "source")
-    bad = spread_lines(core, min_sites)
-    hit = _lines(core).select("doc_id", "th", "lh").join(bad, "lh", "left_semi")
-    hit = stage(hit.groupBy("doc_id", "th").agg(F.collect_set("lh").alias("_bad")), "hits")
-    keyed = docs.withColumns({"_th": F.xxhash64("text"), "_id": F.col("doc_id")})
-    hit = hit.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_bad")
+    lines, removed, own, hit_id, hit_th, bad, clean = unused(docs.columns, "n_lines", "n_removed", "_th", "_hit_id", "_hit_th", "_bad", "_clean")
+    hit = _lines(core).select("doc_id", "th", "lh").join(spread_lines(core, min_sites), "lh", "left_semi")
+    hit = stage(hit.groupBy(F.col("doc_id").alias(hit_id), F.col("th").alias(hit_th)).agg(F.collect_set("lh").alias(bad)), "hits")
     # ids are compared null-safe; a merge join at every size, as the documents that hold a common line grow with the corpus
-    out = keyed.join(hit.hint("merge").withColumnRenamed("_id", "_hid").withColumnRenamed("_th", "_hth"), (F.col("_th") == F.col("_hth")) & F.col("_id").eqNullSafe(F.col("_hid")), "left")
+    out = docs.withColumn(own, F.xxhash64("text")).join(hit.hint("merge"), (F.col(own) == F.col(hit_th)) & F.col("doc_id").eqNullSafe(F.col(hit_id)), "left")
     split = F.split("text", "\n", -1)
-    kept = F.filter(split, lambda x: ~((_trim(x) != "") & F.array_contains(F.col("_bad"), F.xxhash64(_trim(x)))))
-    cleaned = F.when(F.col("_bad").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(split, lambda x: ~((_trim(x) != "") & F.array_contains(F.col(bad), F.xxhash64(_trim(x)))))
     out = out.withColumns({
-        "_clean": cleaned,
-        "n_lines": F.coalesce(F.size(split), F.lit(0)).cast("long"),
-        "n_removed": F.when(F.col("_bad").isNull(), 0).otherwise(F.size(split) - F.size(kept)).cast("long"),
+        clean: F.when(F.col(bad).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
+        lines: F.coalesce(F.size(split), F.lit(0)).cast("long"),
+        removed: F.when(F.col(bad).isNull(), 0).otherwise(F.size(split) - F.size(kept)).cast("long"),
     })
-    cols = [F.col("_clean").alias("text") if c == "text" else F.length("_clean").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*cols, "n_lines", "n_removed")
+    cols = [F.col(clean).alias("text") if c == "text" else F.length(clean).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return out.select(*cols, lines, removed)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,14 +66,13 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.md5("text").alias("text_md5"))
 
 
-_THREE = "[^ \\t\\n\\x0B\\f\\r][ \\t\\x0B\\f\\r]+[^ \\t\\n\\x0B\\f\\r]+[ \\t\\x0B\\f\\r]+[^ \\t\\n\\x0B\\f\\r]"
 _TRIMMED = "trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 ORACLE_SQL = f"""
 with l as (select doc_id, coalesce('=' || source, '') as site, unnest(string_split(text, chr(10))) as x from documents),
-bad as (select {_TRIMMED} as b from l where regexp_matches(x, '{_THREE}') group by 1 having count(distinct site) >= {MIN_SITES}),
+bad as (select {_TRIMMED} as b from l where {_TRIMMED} <> '' group by 1 having count(distinct site) >= {MIN_SITES}),
 o as (select row_number() over () as r, doc_id, text, string_split(text, chr(10)) as ls from documents),
 e as (select r, unnest(ls) as x, unnest(range(len(ls))) as i from o),
-k as (select r, i, x, regexp_matches(x, '{_THREE}') and {_TRIMMED} in (select b from bad) as gone from e),
+k as (select r, i, x, {_TRIMMED} in (select b from bad) as gone from e),
 a as (select r, coalesce(string_agg(x, chr(10) order by i) filter (where not gone), '') as t, count(*) as n, count(*) filter (where gone) as g from k group by r)
 select doc_id, coalesce(n, 0)::bigint as n_lines, coalesce(g, 0)::bigint as n_removed, length(case when text is null then null else t end)::bigint as n_chars_left, md5(case when text is null then null else t end) as text_md5
 from o left join a using (r)

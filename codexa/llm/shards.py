@@ -4,8 +4,8 @@ Method. Each document is a point with a weight (bytes of its text plus 16) and t
 and log of the size. A node that stands for k shards is split along its widest coordinate at the weighted quantile
 floor(k/2)/k, and so on until each leaf is one shard. The quantile is found by distributed histograms: every round sums the
 weights of 4096 buckets for each node in one job and narrows the bucket that straddles the target, until it weighs little.
-Ties of a coordinate are ordered by a hash of the row, so that a source or a group of copies with a third of all rows splits as
-well. The driver sees at most shards x 4096 sums a round. Slots are numbered in small sub-buckets with offsets, so no shard meets in
+Ties of a coordinate are ordered by a hash of the row, and rows that are equal in all by their place in the staged points, so that a source, a group of copies or
+a repeated row with a third of all rows splits as well: equal texts may go to several shards, as balance by bytes asks for. Points are staged again every second level. The driver sees at most shards x 4096 sums a round. Slots are numbered in small sub-buckets with offsets, so no shard meets in
 one task.
 
 Law: bytes. Defined cases. Null text: 0 bytes, crc of the empty string. Null language or source: a value of its own. Repeated rows get
@@ -19,10 +19,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import stage, table
+from .common import drop, stage, table
 
 DIMS = ("source_dim", "lang_dim", "size_dim")
 DIM_BITS, TIE_BITS, STEP = 24, 36, 12
+#: Low bits of a tie that tell equal rows apart.
+ROW_BITS = 10
 
 
 def _category(c: str) -> Column:
@@ -37,7 +39,8 @@ def points(docs: DataFrame) -> DataFrame:
     )
     return d.withColumns({
         "size_dim": F.least(F.lit((1 << DIM_BITS) - 1), F.floor(F.log2("size") * (1 << 18))).cast("long"),
-        "tie": F.xxhash64("doc_id", "text_crc32", "size").bitwiseAND(F.lit((1 << TIE_BITS) - 1)),
+        "tie": F.shiftleft(F.xxhash64("doc_id", "text_crc32", "size").bitwiseAND(F.lit((1 << TIE_BITS - ROW_BITS) - 1)), ROW_BITS)
+        + F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << ROW_BITS) - 1)),
     })
 
 
@@ -89,16 +92,22 @@ def kd_shards(docs: DataFrame, shards: int = 40, close: float = 5e-4, rows_per_b
     base = stage(points(docs.select("doc_id", "text", "lang", "source")), "points")
     span = base.agg(F.count("*").alias("n"), *[(F.max(d) - F.min(d)).alias(d) for d in DIMS]).first()
     width = {d: float(span[d] or 0) for d in DIMS}
-    pts, nodes = base.withColumn("node", F.lit(1).cast("long")), {1: shards}
+    pts, nodes, level, held = base.withColumn("node", F.lit(1).cast("long")), {1: shards}, 0, base
     while any(k > 1 for k in nodes.values()):
         cuts = split_level(pts, nodes, width, close)
         pts = _with(pts, [(n, d, c) for n, (d, c) in cuts.items()], "dim string, cut long", "left")
         right = (_order(F.col("dim")) >= F.col("cut")).cast("long")
         pts = pts.withColumn("node", F.when(F.col("cut").isNull(), F.col("node")).otherwise(F.col("node") * 2 + right)).drop("dim", "cut")
+        level += 1
+        if level % 2 == 0:
+            pts = stage(pts, "points")
+            drop(held)
+            held = pts
         nodes = {m: j for n, k in nodes.items() for m, j in (((2 * n, k // 2), (2 * n + 1, k - k // 2)) if n in cuts else ((n, k),))}
     deep = max(n.bit_length() for n in nodes)
     leaves = sorted(nodes, key=lambda n: n << (deep - n.bit_length()))  # from left to right
     pts = stage(_with(pts, [(n, i) for i, n in enumerate(leaves)], "shard int"), "leaves")
+    drop(held)
     parts = max(16, span["n"] // (shards * rows_per_bucket) + 1)
     pts = pts.withColumn("sub", F.pmod(F.xxhash64("tie"), F.lit(parts)))
     counts = pts.groupBy("shard", "sub").agg(F.count("*").alias("n"))

@@ -44,7 +44,7 @@ def prepare_rules(rules: DataFrame) -> DataFrame:
     return r.select("verdict", F.concat("host", "path").alias("rule"), F.col("host").alias("r_host"), F.col("path").alias("r_path"), digest.alias("digest")).withColumn("prefix", F.substring("digest", 1, 8))
 
 
-def judge(urls: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
+def judge(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Distinct urls(url) -> url, rule, verdict for those that a rule fits."""
     ready = prepare_rules(rules)
     lengths = ready.select(F.col("r_host").alias("h"), F.length("r_path").alias("n")).distinct()
@@ -63,11 +63,13 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow") -> DataFram
 
 
 def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
-    """pages(page_id, url) -> page_id, host, path, rule, verdict."""
+    """pages(page_id, url) -> page_id, host, path, rule, verdict. Null urls meet nothing and do not take part in the join, which would send them all to one task."""
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
-    out = rows.join(judge(rows, rules, default), "url", "left")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    known = rows.where("url is not null")
+    out = known.join(judge(known, rules), "url", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    none = rows.where("url is null").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    return out.union(none)
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,6 +81,39 @@ def test_shards_balance_equal_rows(spark):
     assert max(size.values()) <= 505 and min(size.values()) >= 495
 
 
+def test_shards_are_a_kd_tree(spark):
+    """Every split stands on the widest coordinate, at the weighted median, for a table with a hot source and large texts."""
+    rng = random.Random(3)
+    rows = [(i, "x" * int(10 ** rng.uniform(1, 3.5)), rng.choice(["en", "de", "fr"]), "hot" if i % 3 == 0 else f"s{rng.randrange(9)}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    shard = {r["doc_id"]: r["shard"] for r in shards.kd_shards(docs, 10).collect()}
+    point = {r["doc_id"]: r for r in shards.points(docs).collect()}
+    span = {d: max(p[d] for p in point.values()) - min(p[d] for p in point.values()) for d in shards.DIMS}
+
+    def check(lo, hi, ids):
+        k = hi - lo
+        if k == 1:
+            assert {shard[i] for i in ids} == {lo}
+            return
+        width = {d: (max(point[i][d] for i in ids) - min(point[i][d] for i in ids)) / max(span[d], 1) for d in shards.DIMS}
+        dim, mid = max(shards.DIMS, key=lambda d: (width[d], -shards.DIMS.index(d))), lo + k // 2
+        left, right = [i for i in ids if shard[i] < mid], [i for i in ids if shard[i] >= mid]
+        assert max(point[i][dim] for i in left) <= min(point[i][dim] for i in right)
+        weight = lambda x: sum(point[i]["size"] for i in x)
+        assert abs(weight(left) - weight(ids) * (k // 2) / k) <= 0.001 * weight(ids) + max(point[i]["size"] for i in ids)
+        check(lo, mid, left)
+        check(mid, hi, right)
+
+    check(0, 10, list(point))
+
+
+def test_shards_split_a_repeated_row(spark):
+    same = spark.createDataFrame([(7, "one row again and again", "en", "s")] * 4000, "doc_id long, text string, lang string, source string").repartition(3)
+    out = shards.kd_shards(same, 8).collect()
+    size = Counter(r["shard"] for r in out)
+    assert len(size) == 8 and max(size.values()) <= 700 and len({(r["shard"], r["slot"]) for r in out}) == 4000
+
+
 def test_line_dedup(docs, empty):
     assert line_dedup.line_dedup(empty).count() == 0
     out = line_dedup.line_dedup(docs)
@@ -88,7 +121,7 @@ def test_line_dedup(docs, empty):
     sites = {}
     for _, t, _, s, *_ in corpus():
         for x in (t or "").split("\n"):
-            if len(words(x)) >= 3:
+            if words(x):
                 sites.setdefault(x.strip(" \t\n\x0b\x0c\r"), set()).add(s)
     gone = {x for x, s in sites.items() if len(s) >= line_dedup.MIN_SITES}
     assert gone == {"This very line stands everywhere"}
@@ -123,6 +156,30 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.drop_contaminated(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_proximity(spark):
+    """Anchors that stand nearly as far apart as in the item: a word put in, not one far away."""
+    item = "rare1 rare2 common rare3 rare4"
+    texts = ["x rare1 common rare2 y", "rare1 " + "y " * 40 + "rare2", "rare1 alone", "rare1 rare2 common rare3 rare4", None, ""]
+    docs = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)] + [(10 + i, "common", 5) for i in range(20)], "doc_id long, text string, th int")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_near"]) for r in decontaminate.contamination(docs, bench).collect()}
+    # the two rarest terms of the only window are rare3 and rare4, which stand in one text (counts 1), then rare1 and rare2
+    assert got == {3: (5, 1)}
+    bench = spark.createDataFrame([(1, "rare1 rare2 common")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_near"]) for r in decontaminate.contamination(docs, bench).collect()}
+    assert got == {0: (None, 1), 3: (3, 1)}
+    left = decontaminate.drop_contaminated(docs, bench)
+    assert left.columns == docs.columns and left.count() == 25
+
+
+def test_many_diagonals_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ROW_CANDS", 3)
+    monkeypatch.setattr(decontaminate, "MAX_CANDS", 2)
+    docs = spark.createDataFrame([(1, "a b c " * 30), (2, "a b c")], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_hit"] for r in decontaminate.contamination(docs, spark.createDataFrame([(1, "a b c")], "item_id long, text string")).collect()}
+    assert got == {1: 90, 2: 3}
+
+
 def brute_components(rows, k, percent):
     sets = {}
     for i, t, *_ in rows:

@@ -3,7 +3,7 @@
 import random
 import time
 
-from codexa.llm import jaccard_join, line_dedup, page_text, sentence_pieces, token_counts, url_filter
+from codexa.llm import decontaminate, jaccard_join, line_dedup, page_text, quality, sentence_pieces, token_counts, url_filter
 
 
 def test_short_lines_are_removed_by_spread_alone(spark):
@@ -107,3 +107,24 @@ def test_made_columns_do_not_clash(spark):
     out = sentence_pieces.encode_decode(docs, token_counts.model_path(), with_ids=True)
     assert out.columns == [*docs.columns, "n_pieces_", "n_byte_pieces", "ids_sha256_", "round_trip", "token_ids_"]
     assert sorted(r["n_pieces"] for r in out.collect()) == [7, 8]
+
+
+def test_inner_names_do_not_clash(spark):
+    """Tables may have columns by the names that the operators use inside."""
+    names = ["_th", "_id", "_own", "_key", "_hid", "_hth", "_bad", "_clean", "_f_id", "_f_th", "n_lines", "_gone_id", "_gone_th", "key", "th"]
+    line = "Stands everywhere on all sites"
+    rows = [(i, f"{words(60, 1000 + 100 * i)}\n{line}", "en", f"s{i}", *names) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names))
+    out = line_dedup.line_dedup(docs)
+    assert out.columns == [*docs.columns, "n_lines_", "n_removed"]
+    for d in (out, quality.keep_good(docs), jaccard_join.keep_one(docs), decontaminate.drop_contaminated(docs, spark.createDataFrame([(1, "no such words")], "item_id long, text string"))):
+        got = d.collect()
+        assert len(got) == 12 and all(r[n] == n for r in got for n in names)
+    assert all(line not in r["text"] and r["n_removed"] == 1 for r in out.collect())
+
+
+def test_null_urls(spark):
+    pages = spark.createDataFrame([(1, None), (2, None), (3, "http://com/de/")], "page_id long, url string")
+    rules = spark.createDataFrame(url_filter.RULES, "verdict string, host string, path string")
+    got = sorted(map(tuple, url_filter.url_filter(pages, rules).collect()))
+    assert got == [(1, "", "", None, "allow"), (2, "", "", None, "allow"), (3, "com", "/de/", "com/de/", "block")]
