@@ -38,8 +38,8 @@ WORDS, PERCENT = 4, 85
 FREQUENT, COMBINE = 16, 256
 #: Slots of the level table (a byte each): eight for each frequent fingerprint, between these bounds.
 LEAST_BITS, MOST_BITS = 16, 26
-#: Bytes of text hashed at once; sets and bytes of a tile's side; rows of a broadcast table of ids (under 100 bytes each).
-CHUNK, TILE_ROWS, TILE_BYTES, MAX_IDS = 1 << 20, 192, 2 << 20, 200_000
+#: Bytes of text hashed at once; sets and bytes of a tile's side; pairs that share a copy of a set; rows of a broadcast table of ids (under 100 bytes each).
+CHUNK, TILE_ROWS, TILE_BYTES, PORTION, MAX_IDS = 1 << 20, 192, 2 << 20, 500, 200_000
 
 _rng = np.random.Generator(np.random.PCG64(20240501))
 _BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -258,7 +258,7 @@ def fetch_sets(docs: DataFrame, need: DataFrame, k: int) -> DataFrame:
                 same = (own[:, 0] == batch.column(2).slice(at, len(sets)).to_numpy()) & (own[:, 1] == batch.column(3).slice(at, len(sets)).to_numpy())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array(raw, pa.binary())], ["node", "set"]).filter(pa.array(same))
 
-    sets = stage(found.mapInArrow(frugal(run), "node binary, set binary"), "sets")
+    sets = stage(found.mapInArrow(frugal(run), "node long, set binary"), "sets")
     return stage(sets.dropDuplicates(["node"]), "sets") if sets.count() > need.count() else sets  # repeated rows
 
 
@@ -307,9 +307,15 @@ def _linked(shared, a, b, percent: int):
 
 
 def verify_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs(a, b) whose sets are similar enough."""
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
+    """Staged pairs(a, b) whose sets are similar enough. A node b that many pairs share is dealt out in portions, each with a copy of its set."""
+    of_b = pairs.groupBy("b").agg(F.ceil(F.count("*") / PORTION).cast("int").alias("k"))
+    few = pairs.limit(MAX_IDS + 1).count() <= MAX_IDS
+    small = F.broadcast if few else lambda x: x
+    dealt = pairs.join(of_b, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("k")).cast("int").alias("portion"))
+    left = sets.select(F.col("node").alias("a"), F.col("set").alias("sa")).join(small(dealt), "a")
+    right = sets.select(F.col("node").alias("b"), F.col("set").alias("sb")).join(small(of_b), "b")
+    right = right.select("b", "sb", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("portion"))
+    both = left.join(right, ["b", "portion"]).select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,8 +326,7 @@ def verify_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(bool(_linked(int((y[at] == x).sum()), len(x), len(y), percent)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    kind = sets.schema["node"].dataType.simpleString()
-    return both.mapInArrow(frugal(run), f"a {kind}, b {kind}")
+    return both.mapInArrow(frugal(run), "a long, b long")
 
 
 def apart(tied: DataFrame, label: DataFrame) -> DataFrame:
@@ -348,7 +353,6 @@ def star_pairs(tied: DataFrame, percent: int, every: bool) -> DataFrame:
 
 def tile_links(tied: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between members of a key that are in different components, one at most for two components in a tile."""
-    kind = sets.schema["node"].dataType.simpleString()
     sized = tied.join(sets.select("node", F.octet_length("set").alias("bytes")), "node")
     total = sized.groupBy("key").agg(F.count("*").alias("m"), F.sum("bytes").alias("bytes"))
     total = total.select("key", F.greatest(F.ceil(F.col("m") / TILE_ROWS), F.ceil(F.col("bytes") / TILE_BYTES)).cast("int").alias("nb"))
@@ -361,7 +365,7 @@ def tile_links(tied: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         left = np.flatnonzero(own)
         right = left if group.column("i")[0].as_py() == group.column("j")[0].as_py() else np.flatnonzero(~own)
         n, u, s1, s2 = (group.column(c).to_numpy() for c in ("n", "u", "s1", "s2"))
-        comp = np.unique(np.array([x.as_py() for x in group.column("comp")], object).astype("S"), return_inverse=True)[1]
+        comp = group.column("comp").to_numpy()
         a, b = left[:, None], right[None, :]
         total = n[a] + n[b]
         look = (comp[a] != comp[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & ((100 + percent) * np.minimum(u[a], u[b]) >= percent * total)
@@ -383,7 +387,7 @@ def tile_links(tied: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         a, b = (pa.array([e[i] for e in out], pa.int64()) for i in range(2))
         return pa.table({"a": nodes.take(a), "b": nodes.take(b)})
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
+    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -441,24 +445,23 @@ def frequent_links(tied: DataFrame, label: DataFrame, sets: DataFrame, percent:
 
 
 def _members(docs: DataFrame, words: int, percent: int, frequent: int = FREQUENT, combine: int = COMBINE) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, th, n, comp: a row for each row, with the digest that names its component; null without shingles."""
+    """docs(doc_id, text) -> doc_id, th, n, comp: a row for each row, with the number of its component; null without shingles."""
     docs = docs.select("doc_id", "text")
     rows = index(docs, words, percent, frequent, combine)
     members = rows.where("kind = 0").select("doc_id", "th", "n", "d1", "d2")
-    # ids may be null or repeated, so the digest names a node; one of its rows lends the text
-    digest = F.unhex(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("d1", "d2")]))
+    # ids may be null or repeated, so the digest makes a node, which the staged table numbers; one of its rows lends the text
     own = F.coalesce(F.min_by("th", F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "th"))), F.min("th"))
     nodes = members.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), own.alias("th"))
-    nodes = stage(nodes.withColumn("node", digest), "nodes")
+    nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     name = nodes.select("d1", F.col("node").alias("a"))
     pairs = candidate_pairs(rows.where("kind = 1").select("key", "d1", "n", "pos"), percent)
     pairs = pairs.join(name, "d1").join(name.select(F.col("d1").alias("e1"), F.col("a").alias("b")), "e1")
     pairs = stage(pairs.select("a", "b"), "pairs")
     # a frequent key keeps the sets that can share enough with its smallest one, if there are two at least
-    tied = rows.where("kind = 2").select("key", "d1", "n", F.col("pos").alias("u"), "s1", "s2").distinct()
+    tied = rows.where("kind = 2").select("key", "d1", "n", F.col("pos").alias("u"), "s1", "s2")
     for _ in range(2):
-        least = tied.groupBy("key").agg(F.min("n").alias("least"), F.count("*").alias("c")).where("c > 1")
-        tied = tied.join(least, "key").where((100 + percent) * F.col("u") >= percent * (F.col("n") + F.col("least"))).drop("least", "c")
+        least = tied.groupBy("key").agg(F.min("n").alias("least"), F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo <> hi").select("key", "least")
+        tied = tied.join(least, "key").where((100 + percent) * F.col("u") >= percent * (F.col("n") + F.col("least"))).drop("least").distinct()
         tied = stage(tied, "tied")
     tied = stage(tied.join(name, "d1").select("key", F.col("a").alias("node"), "n", "u", "s1", "s2"), "tied")
     need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(tied.select("node")).distinct()
