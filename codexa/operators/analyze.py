@@ -9,7 +9,9 @@ from pyspark.sql import Window as W
 from codexa.functions import text as T
 
 # Words that say nothing about a title.
-STOP = "with from this that using based study analysis effect effects between among during after before into their these those through within without".split()
+STOP = "with from that this into using based study analysis effect effects role roles and the for its via are was were between relationship".split()
+# Headings of sections.
+HEADINGS = ["abstract", "introduction", "background", "results", "methods", "materials and methods", "methodology", "discussion", "conclusion", "conclusions", "references", "acknowledgements", "acknowledgments"]
 
 
 def author_records(papers: DataFrame, detailed: DataFrame) -> DataFrame:
@@ -73,9 +75,8 @@ def pdf_matches(doi: Column, title: Column, body: Column, least: float = 0.45) -
 
 def text_corpus(papers: DataFrame, texts: DataFrame) -> DataFrame:
     """papers ⟕ texts(pmid, body, note): opening of the discussion, end of the introduction."""
-    heads = ["abstract", "introduction", "background", "methods", "materials and methods", "results", "discussion", "conclusion", "conclusions", "references", "acknowledgements", "funding", "limitations"]
     j = papers.join(texts, "pmid", "left")
-    return j.withColumns({"intro_last": T.last_paragraph(T.section(F.col("body"), "introduction", heads)), "disc_first": T.first_paragraph(T.section(F.col("body"), "discussion", heads)), "pdf_chars": F.length("body")})
+    return j.withColumns({"intro_last": T.last_paragraph(T.section(F.col("body"), "introduction", HEADINGS)), "disc_first": T.first_paragraph(T.section(F.col("body"), "discussion", HEADINGS)), "pdf_chars": F.length("body")})
 
 
 def newest_file(files: DataFrame) -> DataFrame:

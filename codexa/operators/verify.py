@@ -45,7 +45,8 @@ def first_author_differs(cited: Column, first: Column, everyone: Column) -> Colu
 def compare_fields(ref: str, meta: str, source: str) -> Column:
     """Issues of seven fields between the structs or prefixes ref.* and meta.*; empty without a record."""
     r, m = (lambda c: T.text(F.col(f"{ref}.{c}"))), (lambda c: T.text(F.col(f"{meta}.{c}")))
-    both = lambda c: (r(c) != "") & (m(c) != "")
+    both = lambda c: (r(c) != "") & (m(c) != "") & (r(c) != m(c))  # noqa: E731  equal texts need no further look
+    titles = (r("title") != "") & (m("title") != "") & ((r("title") != m("title")) | ~r("title").rlike("[A-Za-z0-9]"))  # a title without tokens resembles nothing
     found = _issues(
         issue(both("first_author") & first_author_differs(r("first_author"), m("first_author"), F.col(f"{meta}.all_authors")), "first_author", r("first_author"), m("first_author"), source),
         issue(both("year") & (F.trim(r("year")) != F.trim(m("year"))), "year", r("year"), m("year"), source),
@@ -53,7 +54,7 @@ def compare_fields(ref: str, meta: str, source: str) -> Column:
         issue(both("volume") & (T.norm_text(r("volume")) != T.norm_text(m("volume"))), "volume", r("volume"), m("volume"), source),
         issue(both("issue") & (T.norm_text(r("issue")) != T.norm_text(m("issue"))), "issue", r("issue"), m("issue"), source),
         issue(both("pages") & ~T.pages_match(r("pages"), m("pages")), "pages", r("pages"), m("pages"), source),
-        issue(both("title") & (T.title_similarity(r("title"), m("title")) < TITLE_THRESHOLD), "title", r("title"), m("title"), source),
+        issue(titles & (T.title_similarity(r("title"), m("title")) < TITLE_THRESHOLD), "title", r("title"), m("title"), source),
     )
     usable = F.col(meta).isNotNull() & (T.text(F.col(f"{meta}.lookup_error")) == "")
     return F.when(usable, found).otherwise(F.array().cast(f"array<{ISSUE}>"))
