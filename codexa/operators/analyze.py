@@ -92,6 +92,12 @@ def truncated_search(found: DataFrame, most: int = 500) -> DataFrame:
     return n.select("matched", F.least("matched", F.lit(most)).alias("returned"), (F.col("matched") > most).alias("truncated"))
 
 
+def search_page(found: DataFrame, order: list[str], most: int = 500, dates: tuple[str, str] | None = None, keep: Column | None = None) -> DataFrame:
+    """The first `most` rows (the cap is the feature) of those dated within dates and kept by a narrowing condition."""
+    rows = found.where(F.col("date_iso").between(*dates)) if dates else found
+    return (rows.where(keep) if keep is not None else rows).orderBy(*order).limit(most)
+
+
 def numbered(papers: DataFrame, *order) -> DataFrame:
     """Export projection: running number and an abstract cut to 500 characters."""
     cut = {"abstract": F.left("abstract", F.lit(500))} if "abstract" in papers.columns else {}

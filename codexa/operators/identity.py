@@ -200,7 +200,7 @@ def people(apps: DataFrame, key: str, start: Column, end: Column) -> DataFrame:
         F.count("*").alias("n_appearances"), F.count_if(first).alias("n_first_slots"), F.count_if(last).alias("n_last_slots"),
         F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.min("date_iso").alias("first_date"),
         F.min(F.when(first, F.col("year"))).alias("first_lead_year"), F.min(F.when(last, F.col("year"))).alias("first_last_year"),
-        F.array_sort(F.collect_set("year")).alias("years"),
+        F.array_sort(F.collect_set("year")).alias("years"), F.array_sort(F.collect_set(F.when(first, F.col("year")))).alias("lead_years"),
     )
     return p.withColumns({
         "span_years": F.col("last_year") - F.col("first_year"), "left_censored": F.col("first_year") <= start, "right_censored": F.col("last_year") >= end - 1,
@@ -208,6 +208,28 @@ def people(apps: DataFrame, key: str, start: Column, end: Column) -> DataFrame:
     })
 
 
+def person_papers(apps: DataFrame, key: str) -> DataFrame:
+    """key, pmids and first_slot_pmids, both by date and then id as text."""
+    entry = F.struct("date_iso", F.col("pmid").cast("string").alias("pmid"))
+    ids = lambda entries: F.transform(F.array_sort(entries), lambda e: e.pmid)
+    return apps.groupBy(key).agg(ids(F.collect_list(entry)).alias("pmids"), ids(F.collect_list(F.when(F.col("is_first"), entry))).alias("first_slot_pmids"))
+
+
+def key_counts(apps: DataFrame) -> DataFrame:
+    """n_strict and n_loose: distinct (surname, forename) and (surname, first letter of the forename or initials), case and outer space aside."""
+    low = lambda c: F.lower(F.trim(T.text(F.col(c))))
+    given = F.coalesce(F.nullif(low("fore"), F.lit("")), low("initials"))
+    return apps.agg(F.count_distinct(F.struct(low("last"), low("fore"))).alias("n_strict"), F.count_distinct(F.struct(low("last"), F.left(given, F.lit(1)))).alias("n_loose"))
+
+
+def slot_lists(bylines: DataFrame, pi: DataFrame) -> DataFrame:
+    """pmid, sole_author, slot0 of the papers with a single person who is not the investigator at its place, or with a consortium in front."""
+    rows = person_index(bylines).join(pi.select("pmid", "pi_index"), "pmid", "left")
+    at_first = F.bool_or((F.col("idx") == F.col("pi_index")) & (F.col("person_idx") == 0))
+    per = rows.groupBy("pmid").agg(F.max("n_persons").alias("n"), F.coalesce(at_first, F.lit(False)).alias("pi_first"), F.bool_or((F.col("idx") == 0) & F.col("collective")).alias("slot0"))
+    return per.select("pmid", ((F.col("n") == 1) & ~F.col("pi_first")).alias("sole_author"), "slot0").where("sole_author or slot0")
+
+
 def display_names(apps: DataFrame, key: str) -> DataFrame:
     """The most frequent spelling; ties by length, then text."""
     n = apps.groupBy(key, "name").agg(F.count("*").alias("n"))

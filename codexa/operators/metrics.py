@@ -111,6 +111,11 @@ def team_size(papers: DataFrame, large: int = 20, floor: int = AGG_FLOOR) -> Dat
     return papers.agg(n.alias("denominator"), _floored(q[1], n, floor).alias("median"), _floored(q[0], n, floor).alias("q1"), _floored(q[2], n, floor).alias("q3"), F.min(v).alias("least"), F.max(v).alias("most"), F.count_if(v >= large).alias("n_large"))
 
 
+def large_teams(papers: DataFrame, large: int = 20) -> DataFrame:
+    """pmid, n_persons of the papers with `large` people or more."""
+    return papers.where(F.col("n_persons") >= large).select("pmid", "n_persons")
+
+
 def team_size_subset(papers: DataFrame, lead: DataFrame, large: int = 20) -> DataFrame:
     led = papers.join(lead.where(F.col("stratum").isin("A", "B")).select("pmid"), "pmid", "left_semi")
     return team_size(led, large, SUBSET_FLOOR).select("denominator", "median")
@@ -153,6 +158,25 @@ def stack_positions(points: DataFrame, value: str, name: str) -> DataFrame:
     return points.withColumn("place", F.row_number().over(W.partitionBy(value).orderBy(name)) - 1)
 
 
+def lag_rows(people: DataFrame, end: Column, lag: int = 3) -> DataFrame:
+    """name, row, value: years from the first record to the first lead slot (lead), or observed so far (waiting, too_recent), of strata A and B; ordered by value and name, never by a count."""
+    seen = end - F.col("first_year")
+    row = F.when(F.col("n_first_slots") >= 1, "lead").when(seen >= lag, "waiting").otherwise("too_recent")
+    value = F.when(F.col("n_first_slots") >= 1, F.greatest(F.lit(0), F.col("first_lead_year") - F.col("first_year"))).otherwise(seen)
+    return people.where(F.col("stratum").isin("A", "B")).select("name", row.alias("row"), value.alias("value"))
+
+
+def span_lanes(people: DataFrame) -> DataFrame:
+    """name, lane, span, place in the lane by span and name, of strata A and B."""
+    ab = people.where(F.col("stratum").isin("A", "B")).select("name", censor_bucket().alias("lane"), F.col("span_years").alias("span"))
+    return stack_positions(ab.withColumn("cell", F.struct("lane", "span")), "cell", "name").drop("cell")
+
+
+def first_year_strip(people: DataFrame) -> DataFrame:
+    """first_year, n of the people of stratum C, who have no row of their own in the timeline."""
+    return people.where("stratum = 'C'").groupBy("first_year").agg(F.count("*").alias("n"))
+
+
 def timeline_rows(people: DataFrame) -> DataFrame:
     """Year marks of the people of strata A and B: lead where they led, plain elsewhere."""
     ab = people.where(F.col("stratum").isin("A", "B"))

@@ -204,6 +204,10 @@ def unresolved_rows(results: DataFrame) -> DataFrame:
     return results.where(F.col("status").isin("not_found", "error") & (F.size("issues") == 0)).select("key", "status", F.left(F.concat_ws("; ", "errors"), F.lit(90)).alias("errors"))
 
 
+def has_identifier() -> Column:
+    return (F.trim(T.text(F.col("doi"))) != "") | (F.trim(T.text(F.col("pmid"))) != "")
+
+
 def wanted_ids(refs: DataFrame, doi_pmid: DataFrame) -> DataFrame:
     """PMIDs to look up: supplied ones and those that DOIs lead to."""
     derived = refs.select(T.normalize_doi(F.col("doi")).alias("d")).where("d <> ''").join(doi_pmid.select(T.normalize_doi(F.col("doi")).alias("d"), "pmid"), "d").select("pmid")

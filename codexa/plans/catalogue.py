@@ -70,9 +70,10 @@ _B = """b as (select l_orderkey as pmid, row_number() over (partition by l_order
 _A = _B + """, a as (select b.*, l_suppkey || '-' || l_partkey as pid, year(o_orderdate) as y, strftime(o_orderdate, '%Y-%m-%d') as d, idx = 0 as f, idx = n - 1 as l from b join orders on o_orderkey = pmid),
 p as (select pid, count(*) as n, count(*) filter (where f) as nf, count(*) filter (where l) as nl, min(y) as y0, max(y) as y1, min(d) as d0, min(case when f then y end) as yf, min(case when l then y end) as yl,
  case when count(*) filter (where l) > 0 then 'D' when count(*) filter (where f) > 0 then 'A' when count(*) > 1 then 'B' else 'C' end as s from a group by pid)"""
-_PI = _B + f""", c as (select pmid, idx, case when l_returnflag = 'R' then 3 when l_returnflag = 'A' then 2 when l_linestatus = 'F' then 1 else 0 end as r from b where l_suppkey = {PI_SUPPLIER}),
+_FOUND = f"""c as (select pmid, idx, case when l_returnflag = 'R' then 3 when l_returnflag = 'A' then 2 when l_linestatus = 'F' then 1 else 0 end as r from b where l_suppkey = {PI_SUPPLIER}),
 m as (select pmid, max(r) as r from c group by 1),
 pi as (select pmid, min(idx) as i, r, count(*) as k from c join m using (pmid, r) group by pmid, r)"""
+_PI = f"{_B}, {_FOUND}"
 _TIER = "case r when 3 then 'orcid' when 2 then 'email' when 1 then 'affiliation' else 'name_only' end"
 
 
@@ -507,3 +508,91 @@ def unmatched_papers(spark, d):
 @query(f"with {_A} select y0 as first_year, pid, row_number() over (partition by y0 order by pid) - 1 as place from p where s = 'B'")
 def stack_positions(spark, d):
     return metrics.stack_positions(roster(spark, d).where("stratum = 'B'").select("first_year", "pid"), "first_year", "pid")
+
+
+@query(f"with {_A} select pid, string_agg(pmid::varchar, ',' order by d, pmid::varchar) as pmids, coalesce(string_agg(pmid::varchar, ',' order by d, pmid::varchar) filter (where f), '') as first_slot_pmids from a group by 1")
+def person_pmids(spark, d):
+    return identity.person_papers(apps(spark, d), "pid").select("pid", F.array_join("pmids", ",").alias("pmids"), F.array_join("first_slot_pmids", ",").alias("first_slot_pmids"))
+
+
+@query(f"with {_A} select pid, d0 as first_date, y as year, bool_or(f) as lead from a join p using (pid) where s in ('A', 'B') group by all")
+def timeline_marks(spark, d):
+    p = roster(spark, d).withColumn("name", F.col("pid"))
+    return metrics.timeline_rows(p).select(F.col("name").alias("pid"), "first_date", "year", "lead")
+
+
+@query(f"with {_A} select pid as name, case when nf > 0 then 'lead' when {END} - y0 >= {LAG} then 'waiting' else 'too_recent' end as row, case when nf > 0 then greatest(0, yf - y0) else {END} - y0 end as value from p where s in ('A', 'B')")
+def lag_rows(spark, d):
+    return metrics.lag_rows(roster(spark, d).withColumn("name", F.col("pid")), F.lit(END), LAG)
+
+
+@query(f"""with {_A}, q as (select pid as name, case when y0 <= {START} and y1 >= {END - 1} then 'both_censored' when y0 <= {START} then 'left_censored' when y1 >= {END - 1} then 'right_censored' else 'complete' end as lane, y1 - y0 as span from p where s in ('A', 'B'))
+select *, (row_number() over (partition by lane, span order by name) - 1)::int as place from q""")
+def span_lanes(spark, d):
+    return metrics.span_lanes(roster(spark, d).withColumn("name", F.col("pid")))
+
+
+@query(f"with {_A} select y0 as first_year, count(*) as n from p where s = 'C' group by 1")
+def first_year_strip(spark, d):
+    return metrics.first_year_strip(roster(spark, d))
+
+
+@query("select l_orderkey as pmid, count(*)::int as n_persons from lineitem group by 1 having count(*) >= 6")
+def large_teams(spark, d):
+    return metrics.large_teams(lines(spark, d).select("pmid", "n_persons").distinct(), 6)
+
+
+@query("select o_orderkey as pmid, strftime(o_orderdate, '%Y-%m-%d') as date_iso from orders where o_orderdate >= timestamp '1996-01-01' and o_orderdate < timestamp '1998-01-01' and o_orderpriority = '2-HIGH' order by o_orderkey desc limit 100")
+def search_page(spark, d):
+    return analyze.search_page(orders(spark, d).select("pmid", "date_iso", "journal"), [F.desc("pmid")], 100, ("1996-01-01", "1997-12-31"), F.col("journal") == "2-HIGH").select("pmid", "date_iso")
+
+
+def _named(spark, d):
+    """Bylines with names of every kind: equal surnames, forenames that are prefixes of each other or not, bare initials, none at all, ORCIDs, consortia."""
+    x = lines(spark, d)
+    fores = ["", "Wei", "Weiwei", "Wenjie", "W", "Anna", "An"]
+    fore = F.lit("")
+    for i, f in enumerate(fores):
+        fore = F.when(F.col("l_partkey") % 7 == i, f).otherwise(fore)
+    last = F.concat(F.lit("Li"), (F.col("l_suppkey") % 10).cast("string"))
+    orcid = F.when(F.col("pmid") % 50 == 0, F.concat(F.lit("O"), (F.col("l_suppkey") % 30).cast("string"))).otherwise("")
+    group = F.col("l_partkey") % 11 == 0
+    none = lambda c: F.when(group, "").otherwise(c)
+    return x.select(
+        "pmid", "idx", F.when(group, "Study Group").otherwise(F.concat_ws(" ", last, fore)).alias("name"), none(last).alias("last"), none(fore).alias("fore"),
+        none(F.when((F.col("l_partkey") % 7 == 0) & (F.col("l_suppkey") % 2 == 0), "W").otherwise("")).alias("initials"), none(orcid).alias("orcid"),
+    )
+
+
+_N = _B + """, nm as (select pmid, idx, l_partkey % 11 = 0 as g, case when l_partkey % 11 = 0 then '' else 'li' || (l_suppkey % 10) end as l,
+ case when l_partkey % 11 = 0 then '' else ['', 'wei', 'weiwei', 'wenjie', 'w', 'anna', 'an'][l_partkey % 7 + 1] end as f, case when l_partkey % 11 <> 0 and l_partkey % 7 = 0 and l_suppkey % 2 = 0 then 'w' else '' end as i,
+ case when l_partkey % 11 <> 0 and l_orderkey % 50 = 0 then 'o' || (l_suppkey % 30) else '' end as o from b),
+ap as (select *, row_number() over (partition by pmid order by idx) - 1 as pidx, count(*) over (partition by pmid) as np from nm where not g),
+sl as (select pmid, bool_or(idx = 0 and g) as slot0 from nm group by 1)"""
+
+
+@query(f"with {_N}, {_FOUND} select pmid, idx, pidx = 0 and not slot0 as is_first, pidx = np - 1 as is_last from ap join sl using (pmid) left join (select pmid, i as pi_at from pi) using (pmid) where pi_at is null or idx <> pi_at")
+def appearances(spark, d):
+    return identity.appearances(_named(spark, d), pi(spark, d)).select("pmid", "idx", "is_first", "is_last")
+
+
+@query(f"with {_N} select count(distinct (l, f)) as n_strict, count(distinct (l, left(case when f <> '' then f else i end, 1))) as n_loose from nm where not g")
+def person_key_counts(spark, d):
+    return identity.key_counts(_named(spark, d).where("last <> ''"))
+
+
+@query(f"""with {_N}, x as (select *, left(case when f <> '' then f else i end, 1) as c from ap), ow as (select l, c, count(distinct o) as k, min(o) as own from x where o <> '' group by 1, 2),
+gr as (select x.*, coalesce(k, 0) as k, case when o <> '' then 'o:' || o when c = '' then 'n:' || pmid || ':' || idx when k = 1 then 'o:' || own else 'l:' || l || '|' || c end as gid from x left join ow using (l, c)),
+q as (select gid, count(*) as n, list_sort(list_distinct(list(f) filter (where f <> ''))) as fs, bool_or(o = '' and c = '') as bare, bool_or(k > 1) as conf from gr group by 1),
+dr as (select *, len(fs) > 1 as many, len(list_filter(range(1, len(fs)), lambda z: not starts_with(fs[z + 1], fs[z]))) = 0 as ok from (select gid, n, coalesce(fs, []) as fs, bare, conf from q))
+select gid as group_id, n, array_to_string(list_filter([case when bare then 'incomplete_name' end, case when conf then 'collision_confirmed' end, case when many and ok then 'drift_benign' end, case when many and not ok then 'collision_suspected' end], lambda z: z is not null), ',') as flags from dr""")
+def person_groups(spark, d):
+    a = _named(spark, d).where("last <> ''")
+    return identity.group_people(a).groupBy("group_id").agg(F.count("*").alias("n"), F.array_join(F.any_value("flags"), ",").alias("flags"))
+
+
+@query(f"""with {_N}, {_FOUND},
+pp as (select pmid, max(np) as np, bool_or(pidx = 0 and idx = pi.i) as first from ap left join pi using (pmid) group by 1)
+select pmid, coalesce(np = 1 and not coalesce(first, false), false) as sole_author, slot0 from sl left join pp using (pmid) where coalesce(np = 1 and not coalesce(first, false), false) or slot0""")
+def slot_lists(spark, d):
+    return identity.slot_lists(_named(spark, d), pi(spark, d))

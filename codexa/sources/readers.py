@@ -53,11 +53,15 @@ def _first(*values: Column) -> Column:
 def articles_xml(spark: SparkSession, path: str, tag: str = "PubmedArticle") -> DataFrame:
     """Article XML -> raw xml, one row for each article; broken input stays visible as rows without an id."""
     whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.regexp_extract_all("value", F.lit(f"(?s)(<{tag}[ >].*?</{tag}>)"), F.lit(1))).alias("ord", "xml"))
+    rest = F.regexp_extract(F.substring_index("value", f"</{tag}>", -1), f"(?s)<{tag}[ >].*", 0)  # an article that never ends
+    found = F.concat(F.regexp_extract_all("value", F.lit(f"(?s)(<{tag}[ >].*?</{tag}>)"), F.lit(1)), F.filter(F.array(rest), lambda x: x != ""))
+    return whole.select(F.posexplode(found).alias("ord", "xml"))
 
 
 def parse_articles(articles: DataFrame) -> DataFrame:
-    """articles(ord, xml) -> papers with authors."""
+    """articles(ord, xml) -> papers with authors; an article that never ends is a row of empty fields."""
+    root = F.regexp_extract("xml", "^<([A-Za-z]+)", 1)
+    articles = articles.withColumn("xml", F.when(F.endswith(F.rtrim("xml"), F.concat(F.lit("</"), root, F.lit(">"))), F.col("xml")).otherwise("<broken/>"))
     art, lower = "//Article", "translate(@IdType,'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')"
     by_id = lambda kind: _xp(f"//ArticleIdList/ArticleId[{lower}='{kind}'][1]")
     year = _first(_xp(f"{art}/Journal/JournalIssue/PubDate/Year"), F.regexp_extract(_xp(f"{art}/Journal/JournalIssue/PubDate/MedlineDate"), "(\\d{4})", 1))

@@ -63,3 +63,17 @@ def test_cache_and_matrix(spark):
 def test_floors(spark):
     t = spark.createDataFrame([(str(i), n) for i, n in enumerate([1, 2, 3, 4])], "pmid string, n_persons long")
     assert metrics.team_size(t).first()["median"] is None and metrics.team_size(t).first()["most"] == 4
+
+
+def test_a_truncated_file_stays_visible(spark, tmp_path):
+    whole = "<PubmedArticle><MedlineCitation><PMID>1</PMID></MedlineCitation></PubmedArticle>"
+    (tmp_path / "a.xml").write_text(f"<Set>{whole}<PubmedArticle><MedlineCitation><PMID>2</PMID>")
+    (tmp_path / "b.xml").write_text("<PubmedArticle><MedlineCitation><PMID>3")
+    found = readers.articles_xml(spark, str(tmp_path / "*.xml"))
+    assert found.count() == 3
+    assert sorted(r["pmid"] for r in readers.parse_articles(found).collect()) == ["", "", "1"]
+
+
+def test_identifiers_of_references(spark):
+    rows = spark.createDataFrame([("", " "), ("10.1/a", ""), (None, "7"), (None, None)], "doi string, pmid string")
+    assert [r["h"] for r in rows.select(verify.has_identifier().alias("h")).collect()] == [False, True, True, False]
