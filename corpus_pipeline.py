@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame. run() writes every stage's rows as Parquet into the folder of spark.checkpoint.dir and reads them
 again. All stages but the last return the columns of documents.
+
+Defined cases, of every stage: an empty table gives no rows; rows of null or repeated ids are judged one by one; further columns come through unchanged, also by names that the stages use inside.
+Quality rules: null, empty and short texts go, equal rows are judged alike. Line dedup: a text of which all lines go becomes empty, n_chars follows. Jaccard join: ties between copies are
+settled by the least id (null last), then the hash of the text; rows without words stay. Decontamination: texts without words stay, no benchmark leaves all. SentencePiece: null gives no
+pieces; made columns whose names are taken get underscores. Very long texts are handled whole in all of them.
 """
 
 from __future__ import annotations
