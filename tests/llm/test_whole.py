@@ -3,6 +3,8 @@
 import random
 import time
 
+import pytest
+
 from codexa.llm import decontaminate, jaccard_join, line_dedup, page_text, quality, sentence_pieces, token_counts, url_filter
 
 
@@ -128,3 +130,19 @@ def test_null_urls(spark):
     rules = spark.createDataFrame(url_filter.RULES, "verdict string, host string, path string")
     got = sorted(map(tuple, url_filter.url_filter(pages, rules).collect()))
     assert got == [(1, "", "", None, "allow"), (2, "", "", None, "allow"), (3, "com", "/de/", "com/de/", "block")]
+
+
+def test_stages_take_empty_tables_and_odd_columns(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([(1, "no such words at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, th string, _id string, n_lines string"
+    odd = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, " \n\t", "en", None, 3), (3, "one", None, "s", 3), (3, "one", None, "s", 3), (4, words(300), "en", "s", 1), (None, words(300), "en", "s", 1)]
+    rows = [(*r, "th", "_id", "n_lines") for r in odd]
+    for table in ([], rows):
+        for name, step in corpus_pipeline.STAGES:
+            docs = spark.createDataFrame(table, schema)
+            out = step(spark, docs, str(tmp_path))
+            got = out.collect()
+            assert name == "sentence_pieces" or out.columns == docs.columns
+            assert len(got) == {"quality_rules": 2, "ngram_jaccard_join": 5}.get(name, len(rows)) * bool(table), name
+            assert all((r["th"], r["_id"], r["n_lines"]) == ("th", "_id", "n_lines") for r in got)
