@@ -22,9 +22,27 @@ def author_records(papers: DataFrame, detailed: DataFrame) -> DataFrame:
     return papers.join(last, "pmid", "left").withColumn("authors", F.coalesce("authors", bare))
 
 
+def newest_in(files: DataFrame, folder: str = "suspect") -> DataFrame:
+    """files(path, mtime): the newest file of each pmid inside a folder of that name."""
+    return _newest(files.where(F.contains("path", F.lit(f"/{folder}/"))))
+
+
+def pdf_report(papers: DataFrame, files: DataFrame) -> DataFrame:
+    """papers(pmid, title, pub_date, doi, pmc_id, pdf_status, validation_reason) with the source named in the status, the accepted file (path, size) and the
+    newest suspect one; a file that is not there gives empty text and no size. Titles are cut to 200 characters, as the report prints them."""
+    size = files.select(F.col("path").alias("pdf_path"), F.col("size").alias("file_size_bytes"))
+    main = newest_file(files).withColumnRenamed("path", "pdf_path").join(size, "pdf_path")
+    aside = newest_in(files).withColumnRenamed("path", "suspect_path")
+    out = papers.join(main, "pmid", "left").join(aside, "pmid", "left")
+    return out.select(
+        "pmid", F.left(T.text(F.col("title")), F.lit(200)).alias("title"), "pub_date", "doi", "pmc_id", T.text(F.col("pdf_status")).alias("pdf_status"), T.trailing_source(F.col("pdf_status")).alias("pdf_source"),
+        "validation_reason", T.text(F.col("pdf_path")).alias("pdf_path"), "file_size_bytes", T.text(F.col("suspect_path")).alias("suspect_path"),
+    )
+
+
 def explode_authors(records: DataFrame, date: str = "pubdate") -> DataFrame:
     n = F.size("authors")
-    return records.select("pmid", date, F.posexplode("authors").alias("idx", "a"), n.alias("n_authors")).select("pmid", date, (F.col("idx") + 1).alias("index"), "a.*", (F.col("idx") == 0).alias("is_first"), (F.col("idx") == F.col("n_authors") - 1).alias("is_last"))
+    return records.select("pmid", date, F.posexplode("authors").alias("idx", "a"), n.alias("n_authors")).where("a.name <> ''").select("pmid", date, (F.col("idx") + 1).alias("index"), "a.*", (F.col("idx") == 0).alias("is_first"), (F.col("idx") == F.col("n_authors") - 1).alias("is_last"))
 
 
 def matrix_long(entries: DataFrame) -> DataFrame:
@@ -38,13 +56,26 @@ def matrix_wide(long: DataFrame, pmids: list[str]) -> DataFrame:
 
 
 def roster_by_name(entries: DataFrame, exclude: list[str] = ()) -> DataFrame:
-    """Analyze roster: one row for each exact name string with stratum and censoring by the data's own window; 1900 counts as undated."""
-    e = entries.withColumn("year", F.substring("date_iso", 1, 4).cast("int")).where(~F.lower("name").isin([x.lower() for x in exclude] or [""]))
+    """Analyze roster: one row for each exact trimmed name with stratum, years and censoring by the data's own window; 1900 and before counts as undated.
+    No row for empty and excluded names (case aside), whose records still widen the window."""
+    away = ["", *(x.strip().lower() for x in exclude)]
+    e = entries.withColumns({"name": F.trim("name"), "year": F.substring("date_iso", 1, 4).cast("int")})
     dated = e.where(F.col("year") > 1900)
     span = dated.agg(F.min("year").alias("w0"), F.max("year").alias("w1"))
-    p = dated.groupBy("name").agg(F.count("*").alias("n"), F.count_if("is_first").alias("n_first"), F.count_if("is_last").alias("n_last"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
-    s = F.when(F.col("n_last") >= 1, "D").when(F.col("n_first") >= 1, "A").when(F.col("n") >= 2, "B").otherwise("C")
-    return p.join(F.broadcast(span)).select("name", "n", "n_first", "n_last", "first_year", "last_year", s.alias("stratum"), (F.col("first_year") <= F.col("w0")).alias("left_censored"), (F.col("last_year") >= F.col("w1") - 1).alias("right_censored"))
+    years = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("year"))))
+    p = dated.where(~F.lower("name").isin(away)).groupBy("name").agg(
+        F.count("*").alias("n"), F.count_if("is_first").alias("n_first"), F.count_if("is_last").alias("n_last"), F.min("year").alias("first_year"), F.max("year").alias("last_year"),
+        F.min("date_iso").alias("first_date"), years(F.lit(True)).alias("years"), years(F.col("is_first")).alias("lead_years"), years(F.col("equal_contrib")).alias("equal_years"),
+    )
+    p = p.withColumn("stratum", F.when(F.col("n_last") >= 1, "D").when(F.col("n_first") >= 1, "A").when(F.col("n") >= 2, "B").otherwise("C"))
+    return p.join(F.broadcast(span)).withColumns({"left_censored": F.col("first_year") <= F.col("w0"), "right_censored": F.col("last_year") >= F.col("w1") - 1}).drop("w0", "w1")
+
+
+def roster_counts(entries: DataFrame, roster: DataFrame) -> DataFrame:
+    """One row: people, those of strata C and D, who get no row in the timeline, and undated records."""
+    undated = entries.where(F.substring("date_iso", 1, 4).cast("int") <= 1900).agg(F.count_distinct("pmid").alias("n_undated"))
+    n = roster.agg(F.count("*").alias("n_people"), *[F.count_if(F.col("stratum") == s).alias(f"omitted_{s.lower()}") for s in "CD"])
+    return n.join(F.broadcast(undated))
 
 
 def topic_counts(topics: DataFrame, buckets: list[str]) -> DataFrame:
@@ -81,9 +112,12 @@ def text_corpus(papers: DataFrame, texts: DataFrame) -> DataFrame:
 
 def newest_file(files: DataFrame) -> DataFrame:
     """files(path, mtime) named {pmid}_...: the newest of each pmid outside suspect/."""
-    name = F.substring_index("path", "/", -1)
-    f = files.where(~F.contains("path", F.lit("/suspect/"))).withColumn("pmid", F.split(name, "_")[0])
-    return f.groupBy("pmid").agg(F.max_by("path", F.struct("mtime", "path")).alias("path"))
+    return _newest(files.where(~F.contains("path", F.lit("/suspect/"))))
+
+
+def _newest(files: DataFrame) -> DataFrame:
+    pmid = F.split(F.substring_index("path", "/", -1), "_")[0]
+    return files.groupBy(pmid.alias("pmid")).agg(F.max_by("path", F.struct("mtime", "path")).alias("path"))
 
 
 def truncated_search(found: DataFrame, most: int = 500) -> DataFrame:
@@ -98,7 +132,12 @@ def search_page(found: DataFrame, order: list[str], most: int = 500, dates: tupl
     return (rows.where(keep) if keep is not None else rows).orderBy(*order).limit(most)
 
 
+EXPORT = ["pmid", "title", "authors_str", "role", "journal", "pub_date", "volume", "issue", "pages", "doi", "pmc_id", "pdf_status", "abstract"]
+
+
 def numbered(papers: DataFrame, *order) -> DataFrame:
-    """Export projection: running number and an abstract cut to 500 characters."""
-    cut = {"abstract": F.left("abstract", F.lit(500))} if "abstract" in papers.columns else {}
-    return papers.withColumns({"no": F.row_number().over(W.orderBy(*order)), **cut})
+    """Export projection: running number, the columns of EXPORT (empty where papers has none) and an abstract cut to 500 characters."""
+    have = set(papers.columns)
+    cells = [(T.text(F.col(c).cast("string")) if c in have else F.lit("")).alias(c) for c in EXPORT[:-1]]
+    cut = F.left(T.text(F.col("abstract")), F.lit(500)) if "abstract" in have else F.lit("")
+    return papers.select(F.row_number().over(W.orderBy(*order)).alias("no"), *cells, cut.alias("abstract"))

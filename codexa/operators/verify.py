@@ -5,7 +5,6 @@ Missing side of a comparison is never a mismatch; a failed lookup is never 'veri
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codexa.functions import text as T
+from codexa.staging import stage
 
 TITLE_THRESHOLD = 0.55
 COMMON = 200_000
@@ -74,14 +74,6 @@ def decide_status(resolved: Column, issues: Column, errors: Column) -> Column:
     return F.when(~resolved, F.when(F.size(errors) > 0, "error").otherwise("not_found")).when(F.size(issues) > 0, "mismatch").when(F.size(errors) > 0, "partial").otherwise("verified")
 
 
-def _staged(df: DataFrame, what: str) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir and read back."""
-    spark = df.sparkSession
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints/codexa').rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _rare_first(sets: DataFrame) -> DataFrame:
     """sets(node, ts) with ts in one order for all: rare tokens by hash, then the COMMON most frequent ones, the most frequent last."""
     seen = sets.select(F.explode("ts").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
@@ -116,7 +108,7 @@ def title_candidates(refs: DataFrame, crossref: DataFrame, least: float = TITLE_
     tokens = F.array_sort(F.array_distinct(F.transform(T.tokens(F.col("title")), lambda x: F.xxhash64(x))))
 
     def hashed(df: DataFrame, name: str) -> DataFrame:
-        return _staged(df.select(name, tokens.alias("ts")).where("size(ts) > 0").select(name, F.xxhash64("ts").alias("node"), "ts"), "titles")
+        return stage(df.select(name, tokens.alias("ts")).where("size(ts) > 0").select(name, F.xxhash64("ts").alias("node"), "ts"), "titles")
 
     refs = hashed(refs, "key")
     canon = refs.withColumnRenamed("key", "doi") if same else hashed(crossref, "doi")
@@ -124,12 +116,12 @@ def title_candidates(refs: DataFrame, crossref: DataFrame, least: float = TITLE_
     if same:
         rest = canon.select("node", F.col("doi").alias("d")).join(named, "node").where("d <> doi").groupBy("node").agg(F.min("d").alias("next"))
         named = named.join(rest, "node", "left")
-    named = _staged(named, "named")
+    named = stage(named, "named")
     own = F.when(F.col("doi") != F.col("key"), F.col("doi")).otherwise(F.col("next")) if same else F.col("doi")
     exact = refs.select("key", "node").join(named, "node", "left").select("key", "node", own.alias("found_doi"))
     alone = exact.where("found_doi is null").select("key", "node")
     ts = refs.select("node", "ts") if same else refs.select("node", "ts").union(canon.select("node", "ts"))
-    sets = _staged(_rare_first(ts.groupBy("node").agg(F.any_value("ts").alias("ts"))), "sets").withColumn("n", F.size("ts"))
+    sets = stage(_rare_first(ts.groupBy("node").agg(F.any_value("ts").alias("ts"))), "sets").withColumn("n", F.size("ts"))
     keep = (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).cast("int")
     prefix = sets.select("node", "n", F.posexplode(F.slice("ts", F.lit(1), keep)).alias("pos", "t"))
     x = prefix.join(alone.select("node").distinct(), "node", "left_semi").select("t", F.col("node").alias("a"), "n", F.col("pos").alias("i"))
@@ -140,7 +132,7 @@ def title_candidates(refs: DataFrame, crossref: DataFrame, least: float = TITLE_
     pairs = x.join(y, "t").where(near).groupBy("a", "b", "n", "m").agg(F.count("*").alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))
     most = F.col("c") + F.least(F.col("n") - F.col("i") - 1, F.col("m") - F.col("j") - 1)
     pairs = pairs.where(F.lit(1 + least) * most >= F.lit(least) * (F.col("n") + F.col("m")) - 1e-9).select("a", "b")
-    both = _staged(pairs, "pairs").join(sets.select(F.col("node").alias("a"), F.col("ts").alias("p")), "a").join(sets.select(F.col("node").alias("b"), F.col("ts").alias("q")), "b")
+    both = stage(pairs, "pairs").join(sets.select(F.col("node").alias("a"), F.col("ts").alias("p")), "a").join(sets.select(F.col("node").alias("b"), F.col("ts").alias("q")), "b")
     shared = F.size(F.array_intersect("p", "q"))
     scored = both.select("a", "b", (shared / (F.size("p") + F.size("q") - shared)).alias("similarity")).where(F.col("similarity") >= least)
     scored = scored.join(named.select(F.col("node").alias("b"), "doi"), "b")
@@ -184,9 +176,9 @@ def verify(refs: DataFrame, crossref: DataFrame, doi_pmid: DataFrame, pubmed: Da
 
 
 def summarize(results: DataFrame) -> DataFrame:
-    """One row: a count for each status, present or not, and the entries with a conflict or an unregistered identifier."""
+    """One row: a count for each status, present or not, and the entries with a conflict, an unregistered identifier or a failed lookup."""
     has = lambda s: F.exists("issues", lambda i: i.severity == s)
-    return results.agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in STATUSES], F.count_if(has("conflict")).alias("conflicts"), F.count_if(has("missing")).alias("unregistered"))
+    return results.agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in STATUSES], F.count_if(has("conflict")).alias("conflicts"), F.count_if(has("missing")).alias("unregistered"), F.count_if(F.size("errors") > 0).alias("incomplete"))
 
 
 def section_rows(results: DataFrame, severity: str) -> DataFrame:
@@ -200,8 +192,49 @@ def partial_rows(results: DataFrame) -> DataFrame:
     return results.where("status = 'partial'").select("key", F.left(F.concat_ws("; ", "errors"), F.lit(90)).alias("errors"))
 
 
+def in_order(results: DataFrame, refs: DataFrame) -> DataFrame:
+    """results in the order of refs(key, ord); a key that stands several times takes its last place."""
+    place = refs.groupBy("key").agg(F.max("ord").alias("_ord"))
+    return results.join(place, "key").orderBy("_ord").drop("_ord")
+
+
+# title, what it means, columns
+SECTIONS = {
+    "conflict": ("Conflicting identifiers", "DOI and PMID of these entries belong to different works.", ["key", "field", "supplied", "canonical"]),
+    "missing": ("Identifiers that nobody registered", "Nothing stands behind these identifiers.", ["key", "field", "supplied"]),
+    "mismatch": ("Differing fields", "", ["key", "field", "supplied", "canonical", "source"]),
+    "partial": ("Checked in part", "A lookup failed, so a check may be missing; look these up again.", ["key", "errors"]),
+    "unresolved": ("Without a record", "No record was found and no identifier is known to be wrong.", ["key", "status", "errors"]),
+}
+
+
+def sections(results: DataFrame) -> dict[str, DataFrame]:
+    """The rows of each report section by its key in SECTIONS."""
+    found = {s: section_rows(results, s) for s in ("conflict", "missing", "mismatch")}
+    return found | {"partial": partial_rows(results), "unresolved": unresolved_rows(results)}
+
+
+def render_markdown(results: DataFrame) -> str:
+    """The report of one bibliography, which a person reads: counts, then a table for each section that has rows."""
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|")
+    n = summarize(results).first().asDict()
+    out = ["# References checked", "", *[f"- {k.replace('_', ' ')}: {v}" for k, v in n.items()], ""]
+    for name, df in sections(results).items():
+        title, meaning, columns = SECTIONS[name]
+        rows = df.select(*columns).orderBy("key").collect()
+        if rows:
+            out += [f"## {title}", "", *([meaning, ""] if meaning else []), "| " + " | ".join(columns) + " |", "|" + "---|" * len(columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows), ""]
+    return "\n".join(out)
+
+
+def exit_code(summary: DataFrame, fail_on_mismatch: bool = False) -> int:
+    """1 if asked to fail and anything is wrong or failed, else 0."""
+    n = summary.first()
+    return int(fail_on_mismatch and n["mismatch"] + n["conflicts"] + n["unregistered"] + n["error"] > 0)
+
+
 def unresolved_rows(results: DataFrame) -> DataFrame:
-    return results.where(F.col("status").isin("not_found", "error") & (F.size("issues") == 0)).select("key", "status", F.left(F.concat_ws("; ", "errors"), F.lit(90)).alias("errors"))
+    return results.where(F.col("status").isin("not_found", "error") & (F.size("issues") == 0)).select("key", "status", F.when(F.size("errors") > 0, F.left(F.concat_ws("; ", "errors"), F.lit(80))).otherwise("no matching record").alias("errors"))
 
 
 def has_identifier() -> Column:

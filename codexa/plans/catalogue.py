@@ -423,7 +423,7 @@ def verify_status(spark, d):
     return verify.verify(*_refs(spark, d)).select("key", "status", F.size("issues").alias("n_issues"), F.size("errors").alias("n_errors"), "derived_pmid")
 
 
-@query(f"with {_S} select count(*) as total, {', '.join(f"count(*) filter (where status = '{x}') as {x}" for x in verify.STATUSES)}, count(*) filter (where n_conf > 0) as conflicts, count(*) filter (where n_miss > 0) as unregistered from e")
+@query(f"with {_S} select count(*) as total, {', '.join(f"count(*) filter (where status = '{x}') as {x}" for x in verify.STATUSES)}, count(*) filter (where n_conf > 0) as conflicts, count(*) filter (where n_miss > 0) as unregistered, count(*) filter (where n_errors > 0) as incomplete from e")
 def verify_summary(spark, d):
     return verify.summarize(verify.verify(*_refs(spark, d)))
 
