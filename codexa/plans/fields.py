@@ -251,3 +251,25 @@ def first_valid_candidate(spark, d):
     c = read(spark, d, "events").groupBy(F.col("user_id").alias("pmid"), kind.alias("source")).agg(F.max("event_id").alias("n"), F.min(F.array_position(F.array(*[F.lit(k) for k in KINDS]), kind)).alias("rank"))
     content = F.concat(F.when(F.col("n") % 5 > 0, "%PDF-").otherwise("<html"), F.repeat(F.lit("x"), (F.col("n") % 2000).cast("int")))
     return cache.best_candidate(c.withColumn("content", F.encode(content, "utf-8"))).select("pmid", "source")
+
+
+# field, as cited, as found, and whether they differ
+PAIRS = [
+    ("title", "Growth of small cells", "A history of large ships", True), ("title", "Growth of small cells", "Growth of small cell", False), ("first_author", "Bray AJ", "Bass AJ", True), ("first_author", "Jing WU", "Wu J", False),
+    ("year", "1998 ", "1998", False), ("year", "1998", "1999", True), ("journal", "Nature", "Nature Medicine", False), ("journal", "Nature", "Science", True), ("volume", "Suppl. 1", "suppl 1", False), ("volume", "12", "21", True),
+    ("issue", "3", "", False), ("issue", "3", "4", True), ("pages", "202-9", "202–209", False), ("pages", "202-9", "302-309", True), ("first_author", "Smith J", "ALS Study Group", False), ("title", "???", "Growth of small cells", True),
+]
+
+
+@query(f"""select o_orderkey::varchar as key, f[i] as field, s[i] as supplied, c[i] as canonical, 'crossref' as source from (select o_orderkey, o_orderkey % {len(PAIRS)} + 1 as i, [{_quoted(*[p[0] for p in PAIRS])}] as f,
+ [{_quoted(*[p[1] for p in PAIRS])}] as s, [{_quoted(*[p[2] for p in PAIRS])}] as c, [{", ".join(str(p[3]).lower() for p in PAIRS)}] as w from orders) where w[i]""")
+def compare_each_field(spark, d):
+    """One of seven fields cited in another way, on every order; all others are alike."""
+    k = F.col("o_orderkey")
+    names = ["title", "first_author", "year", "journal", "volume", "issue", "pages"]
+    same = {"title": "Growth of small cells", "first_author": "Li W", "year": "2000", "journal": "Nature", "volume": "1", "issue": "2", "pages": "3-4"}
+    o = read(spark, d, "orders").select(k.cast("string").alias("key"), *[_pick(k, [p[i] for p in PAIRS]).alias(n) for i, n in enumerate(("f", "s", "c"))])
+    side = lambda c: [F.when(F.col("f") == n, F.col(c)).otherwise(same[n]).alias(n) for n in names]
+    meta = F.struct(*side("c"), F.array(F.when(F.col("f") == "first_author", F.col("c")).otherwise("Li W")).alias("all_authors"), F.lit("").alias("lookup_error"))
+    found = F.explode(verify.compare_fields("ref", "meta", "crossref")).alias("i")
+    return o.select(F.struct("key", *side("s")).alias("ref"), meta.alias("meta")).select("ref.key", found).select("key", "i.field", "i.supplied", "i.canonical", "i.source")

@@ -24,11 +24,50 @@ GATES = {
     "G4": "the source has records without a usable author list",
     "G5": "no record is left after exclusions",
 }
+# what a reader must know, in the order of the sections; holes are filled when a caveat is asked for
 CAVEATS = {
-    "small": "Fewer than {floor} cases: no aggregate is given, the rows are.",
-    "indexing": "The last two years of the window are still being indexed.",
-    "censored": "Spans that touch an edge of the window are lower bounds.",
+    "scope": "Only published records are described. Whoever left without a record is in no number here, and nothing is said of advice, money, hours, degrees or careers.",
     "unlocated": "{n} records have no located investigator.",
+    "unproven": "{n} further records carry the name without evidence and are left out; earlier ones under another institution are lost this way unless its name is given.",
+    "names": "People are told apart by name: {n_strict} by surname and forename, {n_loose} by surname and initial. Each count of people is uncertain by the difference.",
+    "positions": "Strata follow from places in bylines. They say nothing about anybody's post.",
+    "slots": "Slots on records are counted, not people: a few busy people may hold most of them.",
+    "own_records": "Records without the investigator are not in the corpus, so work led elsewhere is not seen.",
+    "published_only": "People without a record are in none of the buckets; their shares are no odds.",
+    "delay": "Dates are those of publication, a year or two after the work.",
+    "reached": "Lags are of those who reached a lead slot; those still without one stand beside them.",
+    "span": "A span lies between two dates of publication. It is not the time spent in the group.",
+    "censored": "Spans that touch an edge of the window are lower bounds; the median is of complete ones only and so leans to short stays (window of {years} years).",
+    "either_way": "A short span fits a quick success and an early departure alike.",
+    "not_staff": "People with a record in a year are not the staff of that year, and co-authors may work elsewhere.",
+    "filtered": "Not measured: the records were chosen by the investigator's place in the byline.",
+    "senior_last": "That the last author is the senior one is a custom, which not every department follows.",
+    "email": "Corresponding authors are known by an e-mail address in the affiliation, here on {covered} of {total} records.",
+    "flags": "Equal contribution is known only where the publisher says so; a zero proves nothing, and no rate is given.",
+    "indexing": "The first and last years are partial and the last two of the window are still being indexed.",
+    "all_types": "Records of all types are counted: reviews and letters beside research, but for titles that name a correction.",
+    "team": "Neither a small nor a large team is better by itself.",
+    "venues": "Journal names are compared as written; no measure of journals is used.",
+    "affiliations": "Affiliations are texts, not institutions; older records often have only that of the first author, so years do not compare.",
+    "titles": "Titles are given as they are and are not sorted by topic.",
+    "small": "Fewer than {floor} cases: no aggregate is given, the rows are.",
+}
+SECTION_CAVEATS = {
+    "roster": ["names", "positions"], "first_author_slots": ["slots", "own_records"], "lead_slot_partition": ["published_only"], "time_to_lead": ["delay", "reached"],
+    "activity_span": ["span", "censored", "either_way"], "roster_turnover": ["not_staff"], "pi_byline_positions": ["filtered", "senior_last", "email", "unlocated"], "equal_contrib": ["flags"],
+    "records_per_year": ["indexing", "all_types"], "team_size": ["team"], "venues": ["venues"], "affiliations": ["affiliations"], "titles": ["titles"], "flips": ["names", "senior_last"],
+}
+# measure and why the report has none
+NOT_REPORTED = {
+    "citations, indices and impact factors": "the records hold none, and people and journals are not ranked",
+    "scores and grades": "their weights would be arbitrary",
+    "share of people who come to lead": "those without a record are not in the denominator",
+    "records per person as a mean": "one busy person decides it",
+    "rate of shared first places": "flags are missing without a rule",
+    "rate of corresponding authors": "it depends on whether journals print addresses",
+    "number of partner institutions": "affiliations are free text",
+    "shift of topics": "there are no subject terms, and words of titles follow fashion",
+    "attrition and time to a degree": "no record tells who left or graduated",
 }
 
 
@@ -59,6 +98,7 @@ def check_gates(papers: DataFrame, query: Query, who: I.Identity) -> str | None:
 
 
 def caveat(key: str, **fields) -> str:
+    """A missing field is an error, not a hole."""
     return CAVEATS[key].format(**fields)
 
 
@@ -111,17 +151,25 @@ def build_report(papers: DataFrame, query: Query, who: I.Identity, exclude: list
     venues, venue_counts = M.venue_repetition(kept)
     persons = own.where("not collective")
     eligible = kept.where("not slot0 and (pi_index is null or pi_index <> 0)")
+    ids = lambda df, cond: [r["pmid"] for r in df.where(cond).select("pmid").orderBy("pmid").collect()]
+    leaders = eligible.select("pmid", "year").join(persons.where("person_idx = 0").select("pmid", F.col("name").alias("lead_name")), "pmid", "left").join(lead, "pmid", "left")
+    leaders = leaders.select("pmid", "year", "lead_name", F.coalesce("stratum", F.lit("unclassified")).alias("stratum"))
+    held = M.lag_rows(people, F.lit(end), lag)
+    single = I.slot_lists(own.drop("pi_index", "collective", "person_idx", "n_persons"), kept.select("pmid", "pi_index"))
+    keys = rows(I.key_counts(apps))[0]
     report["metrics"] = {
-        "roster": {**rows(M.strata_counts(people))[0], "rows": rows(people.select("person_id", "name", "stratum", "n_appearances", "first_year", "last_year", "left_censored", "right_censored", "flags", "affiliation_signal"), "person_id")},
-        "first_author_slots": rows(M.first_author_slots(eligible.select("pmid"), lead))[0],
-        "lead_slot_partition": rows(M.lead_slot_partition(people, F.lit(end), lag)),
-        "time_to_lead": {**rows(lag_summary)[0], "distribution": rows(lags, "lag")},
-        "activity_span": rows(M.activity_span(people))[0],
+        "roster": {**rows(M.strata_counts(people))[0], **keys, "sole_author": ids(single, "sole_author"), "rows": rows(people.select("person_id", "name", "stratum", "n_appearances", "first_year", "last_year", "left_censored", "right_censored", "flags", "affiliation_signal"), "person_id")},
+        "first_author_slots": {
+            **rows(M.first_author_slots(eligible.select("pmid"), lead))[0], "rows": rows(leaders, "pmid"), "behind_consortium": ids(kept, "slot0"), "led_by_investigator": ids(kept, "not slot0 and pi_index = 0"),
+        },
+        "lead_slot_partition": {"lag_years": lag, "counts": rows(M.lead_slot_partition(people, F.lit(end), lag)), "rows": rows(held, "row", "name")},
+        "time_to_lead": {**rows(lag_summary)[0], "distribution": rows(lags, "lag"), "still_without_lead": rows(held.where("row = 'waiting'").select("name", F.col("value").alias("years")), "name")},
+        "activity_span": {**rows(M.activity_span(people))[0], "single_appearances": people.where("stratum = 'C'").count()},
         "roster_turnover": rows(M.roster_turnover(people, start, end), "year"),
         "pi_byline_positions": rows(M.pi_byline_positions(kept, query.position_filtered))[0],
         "equal_contrib": rows(M.equal_contrib_occurrences(persons), "pmid"),
         "records_per_year": rows(M.records_per_year(both, start, end), "year"),
-        "team_size": {**rows(M.team_size(kept))[0], "led_by_trainees": rows(M.team_size_subset(kept, lead))[0]},
+        "team_size": {**rows(M.team_size(kept))[0], "large": ids(M.large_teams(kept), "true"), "led_by_trainees": rows(M.team_size_subset(kept, lead))[0]},
         "venues": {**rows(venue_counts)[0], "repeated": rows(venues, F.desc("n"), "journal")},
         "affiliations": {"strings": rows(M.affiliation_strings(persons), F.desc("n_papers"), "affiliation"), "coverage": rows(M.affiliation_coverage(persons, start, end), "year")},
         "titles": rows(M.titles_by_year(kept), "year"),
@@ -133,9 +181,19 @@ def build_report(papers: DataFrame, query: Query, who: I.Identity, exclude: list
         "evidence": {r["e"]: r["n"] for r in rows(kept.groupBy(F.coalesce("pi_evidence", F.lit("unlocated")).alias("e")).agg(F.count("*").alias("n")), "e")},
         "title_duplicates": rows(I.title_duplicates(kept), "title_key"),
     }
-    report["caveats"] = [caveat("indexing"), caveat("censored")] + ([caveat("small", floor=M.AGG_FLOOR)] if report["metrics"]["team_size"]["denominator"] < M.AGG_FLOOR else [])
-    if n := report["metrics"]["pi_byline_positions"]["n_unlocated"]:
-        report["caveats"].append(caveat("unlocated", n=n))
+    m = report["metrics"]
+    place = m["pi_byline_positions"]
+    unproven = report["provenance"]["evidence"].get("name_only", 0)
+    fields = {
+        "names": keys, "censored": {"years": end - start + 1}, "email": {"covered": place["email_papers"], "total": place["denominator"]}, "unlocated": {"n": place["n_unlocated"]},
+        "unproven": {"n": unproven}, "small": {"floor": M.AGG_FLOOR},
+    }
+    absent = {"filtered": not query.position_filtered, "unlocated": not place["n_unlocated"], "unproven": not unproven}
+    say = lambda *names: [caveat(n, **fields.get(n, {})) for n in names if not absent.get(n)]
+    small = [name for name, v in m.items() if isinstance(v, dict) and (v.get("suppressed") or 0 < v.get("denominator", M.AGG_FLOOR) < M.AGG_FLOOR)]
+    report["section_caveats"] = {name: say(*SECTION_CAVEATS[name], *(["small"] if name in small else [])) for name in m}
+    report["caveats"] = list(dict.fromkeys([*say("scope", "unproven"), *(x for found in report["section_caveats"].values() for x in found)]))
+    report["not_reported"] = dict(NOT_REPORTED)
     for df in (judged, apps, people):
         df.unpersist()
     return report
@@ -156,20 +214,35 @@ def _table(rows: list[dict]) -> list[str]:
     return ["| " + " | ".join(head) + " |", "|" + "---|" * len(head), *("| " + " | ".join(_cell(r[c]) for c in head) + " |" for r in rows), ""]
 
 
+def _body(metric: list | dict) -> list[str]:
+    if isinstance(metric, list):
+        return _table([{k: v for k, v in r.items() if not isinstance(v, list)} for r in metric])
+    if metric.get("suppressed"):
+        out = ["Too few cases for percentages and medians.", ""]
+    else:
+        out = []
+    out += [f"- {k.replace('_', ' ')}: {_cell(v)}" for k, v in metric.items() if not isinstance(v, (list, dict))] + [""]
+    for key, v in metric.items():
+        if isinstance(v, list) and not (v and isinstance(v[0], dict)):
+            out += [f"- {key.replace('_', ' ')}: {_cell(v) or 'none'}", ""]
+        elif isinstance(v, (list, dict)):
+            out += [f"### {key.replace('_', ' ')}", "", *_table(v if isinstance(v, list) else [v])]
+    return out
+
+
 def render_markdown(report: dict) -> str:
+    """Provenance, a section for each metric with its caveats, each caveat once, and what is not reported."""
     out = [f"# Profile of {report['author_name']}", ""]
     if report["refused"]:
         return "\n".join([*out, f"Refused ({report['gate']}): {report['reason']}.", ""])
     out += ["## provenance", "", *[f"- {k}: {json.dumps(v)}" for k, v in report["provenance"].items()], ""]
+    said: set[str] = set()
     for name, metric in report["metrics"].items():
-        out += [f"## {name}", ""]
-        if isinstance(metric, list):
-            out += _table([{k: v for k, v in r.items() if not isinstance(v, list)} for r in metric])
-            continue
-        out += [f"- {k}: {_cell(v)}" for k, v in metric.items() if not isinstance(v, (list, dict))] + [""]
-        for key, v in metric.items():
-            out += [f"### {key}", "", *_table(v if isinstance(v, list) else [v])] if isinstance(v, (list, dict)) else []
-    return "\n".join([*out, "## caveats", "", *[f"- {c}" for c in report["caveats"]], ""])
+        new = [c for c in report["section_caveats"][name] if c not in said]
+        said.update(new)
+        out += [f"## {name.replace('_', ' ')}", "", *_body(metric), *[f"> {c}" for c in new], *([""] if new else [])]
+    rest = [c for c in report["caveats"] if c not in said]
+    return "\n".join([*out, "## caveats", "", *[f"- {c}" for c in rest], "", "## not reported", "", *[f"- {k}: {v}" for k, v in report["not_reported"].items()], ""])
 
 
 def render_json(report: dict) -> str:

@@ -36,3 +36,15 @@ def test_report(spark):
     assert [r["name"] for r in m["roster"]["rows"]] == ["Bo A", "Li Wei"] and m["roster"]["denominator"] == 2
     assert m["pi_byline_positions"]["n_last"] == 3 and m["team_size"]["median"] is None and [r["n"] for r in m["records_per_year"]] == [0, 1, 1, 1, 0]
     assert "Profile of Chen Xiu" in R.render_markdown(out) and R.render_json(out).startswith("{")
+    assert m["first_author_slots"]["rows"][0]["lead_name"] == "Li Wei" and m["first_author_slots"]["led_by_investigator"] == [] and m["roster"]["n_strict"] == 2
+    assert [r["n"] for r in m["lead_slot_partition"]["counts"]] == [2, 0, 0] and m["time_to_lead"]["still_without_lead"] == [] and m["activity_span"]["single_appearances"] == 0
+    text = R.render_markdown(out)
+    assert text.count("still being indexed") == 1 and "## not reported" in text and not any("{" in c for c in out["caveats"])
+
+
+def test_caveats_need_their_fields():
+    import pytest
+
+    with pytest.raises(KeyError):
+        R.caveat("names", n_strict=1)
+    assert {c for found in R.SECTION_CAVEATS.values() for c in found} <= set(R.CAVEATS)

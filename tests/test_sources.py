@@ -51,6 +51,12 @@ def test_verify_statuses(spark):
     # an unregistered DOI is an error of the lookup as well; a failed lookup is partial where the title leads to a record
     assert {k: r["status"] for k, r in got.items()} == {"ok": "verified", "year": "mismatch", "gone": "error", "conflict": "mismatch", "slow": "mismatch", "late": "partial"}
     assert {i["severity"] for i in got["conflict"]["issues"]} == {"conflict"} and got["slow"]["errors"] == got["late"]["errors"] == ["crossref lookup failed"]
+    text = verify.render_markdown(v)
+    assert [t for t, _, _ in verify.SECTIONS.values() if f"## {t}" in text] == [verify.SECTIONS[s][0] for s in ("conflict", "missing", "mismatch", "partial")]
+    assert "| gone | doi | 10.9/none |" in text and "| late | crossref lookup failed |" in text and "- incomplete: 3" in text
+    assert verify.exit_code(verify.summarize(v)) == 0 and verify.exit_code(verify.summarize(v), True) == 1
+    order = spark.createDataFrame([("late", 0), ("ok", 1), ("late", 2)], "key string, ord int")
+    assert [r["key"] for r in verify.in_order(v, order).collect()] == ["ok", "late"]
 
 
 def test_cache_and_matrix(spark):
