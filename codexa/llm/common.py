@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import re
-import uuid
-import weakref
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codexa.staging import drop, stage  # noqa: F401  re-exported
+
 #: The six ASCII white-space characters that separate words.
 SPACE = " \t\n\x0b\f\r"
 SPACE_RE = "[ \\t\\n\\x0B\\f\\r]+"
@@ -22,40 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one of our own only where that is unset and everything runs on this machine."""
-    if at := spark.conf.get("spark.checkpoint.dir", None):
-        return at.rstrip("/")
-    if not re.match(r"local($|\[)", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return "/tmp/checkpoints/codexa"
-
-
-def stage(df: DataFrame, what: str = "stage") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors, has a known size. The table goes when the session's JVM ends, or by drop()."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    df.write.option("compression", "zstd").parquet(path)
-    fs.deleteOnExit(at)
-    out = spark.read.schema(df.schema).parquet(path)
-    _staged[id(out)] = (weakref.ref(out), fs, at)
-    return out
-
-
-_staged: dict[int, tuple] = {}
-
-
-def drop(*frames: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more; frames that were not staged are left alone."""
-    for df in frames:
-        ref, fs, at = _staged.pop(id(df), (None, None, None))
-        if ref is not None and ref() is df:
-            fs.delete(at, True)
-            fs.cancelDeleteOnExit(at)
-
-
 def unused(columns: Iterable[str], *names: str) -> list[str]:
     """The names, lengthened until none is among the columns (case aside) or given twice."""
     taken, out = {c.lower() for c in columns}, []
