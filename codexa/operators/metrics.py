@@ -69,11 +69,12 @@ def year_spine(df: DataFrame, start: int, end: int) -> DataFrame:
 
 def roster_turnover(people: DataFrame, start: int, end: int) -> DataFrame:
     """year, active, arrivals, departures, departures_right_censored for every year of the window; all strata."""
-    count = lambda c, name: people.groupBy(c.alias("year")).agg(F.count("*").alias(name))
-    active = people.select(F.explode("years").alias("year")).groupBy("year").agg(F.count("*").alias("active"))
-    out = year_spine(people, start, end).join(active, "year", "left").join(count(F.col("first_year"), "arrivals"), "year", "left").join(count(F.col("last_year"), "departures"), "year", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return out.select("year", zero("active"), zero("arrivals"), zero("departures"), (F.col("year") >= end - 1).alias("departures_right_censored"))
+    kinds = ["active", "arrivals", "departures"]
+    mark = lambda year, kind: F.struct(year.cast("int").alias("year"), F.lit(kind).alias("kind"))
+    marks = F.concat(F.transform("years", lambda y: mark(y, kinds[0])), F.array(mark(F.col("first_year"), kinds[1]), mark(F.col("last_year"), kinds[2])))
+    per = people.select(F.inline(marks)).groupBy("year").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
+    out = year_spine(people, start, end).join(per, "year", "left").na.fill(0, kinds)
+    return out.select("year", *kinds, (F.col("year") >= end - 1).alias("departures_right_censored"))
 
 
 def pi_byline_positions(papers: DataFrame, filtered: bool = False) -> DataFrame:

@@ -143,19 +143,21 @@ def title_candidates(refs: DataFrame, crossref: DataFrame, least: float = TITLE_
 
 def verify(refs: DataFrame, crossref: DataFrame, doi_pmid: DataFrame, pubmed: DataFrame) -> DataFrame:
     """refs with crossref and pubmed structs, issues, errors and status; five equi-joins, no loop over references."""
-    r = refs.withColumns({"_doi": T.normalize_doi(F.col("doi")), "_pmid": F.trim(T.text(F.col("pmid")))})
-    c = crossref.withColumn("_doi", T.normalize_doi(F.col("doi"))).where("_doi <> ''")
-    c = c.groupBy("_doi").agg(F.min_by(F.struct(*crossref.columns), F.struct("doi", "title")).alias("cr"))
-    d = doi_pmid.withColumn("_doi", T.normalize_doi(F.col("doi"))).groupBy("_doi").agg(F.min_by(F.struct("pmid", "lookup_error"), F.col("pmid")).alias("dp"))
+    # a row without an identifier finds nothing: its join key is its own, behind a space that no trimmed identifier has, so that such rows spread over all tasks
+    own = F.concat(F.lit(" "), T.text(F.col("key")))
+    doi = T.normalize_doi(F.col("doi"))
+    r = refs.withColumns({"_doi": doi, "_pmid": F.trim(T.text(F.col("pmid")))}).withColumn("_d", F.coalesce(F.nullif("_doi", F.lit("")), own))
+    c = crossref.withColumn("_d", doi).where("_d <> ''").groupBy("_d").agg(F.min_by(F.struct(*crossref.columns), F.struct("doi", "title")).alias("cr"))
+    d = doi_pmid.withColumn("_d", doi).where("_d <> ''").groupBy("_d").agg(F.min_by(F.struct("pmid", "lookup_error"), F.col("pmid")).alias("dp"))
     p = pubmed.withColumn("_key", F.trim("pmid")).where("_key <> ''").groupBy("_key").agg(F.min_by(F.struct(*pubmed.columns), F.struct("pmid", "title")).alias("pm"))
-    j = r.join(c, "_doi", "left")
+    j = r.join(c, "_d", "left").join(d, "_d", "left")
     failed = F.col("cr.lookup_error").isNotNull() & (F.col("cr.lookup_error") != "")
-    look = j.where(((F.col("_doi") == "") | failed) & (T.text(F.col("title")) != ""))
+    look = r.join(c, "_d", "left").where(((F.col("_doi") == "") | failed) & (T.text(F.col("title")) != ""))
     found = title_candidates(look.select("key", "title"), crossref.where("lookup_error is null or lookup_error = ''"))
-    by = c.select(F.col("_doi").alias("_found"), F.col("cr").alias("cr2"))
-    j = j.join(found.select("key", T.normalize_doi(F.col("found_doi")).alias("_found")), "key", "left").join(by, "_found", "left").join(d, "_doi", "left")
+    by = c.select(F.col("_d").alias("_found"), F.col("cr").alias("cr2"))
+    j = j.join(found.select("key", T.normalize_doi(F.col("found_doi")).alias("_found")), "key", "left").withColumn("_found", F.coalesce("_found", own)).join(by, "_found", "left")
     j = j.withColumns({"_failed": failed, "derived": F.when((F.col("_doi") != "") & (T.text(F.col("dp.lookup_error")) == ""), T.text(F.col("dp.pmid"))).otherwise("")})
-    j = j.withColumn("_key", F.coalesce(F.nullif("_pmid", F.lit("")), F.nullif("derived", F.lit("")))).join(p, "_key", "left")
+    j = j.withColumn("_key", F.coalesce(F.nullif("_pmid", F.lit("")), F.nullif("derived", F.lit("")), own)).join(p, "_key", "left")
     j = j.withColumns({"cr": F.when(~F.col("_failed") & F.col("cr").isNotNull(), F.col("cr")).otherwise(F.col("cr2")), "_pf": T.text(F.col("pm.lookup_error")) != ""})
     j = j.withColumn("ref", F.struct(*refs.columns))
     absent_doi = (F.col("_doi") != "") & F.col("cr").isNull() & ~F.col("_failed")

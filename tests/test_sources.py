@@ -41,7 +41,7 @@ def test_verify_statuses(spark):
     from codexa.sources import schemas as S
 
     ref = lambda k, doi="", pmid="", year="2020": (k, "A study of things", "Li W", year, "", "", "", "", doi, pmid, "article")
-    refs = spark.createDataFrame([ref("ok", "10.1/a", "1"), ref("year", "10.1/a", "1", "1999"), ref("gone", "10.9/none"), ref("conflict", "10.1/a", "2"), ref("slow", "10.1/slow", "1"), ref("late", "10.1/slow")], S.REFERENCE)
+    refs = spark.createDataFrame([ref("ok", "10.1/a", "1"), ref("year", "10.1/a", "1", "1999"), ref("gone", "10.9/none"), ref("conflict", "10.1/a", "2"), ref("slow", "10.1/slow", "1"), ref("late", "10.1/slow"), ref("bare"), ref("none", year="1999")], S.REFERENCE)
     cr = lambda doi, error=None: (doi, "A study of things", "Li", ["Li"], "2020", "", "", "", "", "article", error)
     cross = spark.createDataFrame([cr("10.1/a"), cr("10.1/slow", "timeout")], S.CROSSREF)
     link = spark.createDataFrame([("10.1/a", "1", None)], S.DOI_PMID)
@@ -49,7 +49,7 @@ def test_verify_statuses(spark):
     v = verify.verify(refs, cross, link, pub)
     got = {r["key"]: r for r in v.collect()}
     # an unregistered DOI is an error of the lookup as well; a failed lookup is partial where the title leads to a record
-    assert {k: r["status"] for k, r in got.items()} == {"ok": "verified", "year": "mismatch", "gone": "error", "conflict": "mismatch", "slow": "mismatch", "late": "partial"}
+    assert {k: r["status"] for k, r in got.items()} == {"ok": "verified", "year": "mismatch", "gone": "error", "conflict": "mismatch", "slow": "mismatch", "late": "partial", "bare": "verified", "none": "mismatch"}
     assert {i["severity"] for i in got["conflict"]["issues"]} == {"conflict"} and got["slow"]["errors"] == got["late"]["errors"] == ["crossref lookup failed"]
     text = verify.render_markdown(v)
     assert [t for t, _, _ in verify.SECTIONS.values() if f"## {t}" in text] == [verify.SECTIONS[s][0] for s in ("conflict", "missing", "mismatch", "partial")]
