@@ -126,6 +126,11 @@ def truncated_search(found: DataFrame, most: int = 500) -> DataFrame:
     return n.select("matched", F.least("matched", F.lit(most)).alias("returned"), (F.col("matched") > most).alias("truncated"))
 
 
+def search_window(now: Column, years_back: int) -> Column:
+    """mindate and maxdate of a search that looks back, a year being 365 days; today is a parameter."""
+    return F.struct(F.date_format(F.date_sub(now, 365 * years_back), "yyyy/MM/dd").alias("mindate"), F.date_format(now, "yyyy/MM/dd").alias("maxdate"))
+
+
 def search_page(found: DataFrame, order: list[str], most: int = 500, dates: tuple[str, str] | None = None, keep: Column | None = None) -> DataFrame:
     """The first `most` rows (the cap is the feature) of those dated within dates and kept by a narrowing condition."""
     rows = found.where(F.col("date_iso").between(*dates)) if dates else found

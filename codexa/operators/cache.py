@@ -39,3 +39,9 @@ def best_candidate(candidates: DataFrame) -> DataFrame:
     """candidates(pmid, rank, source, content): the first valid PDF of each paper by source rank."""
     valid = (F.octet_length("content") >= 1000) & (F.substring("content", 1, 5) == F.lit(b"%PDF-"))
     return candidates.where(valid).groupBy("pmid").agg(F.min_by("source", "rank").alias("source"))
+
+
+def tallies(results: DataFrame) -> DataFrame:
+    """results(status, from_cache) of one run -> downloaded, failed, cached, total; what the cache had is not downloaded again."""
+    done, cached = F.col("status") == DONE, F.col("from_cache")
+    return results.agg(F.count_if(done & ~cached).alias("downloaded"), F.count_if(~done).alias("failed"), F.count_if(done & cached).alias("cached"), F.count("*").alias("total"))

@@ -273,3 +273,15 @@ def compare_each_field(spark, d):
     meta = F.struct(*side("c"), F.array(F.when(F.col("f") == "first_author", F.col("c")).otherwise("Li W")).alias("all_authors"), F.lit("").alias("lookup_error"))
     found = F.explode(verify.compare_fields("ref", "meta", "crossref")).alias("i")
     return o.select(F.struct("key", *side("s")).alias("ref"), meta.alias("meta")).select("ref.key", found).select("key", "i.field", "i.supplied", "i.canonical", "i.source")
+
+
+@query("select o_orderkey, strftime(o_orderdate::date - 1825, '%Y/%m/%d') as mindate, strftime(o_orderdate, '%Y/%m/%d') as maxdate from orders")
+def search_window(spark, d):
+    return read(spark, d, "orders").select("o_orderkey", analyze.search_window(F.to_date("o_orderdate"), 5).alias("w")).select("o_orderkey", "w.*")
+
+
+@query("""with q as (select event_type = 'purchase' as done, event_id % 4 = 0 as cached from events)
+select count(*) filter (where done and not cached) as downloaded, count(*) filter (where not done) as failed, count(*) filter (where done and cached) as cached, count(*) as total from q""")
+def download_tallies(spark, d):
+    status = F.when(F.col("event_type") == "purchase", cache.DONE).otherwise(cache.FAILED)
+    return cache.tallies(read(spark, d, "events").select(status.alias("status"), (F.col("event_id") % 4 == 0).alias("from_cache")))

@@ -21,8 +21,8 @@ def _filled(df: DataFrame) -> DataFrame:
 def papers_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(papers, provenance) of a bare list or an envelope {search, papers}; a bare list has no provenance."""
     whole = spark.read.text(path, wholetext=True)
-    listed = F.from_json("value", f"array<struct<{PAPER.replace(' array', ': array').replace(' string', ': string')}>>")
-    boxed = F.from_json(F.get_json_object("value", "$.papers"), f"array<struct<{PAPER.replace(' array', ': array').replace(' string', ': string')}>>")
+    listed = F.from_json("value", f"array<struct<{PAPER}>>")
+    boxed = F.from_json(F.get_json_object("value", "$.papers"), f"array<struct<{PAPER}>>")
     bare = F.startswith(F.ltrim("value"), F.lit("["))
     papers = whole.select(F.posexplode(F.when(bare, listed).otherwise(boxed)).alias("ord", "p")).select("ord", "p.*")
     search = "mindate string, maxdate string, years_back int, retmax int, narrowed_by_affiliation boolean, esearch_term string, esearch_matched int, pmids_returned int, truncated boolean, fetched int, verified int"
@@ -31,7 +31,9 @@ def papers_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def corpus_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(papers, one-row metadata) of a profile corpus."""
+    """(papers, one-row metadata) of a profile corpus, which is one JSON object; anything else is refused."""
+    if spark.read.text(path, wholetext=True).where(~F.startswith(F.ltrim(F.regexp_replace("value", "\\s+", " ")), F.lit("{"))).limit(1).count():
+        raise ValueError("a corpus file holds one JSON object")
     papers, _ = papers_json(spark, path)
     meta = "schema_version int, generated_at string, position_filtered boolean, fallback_fired boolean, query struct<term: string, mindate: string, maxdate: string, years_back: int, retmax: int, esearch_count: int, pmids_returned: int, truncated: boolean>, identity struct<author_name: string, orcid: string, affiliation_keywords: array<string>, email_domains: array<string>>, counts struct<fetched: int, verified: int, name_only: int, rejected: int, by_evidence: map<string,int>>"
     return papers, spark.read.text(path, wholetext=True).select(F.from_json("value", meta).alias("m")).select("m.*")

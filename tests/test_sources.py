@@ -83,3 +83,18 @@ def test_a_truncated_file_stays_visible(spark, tmp_path):
 def test_identifiers_of_references(spark):
     rows = spark.createDataFrame([("", " "), ("10.1/a", ""), (None, "7"), (None, None)], "doi string, pmid string")
     assert [r["h"] for r in rows.select(verify.has_identifier().alias("h")).collect()] == [False, True, True, False]
+
+
+def test_a_corpus_is_one_object(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "list.json").write_text('\n [{"pmid": "1"}]')
+    (tmp_path / "corpus.json").write_text('\n {"schema_version": 1, "papers": [{"pmid": "1"}]}')
+    with pytest.raises(ValueError, match="object"):
+        readers.corpus_json(spark, str(tmp_path / "list.json"))
+    papers, meta = readers.corpus_json(spark, str(tmp_path / "corpus.json"))
+    assert papers.first()["pmid"] == "1" and meta.first()["schema_version"] == 1
+    (tmp_path / "full.json").write_text('[{"pmid": "2", "title": "T", "authors": [{"name": "Li Wei", "last": "Li", "is_corresponding": true}]}, {"pmid": "3"}]')
+    papers, found = readers.papers_json(spark, str(tmp_path / "full.json"))
+    rows = papers.orderBy("ord").collect()
+    assert [r["pmid"] for r in rows] == ["2", "3"] and rows[0]["authors"][0]["is_corresponding"] and rows[1]["title"] == "" and found.count() == 0
