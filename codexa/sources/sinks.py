@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def papers_csv(papers: DataFrame, path: str) -> None:
     flat = [c for c, t in papers.dtypes if not t.startswith(("array", "struct", "map"))]
-    papers.select(*flat).write.mode("overwrite").option("header", True).csv(path)
+    papers.select(*flat).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def papers_json(papers: DataFrame, path: str) -> None:

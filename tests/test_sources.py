@@ -98,3 +98,17 @@ def test_a_corpus_is_one_object(spark, tmp_path):
     papers, found = readers.papers_json(spark, str(tmp_path / "full.json"))
     rows = papers.orderBy("ord").collect()
     assert [r["pmid"] for r in rows] == ["2", "3"] and rows[0]["authors"][0]["is_corresponding"] and rows[1]["title"] == "" and found.count() == 0
+
+
+def test_papers_and_topics_round_trip(spark, tmp_path):
+    from codexa.sources import sinks
+
+    (tmp_path / "f.json").write_text('{"search": {"mindate": "2000", "fetched": 3, "verified": 1}, "papers": [{"pmid": "2", "title": "a \\"q\\", b"}]}')
+    papers, search = readers.papers_json(spark, str(tmp_path / "f.json"))
+    assert search.first()["rejected"] == 2
+    sinks.envelope(papers, search, "now").write.json(str(tmp_path / "out"))
+    assert [r["pmid"] for r in readers.papers_json(spark, str(tmp_path / "out"))[0].collect()] == ["2"]
+    sinks.papers_csv(papers, str(tmp_path / "csv"))
+    assert [(r["pmid"], r["title"]) for r in readers.papers_csv(spark, str(tmp_path / "csv")).collect()] == [("2", 'a "q", b')]
+    (tmp_path / "t.csv").write_text("pmid,primary_bucket,secondary_bucket,year\n1,a,b,2000\n")
+    assert tuple(readers.topics(spark, str(tmp_path / "t.csv")).first()) == ("1", "a", "b", 2000)
