@@ -146,7 +146,11 @@ def summary_json(df: DataFrame, c: str = "value") -> DataFrame:
 
 
 def topics(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(TOPIC).json(path) if path.endswith("json") else spark.read.schema(TOPIC).option("header", True).csv(path)
+    """Topic records of JSON (a list in any layout, or lines) or CSV."""
+    if not path.endswith("json"):
+        return spark.read.schema(TOPIC).option("header", True).csv(path)
+    listed = spark.read.text(path, wholetext=True).select(F.rlike("value", F.lit("^\\s*\\[")).alias("l")).agg(F.bool_or("l")).first()[0]
+    return spark.read.schema(TOPIC).option("multiLine", bool(listed)).json(path)
 
 
 def papers_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -112,3 +112,7 @@ def test_papers_and_topics_round_trip(spark, tmp_path):
     assert [(r["pmid"], r["title"]) for r in readers.papers_csv(spark, str(tmp_path / "csv")).collect()] == [("2", 'a "q", b')]
     (tmp_path / "t.csv").write_text("pmid,primary_bucket,secondary_bucket,year\n1,a,b,2000\n")
     assert tuple(readers.topics(spark, str(tmp_path / "t.csv")).first()) == ("1", "a", "b", 2000)
+    (tmp_path / "list.json").write_text('[\n {"pmid": "1", "year": 2000},\n {"pmid": "2", "year": 2001}\n]')
+    (tmp_path / "lines.json").write_text('{"pmid": "1", "year": 2000}\n{"pmid": "2", "year": 2001}\n')
+    for name in ("list.json", "lines.json"):
+        assert sorted((r["pmid"], r["year"]) for r in readers.topics(spark, str(tmp_path / name)).collect()) == [("1", 2000), ("2", 2001)]
