@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, line_dedup, page_text, quality, secrets, sentence_pieces, shards, token_counts, url_filter
+from . import decontaminate, hard_negatives, jaccard_join, line_dedup, page_text, quality, secrets, sentence_pieces, shards, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_sentence_pieces": sentence_pieces.op10_sentence_pieces,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
 }
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE_SQL,
@@ -26,4 +27,5 @@ ORACLES: dict[str, str] = {
     "op4_decontaminate": decontaminate.ORACLE_SQL,
     "op5_jaccard_join": jaccard_join.ORACLE_SQL,
     "op9_url_filter": url_filter.ORACLE_SQL,
+    "op11_hard_negatives": hard_negatives.ORACLE_SQL,
 }
