@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, hard_negatives, jaccard_join, line_dedup, page_text, quality, secrets, sentence_pieces, shards, simhash, token_counts, url_filter
+from . import decontaminate, hard_negatives, jaccard_join, line_dedup, page_text, quality, secrets, sentence_pieces, shards, simhash, token_alignment, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sentence_pieces": sentence_pieces.op10_sentence_pieces,
     "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     "op12_simhash": simhash.op12_simhash,
+    "op13_token_alignment": token_alignment.op13_token_alignment,
 }
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE_SQL,
