@@ -330,11 +330,12 @@ def style_tree(pages: DataFrame) -> DataFrame:
     weight = F.col("pages") / (F.col("pages") + EVIDENCE)
     behind = all_hosts.select("branch", (1 - weight * (1 - F.col("rel"))).alias("behind"))
     tree = host.join(behind, "branch")
-    return stage(tree.select("root", "branch", (weight * F.col("rel") + (1 - weight) * F.col("behind")).alias("importance")), "importance")
+    mixed = F.when(F.col("whole") > 0, weight * F.col("rel") + (1 - weight) * F.col("behind")).otherwise(1.0)  # a host whose pages are all alike keeps them
+    return stage(tree.select("root", "branch", mixed.alias("importance")), "importance")
 
 
 def _importance(seen: DataFrame, by: list[str]) -> DataFrame:
-    """by, branch, pages, rel: the importance of each branch in relation to that of the whole page, 1 at most."""
+    """by, branch, pages, whole, rel: the importance of the whole page and, in relation to it, that of each branch, 1 at most."""
     total, spread = F.sum("n"), F.sum(F.col("n") * F.log("n"))
     kinds = seen.where("kind <> 2").groupBy(*by, "branch", "kind").agg(total.alias("n"), F.when(total > 1, 1 - spread / (total * F.log(total))).otherwise(1.0).alias("x"))
     of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
@@ -347,7 +348,7 @@ def _importance(seen: DataFrame, by: list[str]) -> DataFrame:
     page = whole.where(F.col("branch") == PAGE).select(*by, F.col("x").alias("whole"))
     page = whole.join(page, by) if by else whole.withColumn("whole", F.lit(page.agg(F.max("whole")).first()[0]).cast("double"))
     rel = F.when(F.col("whole") > 0, F.least(F.col("x") / F.col("whole"), F.lit(1.0))).otherwise(1.0)
-    return page.join(node.select(*by, "branch", "pages"), [*by, "branch"]).select(*by, "branch", "pages", rel.alias("rel"))
+    return page.join(node.select(*by, "branch", "pages"), [*by, "branch"]).select(*by, "branch", "pages", "whole", rel.alias("rel"))
 
 
 def page_text(pages: DataFrame, prior: bool = True, words: bool = True) -> DataFrame:

@@ -36,15 +36,16 @@ def test_importance_by_brute_force(spark):
     behind = relations([p for mine in hosts.values() for p in mine])
     want = {}
     for mine in hosts.values():
-        for b, (n, rel) in relations(mine).items():
-            m, all_rel = behind[b]
+        for b, (n, rel, _) in relations(mine).items():
+            m, all_rel, _ = behind[b]
             w, v = n / (n + page_text.EVIDENCE), m / (m + page_text.EVIDENCE)
-            want[mine[0].root, b] = w * rel + (1 - w) * (1 - v * (1 - all_rel))
+            alike = relations(mine)[page_text.PAGE][2] == 0
+            want[mine[0].root, b] = 1 if alike else w * rel + (1 - w) * (1 - v * (1 - all_rel))
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
 
 
 def relations(mine):
-    """Branch -> (pages, importance in relation to the page's) of the tree of some pages."""
+    """Branch -> (pages, importance in relation to the page's, the page's) of the tree of some pages."""
     shapes, texts, pages_of, chars, above = {}, {}, Counter(), Counter(), {}
     for p in mine:
         for b in set(p.branch):
@@ -72,7 +73,7 @@ def relations(mine):
         parts = [(page_text.DECAY ** above[b].index(a) * (sum(shapes[b].values()) + chars[b]), own(b)) for b in shapes if a in above[b]]
         mean[a] = sum(w * x for w, x in parts) / sum(w for w, _ in parts)
     whole = mean[page_text.PAGE]
-    return {b: (pages_of[b], min(1, x / whole) if whole > 0 else 1) for b, x in mean.items()}
+    return {b: (pages_of[b], min(1, x / whole) if whole > 0 else 1, whole) for b, x in mean.items()}
 
 
 STORY = "The first part of the story. The second one, which is longer. " * 4
