@@ -6,7 +6,8 @@ of a group. The last tokens of a group end together: they are linked. Links are
 
 Texts are cut into units where both tokenizers provably start anew: before a run of spaces and line feeds that follows a letter, digit or visible ASCII sign (see `Pair`). A unit's end
 is a shared cut, so the groups of a text are those of its units, and a unit that is met again is looked up. The bitsets are those of all new units of a batch, laid end
-to end. A model pair that the proof does not cover is applied to whole texts.
+to end: units whose last character is sure are also encoded end to end, and the ends of all units are checked among the token ends. A model pair that the proof does not
+cover is applied to whole texts.
 
 Defined cases. Null and empty texts, and texts whose tokens do not give back exactly the bytes of space + text in both (as those that hold the white-space marker itself), have no
 tokens: zeros and ''. Repeated rows are rows of their own and count twice; null ids stay. Very long texts are handled whole, long units without a cut too. An empty table gives
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -29,8 +31,8 @@ from .common import bounded_batches, drop, frugal, stage, table
 from .token_counts import MARK, Units, groups, loaded, model_path
 
 MODEL_A, MODEL_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Units kept by a worker, the longest that is kept, bytes of new units aligned at once, most id pairs that are broadcast (under 40 bytes each).
-KNOWN_UNITS, LONG_UNIT, AT_ONCE, MOST_PAIRS = 200_000, 64, 4 << 20, 500_000
+#: Units kept by a worker, the longest that is kept, units encoded end to end, characters of new units aligned at once, most id pairs that are broadcast (under 40 bytes each).
+KNOWN_UNITS, LONG_UNIT, IN_ROW, AT_ONCE, MOST_PAIRS = 400_000, 64, 4000, 1 << 19, 500_000
 #: An id pair as one long: a * 2**B_BITS + b.
 B_BITS = 31
 
@@ -66,6 +68,7 @@ class Pair:
     """Both tokenizers and the aligned units met so far."""
 
     def __init__(self, paths: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share out the work
         from tokenizers import Tokenizer
 
         a, b = json.loads(paths)
@@ -86,13 +89,20 @@ class Pair:
         self.cut = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
         self.doubtful = re.compile(r"[^!-~\w \n][ \n]")  # a character that may be white space to A, before a run
         self.sure = re.compile(r"[!-~\w]\Z")
+        self.len_a = np.zeros(max(self.bytes_a) + 1, np.int64)
+        self.len_a[list(self.bytes_a)] = [len(x) for x in self.bytes_a.values()]
+        self.len_b = np.array([len(x) for x in self.bytes_b], np.int64)
+        #: An id as it is written inside a side of a group and at its end.
+        self.inner_a, self.last_a = ([f"{i}{c}" for i in range(len(self.len_a))] for c in ",|")
+        self.inner_b, self.last_b = ([f"{i}{c}" for i in range(len(self.len_b))] for c in ",;")
         self.known: dict[str, int | None] = {}
         self.forget()
 
     def forget(self) -> None:
         self.known.clear()
-        #: By unit: its tokens (a, b), where its pairs start, its groups as text.
-        self.n_tokens, self.starts, self.pairs, self.texts = [], [0], [], []
+        #: By unit: its groups as text, its tokens (a, b), the number of its pairs, its pairs; the arrays of all batches so far.
+        self.texts: list[str] = []
+        self.n_tokens, self.n_pairs, self.pairs = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
     def units(self, text: str) -> list[str]:
         """Units of space + text."""
@@ -110,56 +120,70 @@ class Pair:
             return merged
         return parts
 
-    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        ids_a = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
-        ids_b = self.b.bare.encode(units, num_threads=1) if self.safe else self.b.whole.encode([u[1:] for u in units], num_threads=1)
-        return ids_a, ids_b
+    def encode(self, units: list[str], in_row: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all units, one after the other."""
+        given = ["".join(units[i : i + IN_ROW]) for i in range(0, len(units), IN_ROW)] if in_row else units
+        ids_a = [i for e in self.a.encode_batch_fast(given, add_special_tokens=False) for i in e.ids]
+        each_b = self.b.bare.encode(given, num_threads=1) if self.safe else self.b.whole.encode([u[1:] for u in given], num_threads=1)
+        return np.array(ids_a, np.int64), np.array([i for x in each_b for i in x], np.int64)
 
     def learn(self, units: list[str]) -> None:
         """Align new units."""
-        start = 0
-        while start < len(units):
-            end, size = start, 0
-            while end < len(units) and (end == start or size + len(units[end]) < AT_ONCE // 4):
-                size += len(units[end])
-                end += 1
-            self._align(units[start:end])
-            start = end
-
-    def _align(self, units: list[str]) -> None:
-        ids_a, ids_b = self.encode(units)
-        good = []
-        for u, x, y in zip(units, ids_a, ids_b, strict=True):
-            raw = u.encode()
-            if b"".join(map(self.bytes_a.__getitem__, x)) == raw == b"".join(map(self.bytes_b.__getitem__, y)):
-                good.append((u, x, y))
-            else:
-                self.known[u] = None
-        if not good:
+        ends = [bool(self.safe and self.sure.search(u)) for u in units]
+        for in_row in (True, False):
+            mine = [u for u, e in zip(units, ends, strict=True) if e == in_row]
+            start = 0
+            while start < len(mine):
+                end, size = start, 0
+                while end < len(mine) and (end == start or size + len(mine[end]) < AT_ONCE):
+                    size += len(mine[end])
+                    end += 1
+                self._align(mine[start:end], in_row)
+                start = end
+
+    def _align(self, units: list[str], in_row: bool) -> None:
+        flat_a, flat_b = self.encode(units, in_row)
+        raw = [u.encode() for u in units]
+        whole, unit_ends = b"".join(raw), np.cumsum([len(r) for r in raw])
+        ends_a, ends_b = np.cumsum(self.len_a[flat_a]) - 1, np.cumsum(self.len_b[flat_b]) - 1  # a token's last byte, on the axis of all units
+        size = len(whole)
+        alike = len(ends_a) and len(ends_b) and ends_a[-1] == ends_b[-1] == size - 1
+        alike = alike and b"".join(map(self.bytes_a.__getitem__, flat_a.tolist())) == whole == b"".join(map(self.bytes_b.__getitem__, flat_b.tolist()))
+        if alike:
+            bits_a, bits_b = pack(ends_a, size), pack(ends_b, size)
+            shared = bits_a & bits_b
+            at_end = unit_ends - 1
+            alike = bool((shared[at_end >> 6] >> (at_end & 63).astype(np.uint64) & np.uint64(1)).all())
+        if not alike:  # some text whose tokens do not give it back: find it
+            if len(units) == 1:
+                self.known[units[0]] = None
+                return
+            half = len(units) // 2
+            self._align(units[:half], in_row)
+            self._align(units[half:], in_row)
             return
-        flat_a, flat_b = (np.array([i for g in good for i in g[k]], np.int64) for k in (1, 2))
-        ends_a = np.cumsum([len(self.bytes_a[i]) for i in flat_a.tolist()]) - 1  # a token's last byte, on the axis of all units
-        ends_b = np.cumsum([len(self.bytes_b[i]) for i in flat_b.tolist()]) - 1
-        size = int(ends_a[-1]) + 1
-        bits_a, bits_b = pack(ends_a, size), pack(ends_b, size)
-        shared = bits_a & bits_b
         cuts = select(shared)
         upto_a, upto_b = rank(bits_a, cuts), rank(bits_b, cuts)
-        last_a, last_b = flat_a[upto_a - 1], flat_b[upto_b - 1]
-        pairs = (last_a << B_BITS) + last_b
-        unit_ends = np.cumsum([len(g[1]) for g in good])  # a unit's end is a cut: its rank among the cuts bounds its groups
-        of_unit = np.searchsorted(upto_a, unit_ends) + 1
-        text_a, text_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-        ua, ub = [0, *upto_a.tolist()], [0, *upto_b.tolist()]
-        made = [",".join(text_a[ua[k] : ua[k + 1]]) + "|" + ",".join(text_b[ub[k] : ub[k + 1]]) for k in range(len(cuts))]
-        at = 0
-        for (u, x, y), to in zip(good, of_unit.tolist(), strict=True):
-            self.known[u] = len(self.texts)
-            self.texts.append(";".join(made[at:to]))
-            self.n_tokens.append((len(x), len(y)))
-            self.pairs.append(pairs[at:to])
-            self.starts.append(self.starts[-1] + to - at)
-            at = to
+        of_unit = np.searchsorted(cuts, at_end) + 1  # a unit's end is a cut: its rank among the cuts bounds its groups
+        starts = np.concatenate([[0], of_unit[:-1]])
+        # a group is written as its tokens of A, then those of B: the order of all tokens by (group, side), which is stable
+        last_a, last_b = np.zeros(len(flat_a), bool), np.zeros(len(flat_b), bool)
+        last_a[upto_a - 1], last_b[upto_b - 1] = True, True
+        n_a, n_b = np.diff(upto_a, prepend=0), np.diff(upto_b, prepend=0)
+        written = np.empty(len(flat_a) + len(flat_b), object)
+        shift_a, shift_b = np.repeat(upto_b - n_b, n_a), np.repeat(upto_a, n_b)
+        words_a = [y[i] for i, y in zip(flat_a.tolist(), map((self.inner_a, self.last_a).__getitem__, last_a.tolist()), strict=True)]
+        words_b = [y[i] for i, y in zip(flat_b.tolist(), map((self.inner_b, self.last_b).__getitem__, last_b.tolist()), strict=True)]
+        written[np.arange(len(flat_a)) + shift_a] = words_a
+        written[np.arange(len(flat_b)) + shift_b] = words_b
+        written = written.tolist()
+        bounds = (upto_a + upto_b)[of_unit - 1]
+        first = len(self.texts)
+        self.texts += ["".join(written[x:y])[:-1] for x, y in zip([0, *bounds[:-1].tolist()], bounds.tolist(), strict=True)]
+        self.known.update(zip(units, range(first, len(self.texts)), strict=True))
+        self.n_tokens.append(np.diff(np.stack([upto_a, upto_b], 1)[of_unit - 1], axis=0, prepend=0))
+        self.n_pairs.append(of_unit - starts)
+        self.pairs.append((flat_a[upto_a - 1] << B_BITS) + flat_b[upto_b - 1])
 
     def align(self, texts: list[str]) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
         """For each text (n_a, n_b, n_links, sha256), and the distinct id pairs of all texts: offsets by text, pairs, times."""
@@ -169,9 +193,9 @@ class Pair:
             self.forget()
             fresh = set().union(*cut)
         self.learn(list(fresh))
-        counts, starts = np.array([*self.n_tokens, (0, 0)], np.int64), np.array(self.starts, np.int64)
-        flat = np.concatenate(self.pairs) if self.pairs else np.zeros(0, np.int64)
-        self.pairs = [flat]
+        counts, sizes_of, flat = (np.concatenate(x) for x in (self.n_tokens, self.n_pairs, self.pairs))
+        self.n_tokens, self.n_pairs, self.pairs = [counts], [sizes_of], [flat]
+        starts = np.cumsum(sizes_of) - sizes_of
         rows, offsets, all_pairs, all_times = [], [0], [], []
         for units in cut:
             at = [self.known[u] for u in units]
@@ -182,22 +206,20 @@ class Pair:
             unit = np.array(at, np.int64)
             n_a, n_b = counts[unit].sum(0).tolist()
             digest = hashlib.sha256(";".join(map(self.texts.__getitem__, at)).encode()).hexdigest()
-            which, often = np.unique(unit, return_counts=True)
-            sizes = starts[which + 1] - starts[which]
+            sizes = sizes_of[unit]
             total = int(sizes.sum())
             within = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            pairs, back = np.unique(flat[np.repeat(starts[which], sizes) + within], return_inverse=True)
-            times = np.bincount(back, weights=np.repeat(often, sizes)).astype(np.int64)
-            rows.append((n_a, n_b, int(times.sum()), digest))
-            offsets.append(offsets[-1] + len(pairs))
-            all_pairs.append(pairs)
-            all_times.append(times)
-        if any(len(u) > LONG_UNIT for u in fresh):
-            for u in fresh:  # their arrays stay until the next forget(), which counts units
-                if len(u) > LONG_UNIT:
-                    self.known.pop(u)
-            if sum(map(len, self.texts)) > 16 * AT_ONCE:
-                self.forget()
+            pairs = np.sort(flat[np.repeat(starts[unit], sizes) + within])
+            first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+            rows.append((n_a, n_b, total, digest))
+            offsets.append(offsets[-1] + len(first))
+            all_pairs.append(pairs[first])
+            all_times.append(np.diff(first, append=total))
+        long = [u for u in fresh if len(u) > LONG_UNIT]
+        for u in long:  # what they left in the arrays goes with the next forget()
+            self.known.pop(u)
+        if len(self.texts) > 2 * KNOWN_UNITS or sum(map(len, long)) > AT_ONCE:
+            self.forget()
         none = np.zeros(0, np.int64)
         return rows, np.array(offsets, np.int32), np.concatenate([none, *all_pairs]), np.concatenate([none, *all_times])
 

@@ -80,7 +80,7 @@ def test_odd_and_random_texts(spark):
     assert report(spark, texts) == brute(texts)
 
 
-@pytest.mark.parametrize("settings", [{}, {"KNOWN_UNITS": 50, "LONG_UNIT": 4, "AT_ONCE": 64}, {"MOST_PAIRS": 1}])
+@pytest.mark.parametrize("settings", [{}, {"KNOWN_UNITS": 50, "LONG_UNIT": 4, "AT_ONCE": 64, "IN_ROW": 3}, {"MOST_PAIRS": 1}])
 def test_documents(spark, monkeypatch, settings):
     for k, v in settings.items():
         monkeypatch.setattr(T, k, v)
