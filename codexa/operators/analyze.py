@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from codexa.functions import text as T
+from codexa.functions.markup import unescape
+from codexa.numbering import positions
 
 # Words that say nothing about a title.
 STOP = "with from that this into using based study analysis effect effects role roles and the for its via are was were between relationship".split()
@@ -91,7 +92,8 @@ def topic_years(topics: DataFrame) -> DataFrame:
 
 
 def pdf_matches(doi: Column, title: Column, body: Column, least: float = 0.45) -> Column:
-    """Reason why a PDF's text is, or is not, the paper."""
+    """Reason why a PDF's text is, or is not, the paper. Character references in either are decoded first."""
+    title, body = unescape(title), unescape(body)
     flat = lambda c: F.trim(F.regexp_replace(F.lower(T.text(c)), "[^a-z0-9]+", " "))
     squeezed = lambda c: F.regexp_replace(F.lower(T.text(c)), "\\s+", "")
     key = T.normalize_doi(doi)
@@ -141,8 +143,39 @@ EXPORT = ["pmid", "title", "authors_str", "role", "journal", "pub_date", "volume
 
 
 def numbered(papers: DataFrame, *order) -> DataFrame:
-    """Export projection: running number, the columns of EXPORT (empty where papers has none) and an abstract cut to 500 characters."""
+    """Export projection: running number from 1, the columns of EXPORT (empty where papers has none) and an abstract cut to 500 characters."""
     have = set(papers.columns)
     cells = [(T.text(F.col(c).cast("string")) if c in have else F.lit("")).alias(c) for c in EXPORT[:-1]]
     cut = F.left(T.text(F.col("abstract")), F.lit(500)) if "abstract" in have else F.lit("")
-    return papers.select(F.row_number().over(W.orderBy(*order)).alias("no"), *cells, cut.alias("abstract"))
+    return positions(papers, *order).select((F.col("pos") + 1).alias("no"), *cells, cut.alias("abstract"))
+
+
+def default_exclusions(pi_name: str, configured: list[str] = ()) -> list[str]:
+    """Names without a row of their own in a timeline: the investigator, the empty name and what the operator configured, trimmed, each once."""
+    return sorted({"", (pi_name or "").strip(), *(c.strip() for c in configured if c and c.strip())})
+
+
+def search(found: DataFrame, narrow: Column | None, order: list, most: int = 500) -> tuple[DataFrame, DataFrame]:
+    """Count first, then fetch: the rows of a search and one row (broad_matched, narrowed, matched, returned, truncated) on how they came about.
+
+    If more than `most` rows match and there is a narrowing condition, only the rows it holds for count. The count is a scalar subquery of the same plan, so data decides
+    the branch and nothing passes through the driver. Rows beyond `most` are not fetched (the cap is the feature), which `truncated` says.
+    """
+    wide = found.agg(F.count("*").alias("n")).scalar() > most if narrow is not None else F.lit(False)
+    kept = found.where(~wide | F.coalesce(narrow, F.lit(False))) if narrow is not None else found
+    hit = F.coalesce(narrow, F.lit(False)) if narrow is not None else F.lit(True)
+    told = found.agg(F.count("*").alias("broad_matched"), F.count_if(hit).alias("inside"))
+    told = told.withColumn("narrowed", F.lit(narrow is not None) & (F.col("broad_matched") > most)).withColumn("matched", F.when(F.col("narrowed"), F.col("inside")).otherwise(F.col("broad_matched")))
+    told = told.select("broad_matched", "narrowed", "matched", F.least("matched", F.lit(most)).alias("returned"), (F.col("matched") > most).alias("truncated"))
+    return kept.orderBy(*order).limit(most), told
+
+
+def by_year_text(papers: DataFrame) -> DataFrame:
+    """papers(pub_year, ord) numbered by the year as text, latest first, and their own order."""
+    return positions(papers, F.desc("pub_year"), F.col("ord"), name="place")
+
+
+def matrix_axes(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The columns and rows of the person x paper matrix: papers by date and id, people from A to Z, both numbered."""
+    papers = positions(entries.select("pmid", "pubdate").distinct(), "pubdate", "pmid", name="place")
+    return papers, positions(entries.select("name").distinct(), "name", name="place")

@@ -21,6 +21,11 @@ def lookup(keys: DataFrame, cache: DataFrame) -> DataFrame:
     return j.withColumn("status", F.when((F.col("status") == DONE) & ~F.col("hit"), "pending").otherwise(F.col("status")))
 
 
+def lookup_counts(found: DataFrame) -> DataFrame:
+    """One row: the hits and misses of a lookup."""
+    return found.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+
+
 def expired(now: Column | float, days: float = 90) -> Column:
     return (F.col("status") == FAILED) & (F.col("updated_at") < F.lit(now) - days * 86400)
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from codexa.functions import text as T
+from codexa.numbering import positions
 
 CORRECTION = "(?i)^\\s*(correction|corrigendum|erratum|author correction|publisher correction|retraction|retracted|comment on|reply to|response to|editorial)\\b"
 HYPER, LARGE = 50, 20
@@ -237,8 +238,8 @@ def display_names(apps: DataFrame, key: str) -> DataFrame:
 
 
 def person_ids(people_: DataFrame, key: str) -> DataFrame:
-    """person_id from 0 by (first_date, name, key), never by a count. People of one laboratory are few: one partition."""
-    return people_.withColumn("person_id", F.row_number().over(W.orderBy("first_date", "name", key)) - 1)
+    """person_id from 0 by (first_date, name, key), never by a count."""
+    return positions(people_, "first_date", "name", key, name="person_id")
 
 
 def lead_strata(apps: DataFrame, people_: DataFrame, key: str) -> DataFrame:

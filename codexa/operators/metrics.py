@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codexa.functions.text import percent
+from codexa.numbering import positions
 
 PCT_FLOOR, AGG_FLOOR, SUBSET_FLOOR = 20, 5, 10
 
@@ -152,6 +153,18 @@ def titles_by_year(papers: DataFrame) -> DataFrame:
     return papers.groupBy("year").agg(F.array_sort(F.collect_list(F.struct(F.col("pmid").cast("string").alias("pmid"), "title"))).alias("titles"))
 
 
+def titles_in_order(papers: DataFrame) -> DataFrame:
+    """papers(year, pmid, title) -> year, place, pmid, title: the titles of a year by pmid as text, place from 0. For years of any size: places come from one numbering of all rows."""
+    rows = positions(papers.select("year", F.col("pmid").cast("string").alias("pmid"), "title"), "year", "pmid", "title", name="place")
+    first = rows.groupBy(F.col("year").alias("of")).agg(F.min("place").alias("first"))
+    return rows.join(first, F.col("year").eqNullSafe(F.col("of"))).select("year", (F.col("place") - F.col("first")).alias("place"), "pmid", "title")
+
+
+def tallest_stack(points: DataFrame, value: str) -> DataFrame:
+    """One row: the most points that share a value, 0 without points."""
+    return points.groupBy(value).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("tallest"))
+
+
 def stack_positions(points: DataFrame, value: str, name: str) -> DataFrame:
     """Place of each point in the stack of its value, by name."""
     from pyspark.sql import Window as W

@@ -142,9 +142,10 @@ def title_candidates(refs: DataFrame, crossref: DataFrame, least: float = TITLE_
 
 
 def verify(refs: DataFrame, crossref: DataFrame, doi_pmid: DataFrame, pubmed: DataFrame) -> DataFrame:
-    """refs with crossref and pubmed structs, issues, errors and status; five equi-joins, no loop over references."""
+    """refs with derived_pmid, issues, errors, resolved and status, a row for each of refs, whether or not keys repeat; five equi-joins, no loop over references."""
+    refs = stage(refs.withColumn("_row", F.monotonically_increasing_id()), "references")  # rows are told apart by number, as BibTeX keys may repeat
     # a row without an identifier finds nothing: its join key is its own, behind a space that no trimmed identifier has, so that such rows spread over all tasks
-    own = F.concat(F.lit(" "), T.text(F.col("key")))
+    own = F.concat(F.lit(" "), F.col("_row").cast("string"))
     doi = T.normalize_doi(F.col("doi"))
     r = refs.withColumns({"_doi": doi, "_pmid": F.trim(T.text(F.col("pmid")))}).withColumn("_d", F.coalesce(F.nullif("_doi", F.lit("")), own))
     c = crossref.withColumn("_d", doi).where("_d <> ''").groupBy("_d").agg(F.min_by(F.struct(*crossref.columns), F.struct("doi", "title")).alias("cr"))
@@ -153,13 +154,13 @@ def verify(refs: DataFrame, crossref: DataFrame, doi_pmid: DataFrame, pubmed: Da
     j = r.join(c, "_d", "left").join(d, "_d", "left")
     failed = F.col("cr.lookup_error").isNotNull() & (F.col("cr.lookup_error") != "")
     look = r.join(c, "_d", "left").where(((F.col("_doi") == "") | failed) & (T.text(F.col("title")) != ""))
-    found = title_candidates(look.select("key", "title"), crossref.where("lookup_error is null or lookup_error = ''"))
+    found = title_candidates(look.select(F.col("_row").alias("key"), "title"), crossref.where("lookup_error is null or lookup_error = ''"))
     by = c.select(F.col("_d").alias("_found"), F.col("cr").alias("cr2"))
-    j = j.join(found.select("key", T.normalize_doi(F.col("found_doi")).alias("_found")), "key", "left").withColumn("_found", F.coalesce("_found", own)).join(by, "_found", "left")
+    j = j.join(found.select(F.col("key").alias("_row"), T.normalize_doi(F.col("found_doi")).alias("_found")), "_row", "left").withColumn("_found", F.coalesce("_found", own)).join(by, "_found", "left")
     j = j.withColumns({"_failed": failed, "derived": F.when((F.col("_doi") != "") & (T.text(F.col("dp.lookup_error")) == ""), T.text(F.col("dp.pmid"))).otherwise("")})
     j = j.withColumn("_key", F.coalesce(F.nullif("_pmid", F.lit("")), F.nullif("derived", F.lit("")), own)).join(p, "_key", "left")
     j = j.withColumns({"cr": F.when(~F.col("_failed") & F.col("cr").isNotNull(), F.col("cr")).otherwise(F.col("cr2")), "_pf": T.text(F.col("pm.lookup_error")) != ""})
-    j = j.withColumn("ref", F.struct(*refs.columns))
+    j = stage(j.withColumn("ref", F.struct(*refs.columns)), "resolved")  # the comparison is one deep expression; its input is cut off from the joins
     absent_doi = (F.col("_doi") != "") & F.col("cr").isNull() & ~F.col("_failed")
     absent_pmid = (F.col("_pmid") != "") & F.col("pm").isNull()
     errors = F.array_compact(F.array(
@@ -173,7 +174,8 @@ def verify(refs: DataFrame, crossref: DataFrame, doi_pmid: DataFrame, pubmed: Da
     issues = F.concat(missing, conflicts, compare_fields("ref", "cr", "crossref"), compare_fields("ref", "pm", "pubmed"))
     # behind a generator, so that what is built on the issues does not evaluate them again
     found = F.explode(F.array(F.struct(issues.alias("issues"), errors.alias("errors"), (good("cr") | good("pm")).alias("resolved")))).alias("x")
-    out = j.select(*refs.columns, F.col("derived").alias("derived_pmid"), found).select(*refs.columns, "derived_pmid", "x.*")
+    own_columns = [c for c in refs.columns if c != "_row"]
+    out = j.select(*own_columns, F.col("derived").alias("derived_pmid"), found).select(*own_columns, "derived_pmid", "x.*")
     return out.withColumn("status", decide_status(F.col("resolved"), F.col("issues"), F.col("errors")))
 
 

@@ -263,10 +263,10 @@ def title_duplicate_groups(spark, d):
 _MONTH = " ".join(f"when '{m}' then {n}" for m, n in T.MONTHS.items())
 
 
-@query(f"""with q as (select doc_id, regexp_extract(text, '(\\d{{4}})', 1) as y, lower(left(regexp_extract(text, '\\b([A-Za-z]{{3}})[A-Za-z]*\\b', 1), 3)) as m, regexp_extract_all(text, '\\b(\\d{{1,2}})\\b', 1) as ds from (select doc_id, regexp_replace(text, '[^\x00-\x7F]', '_', 'g') || ' 12 Mar' as text from documents))
+@query(f"""with q as (select doc_id, regexp_extract(text, '(\\d{{4}})', 1) as y, lower(left(regexp_extract(text, '\\b([A-Za-z]{{3}})[A-Za-z]*\\b', 1), 3)) as m, regexp_extract_all(text, '\\b(\\d{{1,2}})\\b', 1) as ds from (select doc_id, regexp_replace(text, '[^\x00-\x7F]', '_', 'g')  as text from documents))
 select doc_id, printf('%s-%02d-%02d', case when y = '' then '1900' else y end, case m {_MONTH} else 1 end, least(31, greatest(1, coalesce(ds[-1]::int, 1)))) as date_iso from q""")
 def date_iso(spark, d):
-    s = F.concat(F.regexp_replace("text", "[^\\x00-\\x7F]", "_"), F.lit(" 12 Mar"))
+    s = F.regexp_replace("text", "[^\\x00-\\x7F]", "_")
     return read(spark, d, "documents").select("doc_id", T.date_iso(s).alias("date_iso"))
 
 

@@ -99,16 +99,18 @@ def safe_names(spark, d):
     return read(spark, d, "documents").select("doc_id", T.safe_file_name(F.col("text")).alias("name"))
 
 
-_PDF = "'<meta name=\"citation_pdf_url\" content=\"/m' || (page_id % 3) || '.pdf\"><a type=\"application/pdf\" href=\"/t.pdf?x=' || page_id || '\">' || coalesce(html, '') || '<a href=\"/m0.pdf\">'"
+_PDF = "'<meta name=\"citation_pdf_url\" content=\"/m' || (page_id % 3) || '.pdf\"><link type=\"application/pdf\" href=\"/t.pdf?x=' || page_id || '\"> see https://x.org/' || page_id || '.pdf?v=2, ' || coalesce(html, '') || ' http://y.org/m0.pdf https://x.org/' || page_id || '.pdf?v=2, /none.pdf'"
 
 
 @query(f"""with q as (select page_id, {_PDF} as s from pages),
-l as (select page_id, list_concat(list_concat(regexp_extract_all(s, '(?is)<meta[^>]+name=["'']citation_pdf_url["''][^>]+content=["'']([^"'']+)["'']', 1), regexp_extract_all(s, '(?is)<(?:a|link)[^>]+type=["'']application/pdf["''][^>]+href=["'']([^"'']+)["'']', 1)),
- regexp_extract_all(s, '(?is)href=["'']([^"'']+\\.pdf(?:\\?[^"'']*)?)["'']', 1)) as l from q)
-select page_id, array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: list_position(l, l[i]) = i), lambda i: l[i]), ' ') as urls from l""")
+l as (select page_id, list_concat(list_concat(regexp_extract_all(s, 'citation_pdf_url["\\s]+content="([^"]+)"', 1), regexp_extract_all(s, 'application/pdf["\\s]+href="([^"]+)"', 1)),
+ regexp_extract_all(s, '(https?://[^\\s"''<>]+\\.pdf(?:\\?[^\\s"''<>]*)?)', 1)) as l from q)
+select page_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') as urls from l""")
 def pdf_links(spark, d):
-    head = F.concat(F.lit('<meta name="citation_pdf_url" content="/m'), F.col("page_id") % 3, F.lit('.pdf"><a type="application/pdf" href="/t.pdf?x='), F.col("page_id"), F.lit('">'))
-    return read(spark, d, "pages").select("page_id", F.array_join(T.pdf_urls(F.concat(head, T.text(F.col("html")), F.lit('<a href="/m0.pdf">'))), " ").alias("urls"))
+    k, c = F.col("page_id").cast("string"), F.concat
+    head = c(F.lit('<meta name="citation_pdf_url" content="/m'), F.col("page_id") % 3, F.lit('.pdf"><link type="application/pdf" href="/t.pdf?x='), k, F.lit('"> see https://x.org/'), k, F.lit(".pdf?v=2, "))
+    page = c(head, T.text(F.col("html")), F.lit(" http://y.org/m0.pdf https://x.org/"), k, F.lit(".pdf?v=2, /none.pdf"))
+    return read(spark, d, "pages").select("page_id", F.array_join(T.pdf_urls(page), " ").alias("urls"))
 
 
 def _byline(spark, d):

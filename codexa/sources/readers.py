@@ -2,41 +2,62 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexa.functions import text as T
+from codexa.numbering import positions
 
-from .bibtex import parse_bibtex
-from .schemas import AUTHOR_FIELDS, CACHE, PAPER, REFERENCE, REFERENCE_FIELDS, TOPIC
+from .articles import articles_xml, parse_articles  # noqa: F401  re-exported
+from .bibtex import bibtex  # noqa: F401
+from .schemas import AUTHOR_FIELDS, CACHE, PAPER, PAPER_FIELDS, REFERENCE_FIELDS, TOPIC
 
 
 def _filled(df: DataFrame) -> DataFrame:
     return df.na.fill("")
 
 
+_SEARCH = "mindate string, maxdate string, years_back int, retmax int, narrowed_by_affiliation boolean, esearch_term string, esearch_matched int, pmids_returned int, truncated boolean, fetched int, verified int"
+
+
+def _nested(ddl: str) -> str:
+    """Top-level fields as those of a struct."""
+    return re.sub(r"(^|, )(\w+) (?=\w)", r"\1\2: ", ddl)
+
+
+def _boxed(spark: SparkSession, path: str, more: str) -> DataFrame:
+    """Files of JSON as Spark's parser reads them, token by token: an object gives its papers and the fields in `more`; each object of a bare list is a paper of its own."""
+    schema = f"papers array<struct<{_nested(PAPER)}>>, {more}, {PAPER}"
+    return spark.read.schema(schema).option("multiLine", True).json(path).withColumn("place", F.monotonically_increasing_id())
+
+
 def papers_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(papers, provenance) of a bare list or an envelope {search, papers}; a bare list has no provenance."""
-    whole = spark.read.text(path, wholetext=True)
-    listed = F.from_json("value", f"array<struct<{PAPER}>>")
-    boxed = F.from_json(F.get_json_object("value", "$.papers"), f"array<struct<{PAPER}>>")
-    bare = F.startswith(F.ltrim("value"), F.lit("["))
-    papers = whole.select(F.posexplode(F.when(bare, listed).otherwise(boxed)).alias("ord", "p")).select("ord", "p.*")
-    search = "mindate string, maxdate string, years_back int, retmax int, narrowed_by_affiliation boolean, esearch_term string, esearch_matched int, pmids_returned int, truncated boolean, fetched int, verified int"
-    found = whole.where(~bare).select(F.from_json(F.get_json_object("value", "$.search"), search).alias("s")).select("s.*")
+    """(papers, provenance) of a bare list or an envelope {search, papers}; a bare list has no provenance. ord: the place in the file, from 0 and gapless within one file.
+
+    No file stands in memory as text. An object with neither papers nor search is a paper itself.
+    """
+    rows = _boxed(spark, path, f"search struct<{_nested(_SEARCH)}>")
+    envelope = F.col("papers").isNotNull() | F.col("search").isNotNull()
+    fields = [f.split()[0] for f in PAPER_FIELDS]
+    inside = rows.where(envelope).select("place", F.posexplode("papers").alias("at", "p")).select("place", "at", "p.*")
+    alone = rows.where(~envelope).select("place", F.lit(0).alias("at"), *fields)
+    both = inside.unionByName(alone)
+    papers = positions(both, "place", "at", name="ord").drop("place", "at").select(F.col("ord").cast("int").alias("ord"), *fields)
+    found = rows.where(F.col("search").isNotNull()).select("search.*")
     return _filled(papers), found.withColumn("rejected", F.col("fetched") - F.col("verified"))
 
 
 def corpus_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(papers, one-row metadata) of a profile corpus, which is one JSON object; anything else is refused."""
-    if spark.read.text(path, wholetext=True).where(~F.startswith(F.ltrim(F.regexp_replace("value", "\\s+", " ")), F.lit("{"))).limit(1).count():
-        raise ValueError("a corpus file holds one JSON object")
-    papers, _ = papers_json(spark, path)
+    """(papers, one-row metadata) of a profile corpus, which is one JSON object; a list is refused."""
     meta = "schema_version int, generated_at string, position_filtered boolean, fallback_fired boolean, query struct<term: string, mindate: string, maxdate: string, years_back: int, retmax: int, esearch_count: int, pmids_returned: int, truncated: boolean>, identity struct<author_name: string, orcid: string, affiliation_keywords: array<string>, email_domains: array<string>>, counts struct<fetched: int, verified: int, name_only: int, rejected: int, by_evidence: map<string,int>>"
-    return papers, spark.read.text(path, wholetext=True).select(F.from_json("value", meta).alias("m")).select("m.*")
+    rows = _boxed(spark, path, meta)
+    names = [c for c in rows.columns if c not in ("papers", "place", *PAPER_FIELDS)]
+    if not rows.where("papers is null").isEmpty():
+        raise ValueError("a corpus file holds one JSON object with papers")
+    papers, _ = papers_json(spark, path)
+    return papers, rows.select(*names)
 
 
 def bylines(papers: DataFrame) -> DataFrame:
@@ -44,78 +65,10 @@ def bylines(papers: DataFrame) -> DataFrame:
     return papers.select("pmid", F.posexplode("authors").alias("idx", "a")).select("pmid", "idx", *[F.col(f"a.{f}").alias(f) for f in AUTHOR_FIELDS])
 
 
-def _xp(path: str) -> Column:
-    return F.trim(F.regexp_replace(T.text(F.xpath_string(F.col("xml"), F.lit(path))), "\\s+", " "))
-
-
 def _first(*values: Column) -> Column:
     return F.coalesce(*[F.nullif(v, F.lit("")) for v in values], F.lit(""))
 
 
-def articles_xml(spark: SparkSession, path: str, tag: str = "PubmedArticle") -> DataFrame:
-    """Article XML -> raw xml, one row for each article; broken input stays visible as rows without an id."""
-    whole = spark.read.text(path, wholetext=True)
-    rest = F.regexp_extract(F.substring_index("value", f"</{tag}>", -1), f"(?s)<{tag}[ >].*", 0)  # an article that never ends
-    found = F.concat(F.regexp_extract_all("value", F.lit(f"(?s)(<{tag}[ >].*?</{tag}>)"), F.lit(1)), F.filter(F.array(rest), lambda x: x != ""))
-    return whole.select(F.posexplode(found).alias("ord", "xml"))
-
-
-def parse_articles(articles: DataFrame) -> DataFrame:
-    """articles(ord, xml) -> papers with authors; an article that never ends is a row of empty fields."""
-    root = F.regexp_extract("xml", "^<([A-Za-z]+)", 1)
-    articles = articles.withColumn("xml", F.when(F.endswith(F.rtrim("xml"), F.concat(F.lit("</"), root, F.lit(">"))), F.col("xml")).otherwise("<broken/>"))
-    art, lower = "//Article", "translate(@IdType,'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')"
-    by_id = lambda kind: _xp(f"//ArticleIdList/ArticleId[{lower}='{kind}'][1]")
-    year = _first(_xp(f"{art}/Journal/JournalIssue/PubDate/Year"), F.regexp_extract(_xp(f"{art}/Journal/JournalIssue/PubDate/MedlineDate"), "(\\d{4})", 1))
-    date = F.array_join(F.filter(F.array(year, _xp(f"{art}/Journal/JournalIssue/PubDate/Month"), _xp(f"{art}/Journal/JournalIssue/PubDate/Day")), lambda x: x != ""), " ")
-    inner = lambda x, tag: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(x, f"(?s)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}>", 1), "<[^>]+>", ""), "\\s+", " "))
-    plain = lambda x: F.replace(F.replace(F.replace(F.replace(x, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
-    segments = F.regexp_extract_all("xml", F.lit("(?s)(<AbstractText(?:\\s[^>]*)?>.*?</AbstractText>)"), F.lit(1))
-
-    def part(x: Column) -> Column:
-        label = _first(F.regexp_extract(x, "^<AbstractText[^>]*\\bLabel=\"([^\"]*)\"", 1), F.regexp_extract(x, "^<AbstractText[^>]*\\bNlmCategory=\"([^\"]*)\"", 1))
-        body = plain(inner(x, "AbstractText"))
-        return F.when(body == "", "").when(label == "", body).otherwise(F.concat(label, F.lit(": "), body))
-
-    def author(x: Column) -> Column:
-        get = lambda t: plain(inner(x, t))
-        last, fore, collective = get("LastName"), get("ForeName"), get("CollectiveName")
-        name = F.when((last != "") & (fore != ""), F.concat(last, F.lit(" "), fore)).otherwise(_first(last, fore, collective))
-        places = F.transform(F.regexp_extract_all(x, F.lit("(?s)<Affiliation>(.*?)</Affiliation>"), F.lit(1)), lambda a: F.trim(plain(F.regexp_replace(F.regexp_replace(a, "<[^>]+>", ""), "\\s+", " "))))
-        place = F.array_join(places, " ")
-        mail = F.regexp_replace(T.email_in(place), "\\.+$", "")
-        orcid = F.regexp_extract(F.regexp_extract(x, "(?s)<Identifier[^>]*Source=\"ORCID\"[^>]*>(.*?)</Identifier>", 1), "(\\d{4}-\\d{4}-\\d{4}-\\d{3}[\\dX])", 1)
-        corresponding = (mail != "") | F.contains(F.lower(place), F.lit("corresponding"))
-        return F.struct(name.alias("name"), last.alias("last"), fore.alias("fore"), get("Initials").alias("initials"), place.alias("affiliation"), mail.alias("email"), orcid.alias("orcid"), corresponding.alias("is_corresponding"), x.rlike("^<Author[^>]*EqualContrib=\"Y\"").alias("equal_contrib"))
-
-    people = F.transform(F.regexp_extract_all("xml", F.lit("(?s)(<Author(?:\\s[^>]*)?>.*?</Author>)"), F.lit(1)), author)
-    doi = _first(by_id("doi"), _xp(f"{art}/ELocationID[@EIdType='doi'][1]"))
-    out = articles.select(
-        "ord", _first(_xp("//MedlineCitation/PMID"), _xp("//PMID[1]")).alias("pmid"), _xp(f"{art}/ArticleTitle").alias("title"), people.alias("authors"),
-        _xp(f"{art}/Journal/Title").alias("journal"), date.alias("pub_date"), year.alias("pub_year"), _xp(f"{art}/Journal/JournalIssue/Volume").alias("volume"),
-        _xp(f"{art}/Journal/JournalIssue/Issue").alias("issue"), _xp(f"{art}/Pagination/MedlinePgn").alias("pages"), doi.alias("doi"), by_id("pmc").alias("pmc_id"),
-        F.array_join(F.filter(F.transform(segments, part), lambda x: x != ""), " ").alias("abstract"),
-    )
-    return out.withColumn("authors_str", F.array_join(F.filter(F.transform("authors", lambda a: a["name"]), lambda n: n != ""), ", "))
-
-
-def bibtex(spark: SparkSession, path: str) -> DataFrame:
-    """References of BibTeX files, in order. A file is parsed whole: entries nest and macros hold for the file."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, raw in zip(frame["path"], frame["content"], strict=True):
-                try:
-                    text = raw.decode("utf-8-sig")
-                except UnicodeDecodeError:
-                    text = raw.decode("latin-1")
-                rows = [{"path": name, "ord": i, **r} for i, r in enumerate(parse_bibtex(text))]
-                yield pd.DataFrame(rows, columns=["path", "ord", *REFERENCE_FIELDS])
-
-    return files.mapInPandas(run, f"path string, ord int, {REFERENCE}")
-
-
 def refs_json(spark: SparkSession, path: str) -> DataFrame:
     """A list, or an object with references or entries; unknown fields are dropped, values become text, the key defaults to ref{i}."""
     whole = spark.read.text(path, wholetext=True)
@@ -127,22 +80,49 @@ def refs_json(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("ord", *[(key if f == "key" else kind_ if f == "entry_type" else get(f)).alias(f) for f in REFERENCE_FIELDS])
 
 
-def crossref_json(df: DataFrame, c: str = "value") -> DataFrame:
-    """Works JSON -> canonical records."""
+def _record(df: DataFrame, c: str, schema: str, key: str | None) -> tuple[DataFrame, Column]:
+    """The parsed answers as m, and why one cannot be used: a malformed or missing answer fails the entry that asked for it, never the job."""
+    parsed = F.from_json(c, f"{schema}, _malformed string", {"columnNameOfCorruptRecord": "_malformed"})
+    m = df.select(parsed.alias("m"), F.col(c).isNull().alias("none"), (F.col(key) if key else F.lit(None)).cast("string").alias("asked"))
+    problem = F.when(F.col("none"), "no answer").when(F.col("m").isNull() | F.col("m._malformed").isNotNull(), "malformed answer")
+    return m, problem
+
+
+def crossref_json(df: DataFrame, c: str = "value", key: str | None = None) -> DataFrame:
+    """Works JSON -> canonical records with lookup_error (NULL: none). key: the column with the DOI that was asked for, which names records whose answer is missing or malformed."""
     schema = "DOI string, title array<string>, author array<struct<family: string, given: string, name: string>>, issued struct<`date-parts`: array<array<string>>>, `container-title` array<string>, volume string, issue string, page string, type string"
-    m = df.select(F.from_json(c, schema).alias("m"))
+    m, problem = _record(df, c, schema, key)
     names = F.filter(F.transform("m.author", lambda a: _first(T.text(a["family"]), T.text(a["name"]))), lambda n: n != "")
     head = lambda x: T.text(F.get(x, 0))
-    return m.select(T.text(F.col("m.DOI")).alias("doi"), head(F.col("m.title")).alias("title"), head(names).alias("first_author"), F.coalesce(names, F.array().cast("array<string>")).alias("all_authors"), T.text(F.get(F.get(F.col("m.issued.date-parts"), 0), 0)).alias("year"), head(F.col("m.container-title")).alias("journal"), T.text(F.col("m.volume")).alias("volume"), T.text(F.col("m.issue")).alias("issue"), T.text(F.col("m.page")).alias("pages"), T.text(F.col("m.type")).alias("type"), F.lit(None).cast("string").alias("lookup_error"))
+    made = {
+        "doi": _first(T.text(F.col("m.DOI")), T.text(F.col("asked"))), "title": head(F.col("m.title")), "first_author": head(names), "all_authors": F.coalesce(names, F.array().cast("array<string>")),
+        "year": T.text(F.get(F.get(F.col("m.issued.date-parts"), 0), 0)), "journal": head(F.col("m.container-title")), "volume": T.text(F.col("m.volume")), "issue": T.text(F.col("m.issue")),
+        "pages": T.text(F.col("m.page")), "type": T.text(F.col("m.type")), "lookup_error": problem,
+    }
+    return m.select(*[v.alias(k) for k, v in made.items()])
 
 
-def summary_json(df: DataFrame, c: str = "value") -> DataFrame:
-    """Summary JSON -> canonical records."""
+def summary_json(df: DataFrame, c: str = "value", key: str | None = None) -> DataFrame:
+    """Summary JSON -> canonical records with lookup_error (NULL: none). key: the column with the PMID that was asked for."""
     schema = "uid string, title string, authors array<struct<name: string>>, articleids array<struct<idtype: string, value: string>>, pubdate string, fulljournalname string, source string, volume string, issue string, pages string"
-    m = df.select(F.from_json(c, schema).alias("m"))
+    m, problem = _record(df, c, schema, key)
     names = F.filter(F.transform("m.authors", lambda a: T.text(a["name"])), lambda n: n != "")
     doi = F.get(F.filter("m.articleids", lambda a: a["idtype"] == "doi"), 0)["value"]
-    return m.select(T.text(F.col("m.uid")).alias("pmid"), T.text(doi).alias("doi"), T.text(F.col("m.title")).alias("title"), T.text(F.get(names, 0)).alias("first_author"), F.coalesce(names, F.array().cast("array<string>")).alias("all_authors"), F.substring_index(T.text(F.col("m.pubdate")), " ", 1).alias("year"), _first(T.text(F.col("m.fulljournalname")), T.text(F.col("m.source"))).alias("journal"), T.text(F.col("m.volume")).alias("volume"), T.text(F.col("m.issue")).alias("issue"), T.text(F.col("m.pages")).alias("pages"), F.lit(None).cast("string").alias("lookup_error"))
+    made = {
+        "pmid": _first(T.text(F.col("m.uid")), T.text(F.col("asked"))), "doi": T.text(doi), "title": T.text(F.col("m.title")), "first_author": T.text(F.get(names, 0)),
+        "all_authors": F.coalesce(names, F.array().cast("array<string>")), "year": F.substring_index(T.text(F.col("m.pubdate")), " ", 1),
+        "journal": _first(T.text(F.col("m.fulljournalname")), T.text(F.col("m.source"))), "volume": T.text(F.col("m.volume")), "issue": T.text(F.col("m.issue")), "pages": T.text(F.col("m.pages")), "lookup_error": problem,
+    }
+    return m.select(*[v.alias(k) for k, v in made.items()])
+
+
+def topic_records(spark: SparkSession, folder: str, name: str = "topic_extraction") -> DataFrame:
+    """Topic records of a folder: those in JSON if there is such a file, else those in CSV, else none. Spark's readers pass over names that begin with an underscore."""
+    for kind in ("json", "csv"):
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.{kind}")
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            return topics(spark, f"{folder}/{name}.{kind}")
+    return spark.createDataFrame([], TOPIC)
 
 
 def topics(spark: SparkSession, path: str) -> DataFrame:
