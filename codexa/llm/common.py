@@ -75,6 +75,16 @@ def split_words(text: Column) -> Column:
     return F.when(F.length(trimmed) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_RE, -1))
 
 
+def met(left: DataFrame, right: DataFrame, on: list[str], most: int, spread: list[str], how: str = "inner", salts: int = 32) -> DataFrame:
+    """left joined with right on equal columns: right is broadcast if it is counted to have `most` rows or fewer. Beyond that both sides are dealt by key and salt, the left side by the hash of its
+    columns `spread`, of which each salt gets a copy of right: a key that a third of the left rows share goes to `salts` tasks."""
+    if right.limit(most + 1).count() <= most:
+        return left.join(F.broadcast(right), on, how)
+    (salt,) = unused([*left.columns, *right.columns], "_salt")
+    copies = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn(salt, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).join(copies, [*on, salt], how).drop(salt)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (node, comp) with comp the least node of the component; staged.
 
