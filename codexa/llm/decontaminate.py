@@ -6,8 +6,9 @@ occurrence of a window has both its anchors on the same diagonal (position minus
 anchors are candidates; two anchors of one item on diagonals at most `slop` apart are a proximity match. 4. Along each candidate diagonal
 the words are compared one by one: exact phrase matches. Postings of the other terms would only repeat the texts, so these words are read from the texts.
 
-Terms are matched by lower() and confirmed by the exact rule (only A-Z are lower-cased). Hash or broadcast joins are used for a side
-only after its rows are counted; beyond the bound the planner shuffles.
+Terms are matched by lower() and confirmed by the exact rule (only A-Z are lower-cased). A side is broadcast
+only after its rows are counted; beyond the bound the joins on terms and items are salted, so that a common word is not one task. Rows that are equal in id and text leave one set of
+postings and matches: copies are collapsed where they are found, before the shuffle.
 
 Defined cases. Null or wordless texts and items: nothing found. An item shorter than a window is one window. Equal items are searched
 once and reported each. Repeated rows get equal results. Empty benchmark: nothing found. Further columns are left alone.
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import drop, stage, table, unused
+from .common import drop, met, stage, table, unused
 
 WINDOW, SLOP = 10, 5
 #: Rows up to which a table of terms or of candidate documents is broadcast.
@@ -57,8 +58,8 @@ def tokens(docs: DataFrame) -> DataFrame:
 def anchors_of(docs: DataFrame, items: DataFrame) -> DataFrame:
     """gid, off, key, len: the two rarest terms of every window of every item."""
     terms = items.select("gid", F.posexplode("iw").alias("off", "term")).withColumn("key", F.lower("term"))
-    vocab = _small(stage(terms.select("key").distinct(), "vocab"), MAX_TERMS)
-    counts = stage(tokens(docs).select("key").join(vocab, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n")), "counts")
+    vocab = stage(terms.select("key").distinct(), "vocab")
+    counts = stage(met(tokens(docs), vocab, ["key"], MAX_TERMS, ["th", "pos"], "left_semi").groupBy("key").agg(F.count("*").alias("n")), "counts")
     known = terms.join(counts, "key", "left").select("gid", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "key").alias("x"))
     by = known.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct(F.col("x.off").alias("o"), "x"))).alias("xs")).join(items.select("gid", "win"), "gid")
     by = by.withColumn("xs", F.expr("transform(xs, y -> y.x)"))
@@ -68,9 +69,9 @@ def anchors_of(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def hits_of(docs: DataFrame, anchors: DataFrame) -> DataFrame:
     """Postings of the anchors, offset-adjusted: doc_id, th, gid, off, diag, len, win."""
-    keys = _small(stage(anchors.select("key").distinct(), "anchors"), MAX_TERMS)
-    postings = stage(tokens(docs).join(keys, "key", "left_semi"), "postings")
-    return postings.join(_small(anchors, MAX_TERMS), "key").select("doc_id", "th", "gid", "off", (F.col("pos") - F.col("off")).alias("diag"), "len", "win")
+    keys = stage(anchors.select("key").distinct(), "anchors")
+    postings = stage(met(tokens(docs), keys, ["key"], MAX_TERMS, ["th", "pos"], "left_semi").distinct(), "postings")
+    return met(postings, anchors, ["key"], MAX_TERMS, ["th", "pos"]).select("doc_id", "th", "gid", "off", (F.col("pos") - F.col("off")).alias("diag"), "len", "win")
 
 
 def proximity(hits: DataFrame, slop: int = SLOP) -> DataFrame:
@@ -99,10 +100,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     d = d.select("doc_id", "th", "cs", words(F.col("text")).alias("w"))
     seg = F.expr("transform(cs, c -> struct(c.gid as gid, c.diag as diag, c.win as win, slice(w, greatest(c.diag, 0) + 1, c.len - greatest(-c.diag, 0)) as seg))")
     d = d.select("doc_id", "th", F.explode(seg).alias("c")).select("doc_id", "th", "c.*")
-    d = d.join(_small(items.select("gid", "iw", "ids"), MAX_DOCS), "gid")
+    d = met(d, items.select("gid", "iw", "ids"), ["gid"], MAX_DOCS, ["th", "diag"])
     d = d.withColumn("m", F.zip_with("seg", F.expr("slice(iw, greatest(-diag, 0) + 1, size(iw))"), lambda a, b: F.coalesce(F.translate(a, UPPER, LOWER) == b, F.lit(False))))
     d = d.withColumn("starts", F.expr("case when size(m) >= win then filter(sequence(0, size(m) - win), s -> forall(slice(m, s + 1, win), x -> x)) else cast(array() as array<int>) end"))
-    d = d.where("size(starts) > 0").select("doc_id", "th", "ids", F.expr("array_distinct(flatten(transform(starts, s -> sequence(greatest(diag, 0) + s, greatest(diag, 0) + s + win - 1))))").alias("at"))
+    d = d.where("size(starts) > 0").select("doc_id", "th", "ids", F.expr("array_distinct(flatten(transform(starts, s -> sequence(greatest(diag, 0) + s, greatest(diag, 0) + s + win - 1))))").alias("at")).distinct()
     exact = d.groupBy("doc_id", "th").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"),
