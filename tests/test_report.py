@@ -48,3 +48,32 @@ def test_caveats_need_their_fields():
     with pytest.raises(KeyError):
         R.caveat("names", n_strict=1)
     assert {c for found in R.SECTION_CAVEATS.values() for c in found} <= set(R.CAVEATS)
+
+
+def test_gathered_rows_are_those_of_each_frame(spark):
+    from pyspark.sql import functions as F
+
+    a = spark.createDataFrame([(3, None, 2.0), (1, "x", None), (1, "a", 1.5)], "n long, t string, d double")
+    b = a.groupBy("n").agg(F.collect_list("t").alias("ts"), F.count("*").alias("k"))
+    got = R.gather({"a": (a, ["n", "t"]), "b": (b, ["-k"]), "none": (a.limit(0), [])})
+    assert got["a"] == [{"n": 1, "t": "a", "d": 1.5}, {"n": 1, "t": "x", "d": None}, {"n": 3, "t": None, "d": 2.0}] and got["none"] == []
+    assert [(r["n"], sorted(r["ts"]), r["k"]) for r in got["b"]] == [(1, ["a", "x"], 2), (3, [], 1)]
+
+
+def test_sections_have_bodies(spark):
+    """A corpus above the floors: every section says its own."""
+    me = author("Chen Xiu", ME.orcid)
+    people = [author(f"P{i} Name{'abcdefghijkl'[i]}", email=f"p{i}@n.example.edu" if i % 2 else "") for i in range(12)]
+    rows = [paper(str(100 + k), 2010 + k % 9, *( [people[k % 7]] if k % 11 else [me]), people[(k * 5 + 1) % 12], author("Flag Ged", flag=True), me, title=f"Work {k % 30}") for k in range(40)]
+    out = R.build_report(corpus(spark, rows), R.Query(mindate="2010", maxdate="2018"), ME, exclude=["P11 Namel"])
+    text = R.render_markdown(out)
+    assert set(R.SECTIONS) == set(out["metrics"]) and all(f"## {title}" in text for title, _ in R.SECTIONS.values())
+    m = out["metrics"]
+    for line in (
+        f"{m['roster']['denominator']} people besides the investigator", "- leads: ", f"Median {R._cell(m['team_size']['median'])} over 40 records", "Years from the first record to the first one led.", "40 records carry the flag.",
+        "40 records.", "- J: 40 records", "- `Nanhai Uni`: 40", "**2010**", "- equal titles, not merged: ", "- names left out on request: P11 Namel", "These are counts; no rate is made of them.", "records with any address of electronic mail",
+    ):
+        assert line in text, line
+    assert len(R.NOT_REPORTED) == 17 and "P11 Namel" not in [r["name"] for r in m["roster"]["rows"]]
+    assert sum(r["n"] for r in m["lead_slot_partition"]["counts"]) == sum(r["stratum"] in "AB" for r in m["roster"]["rows"])
+    assert "{" not in text.split("## caveats")[0].replace("{'", "")
