@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from codexa.functions import text as T
 from codexa.numbering import positions
+from codexa.staging import stage
 
 CORRECTION = "(?i)^\\s*(correction|corrigendum|erratum|author correction|publisher correction|retraction|retracted|comment on|reply to|response to|editorial)\\b"
 HYPER, LARGE = 50, 20
@@ -242,6 +243,28 @@ def person_ids(people_: DataFrame, key: str) -> DataFrame:
     return positions(people_, "first_date", "name", key, name="person_id")
 
 
+def build_people(apps: DataFrame, start: Column, end: Column, keywords: list[str] = ()) -> DataFrame:
+    """apps(pmid, idx, name, last, fore, initials, orcid, affiliation, equal_contrib, date_iso, year, is_first, is_last[, evidence]) -> one row for each person with all that is known: group_id,
+    person_id, name, counts, years, censoring, stratum, flags, affiliation signal, records by date, those led, and the evidence its records were chosen by."""
+    grouped = stage(group_people(apps), "grouped")
+    more = grouped.groupBy("group_id").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("flags")))).alias("flags"), F.count_if("equal_contrib").alias("n_equal_contrib"), affiliation_signal(F.col("affiliation"), list(keywords)).alias("affiliation_signal"),
+        *([F.array_sort(F.collect_set("evidence")).alias("evidence")] if "evidence" in apps.columns else []),
+    )
+    out = people(grouped, "group_id", start, end).join(display_names(grouped, "group_id"), "group_id").join(more, "group_id").join(person_papers(grouped, "group_id"), "group_id")
+    return person_ids(out, "group_id")
+
+
+def kept_and_counted(judged: DataFrame) -> DataFrame:
+    """Kept records, then those that count in the records of a year only, which are the ones with too many authors: a union of both bags."""
+    return judged.where("reason is null").unionByName(judged.where("reason = 'hyperauthorship'"))
+
+
+def skipped(papers: DataFrame, matched: DataFrame) -> DataFrame:
+    """The papers whose id is not among the matched, rows of null or empty id included."""
+    return papers.join(matched.select("pmid").where("trim(pmid) <> ''").distinct(), "pmid", "left_anti")
+
+
 def lead_strata(apps: DataFrame, people_: DataFrame, key: str) -> DataFrame:
     """pmid, stratum of the person in its lead slot."""
     return apps.where("is_first").select("pmid", key).join(people_.select(key, "stratum"), key).select("pmid", "stratum")

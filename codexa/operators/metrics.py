@@ -186,6 +186,18 @@ def span_lanes(people: DataFrame) -> DataFrame:
     return stack_positions(ab.withColumn("cell", F.struct("lane", "span")), "cell", "name").drop("cell")
 
 
+def censor_text(left: Column, right: Column) -> Column:
+    """Which edges of the window a span touches, in words."""
+    sides = F.array_compact(F.array(F.when(left, "left"), F.when(right, "right")))
+    return F.when(F.size(sides) > 0, F.array_join(sides, ", ")).otherwise("none")
+
+
+def timeline_labels(people: DataFrame) -> DataFrame:
+    """place, name, first and last year, censoring in words, of the people of strata A and B, by first record and name."""
+    ab = people.where(F.col("stratum").isin("A", "B")).select("first_date", "name", "first_year", "last_year", censor_text(F.col("left_censored"), F.col("right_censored")).alias("censoring"))
+    return positions(ab, "first_date", "name", name="place").drop("first_date")
+
+
 def first_year_strip(people: DataFrame) -> DataFrame:
     """first_year, n of the people of stratum C, who have no row of their own in the timeline."""
     return people.where("stratum = 'C'").groupBy("first_year").agg(F.count("*").alias("n"))

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from codexa.functions import markup
 from codexa.functions.arrays import strict_zip
 from codexa.numbering import positions
-from codexa.operators import analyze, cache, metrics, verify
+from codexa.operators import analyze, cache, identity, metrics, verify
 from codexa.operators.state import StoredState
-from codexa.plans.catalogue import _A, _LOG, _S, _log, _refs, lines, orders, query, read
-from codexa.sources import readers
+from codexa.plans.catalogue import _A, _LOG, _S, _X, END, START, _log, _refs, lines, orders, query, read, records, roster
+from codexa.sources import readers, sinks
 from codexa.staging import shared_dir
 
 
@@ -161,14 +161,11 @@ def tallest_stack(spark, d):
 
 
 def _papers_file(spark, d, boxed: bool) -> str:
-    """One JSON file in folders of their own: a list, or an envelope with the papers of one segment."""
-    o = orders(spark, d).select(F.col("pmid").cast("string").alias("pmid"), F.col("journal").alias("title"), F.col("year").cast("string").alias("pub_year"))
-    record = F.to_json(F.struct("pmid", "title", "pub_year", F.array(F.struct(F.lit("Li Wei").alias("name"), F.lit(True).alias("is_corresponding"))).alias("authors")))
-    rows = positions(o.select(record.alias("value"), F.col("pmid").cast("long").alias("k")), "k")
-    last = rows.agg(F.max("pos").alias("last"))
-    head = F.lit('{"search": {"fetched": 9, "verified": 7}, "papers": [\n' if boxed else "[\n")
-    whole = F.concat(F.when(F.col("pos") == 0, head).otherwise(F.lit("")), "value", F.when(F.col("pos") == last.select("last").scalar(), "]}" if boxed else "]").otherwise(","))
-    return _written(rows.coalesce(1).sortWithinPartitions("pos").select(whole.alias("value")), "papers")
+    """One JSON document of all papers: a list, or an envelope."""
+    o = orders(spark, d).select(F.col("pmid").cast("string").alias("pmid"), F.col("journal").alias("title"), F.col("year").cast("string").alias("pub_year"), F.array(F.struct(F.lit("Li Wei").alias("name"), F.lit(True).alias("is_corresponding"))).alias("authors"))
+    path = _folder(spark, "papers")
+    sinks.json_list(o, path, F.col("pmid").cast("long"), search={"fetched": 9, "verified": 7} if boxed else None)
+    return path
 
 
 @query("select form, row_number() over (partition by form order by o_orderkey)::int - 1 as ord, o_orderkey::varchar as pmid, o_orderpriority as title, 'Li Wei' as author, case when form = 'envelope' then 2 else -1 end as rejected from orders, (values ('list'), ('envelope')) v(form)")
@@ -201,3 +198,37 @@ def cache_lookups(spark, d):
     """Looks for the users of the log, some of whom are not in the state; a path stands in for the file."""
     keys = read(spark, d, "events").select((F.col("user_id") + F.col("user_id") % 3 * 100000).alias("pmid")).distinct()
     return cache.lookup_counts(cache.lookup(keys, _replayed(spark, d).read().withColumnRenamed("source", "pdf_path")))
+
+
+@query(f"with {_X}, a as (select *, 0 as again from x union all select *, 1 from x where pmid % 13 = 0) select pmid::varchar as pmid, again, case when again = 1 and (reason is null or reason in ('duplicate_doi', 'hyperauthorship')) then 'duplicate_pmid' else reason end as reason from a where again = 1 or reason is not null")
+def exclusion_repeated_ids(spark, d):
+    """Every 13th record comes twice: the second is a repeated id unless it goes for an earlier reason."""
+    r = records(spark, d)
+    twice = r.withColumn("again", F.lit(0)).unionByName(r.where(F.col("pmid").cast("long") % 13 == 0).withColumns({"again": F.lit(1), "ord": F.col("ord") + 10_000_000}))
+    return identity.exclusions(twice, hyper=10).where("again = 1 or reason is not null").select("pmid", "again", "reason")
+
+
+@query(f"with {_X} select coalesce(reason, 'kept') as disposition, count(*) as n from x where reason is null or reason = 'hyperauthorship' group by 1")
+def kept_and_counted(spark, d):
+    return identity.kept_and_counted(identity.exclusions(records(spark, d), hyper=10)).groupBy(F.coalesce("reason", F.lit("kept")).alias("disposition")).agg(F.count("*").alias("n"))
+
+
+@query("select o_orderkey::varchar as pmid from orders where o_orderstatus <> 'F'")
+def skipped_papers(spark, d):
+    o = orders(spark, d).withColumn("pmid", F.col("pmid").cast("string"))
+    return identity.skipped(o, o.where("o_orderstatus = 'F'")).select("pmid")
+
+
+@query(f"with {_A} select row_number() over (order by d0, pid) - 1 as place, pid as name, y0 as first_year, y1 as last_year, case when y0 <= {START} and y1 >= {END - 1} then 'left, right' when y0 <= {START} then 'left' when y1 >= {END - 1} then 'right' else 'none' end as censoring from p where s in ('A', 'B')")
+def timeline_labels(spark, d):
+    return metrics.timeline_labels(roster(spark, d).withColumnRenamed("pid", "name"))
+
+
+@query(f"""with {_A}, e as (select o_orderkey from orders where o_orderkey % 3 <> 0), q as (select coalesce(s, 'unclassified') as s from e left join (select pmid, s from a join p using (pid) where f) on pmid = o_orderkey)
+select count(*) as denominator, count(*) filter (where s = 'A') as n_a, count(*) filter (where s = 'B') as n_b, count(*) filter (where s = 'C') as n_c, count(*) filter (where s = 'D') as n_d, count(*) filter (where s = 'unclassified') as n_unclassified from q""")
+def first_author_slots_eligible(spark, d):
+    """Only records that the investigator does not lead, which here are those of keys not divisible by three."""
+    from codexa.plans.catalogue import lead
+
+    eligible = orders(spark, d).select("pmid").where("pmid % 3 <> 0")
+    return metrics.first_author_slots(eligible, lead(spark, d)).select("denominator", "n_a", "n_b", "n_c", "n_d", "n_unclassified")

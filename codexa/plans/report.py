@@ -176,7 +176,7 @@ def build_report(papers: DataFrame, query: Query, who: I.Identity, exclude: list
     )
     people = stage(I.person_ids(people.join(extra, "group_id"), "group_id"), "people")
     lead = I.lead_strata(apps, people, "group_id")
-    both = judged.where("reason is null or reason = 'hyperauthorship'")
+    both = I.kept_and_counted(judged)
     lags, lag_summary = M.time_to_lead(people)
     venues, venue_counts = M.venue_repetition(kept)
     persons = own.where("not collective")

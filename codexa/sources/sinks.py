@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codexa.numbering import positions
+
 
 def papers_csv(papers: DataFrame, path: str) -> None:
-    flat = [c for c, t in papers.dtypes if not t.startswith(("array", "struct", "map"))]
-    papers.select(*flat).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """CSV with a header and a byte order mark, so that spreadsheets read it as UTF-8; nested columns become JSON text, none is left out."""
+    nested = {c for c, t in papers.dtypes if t.startswith(("array", "struct", "map"))}
+    cells = [F.to_json(c) if c in nested else F.col(c) for c in papers.columns]
+    names = [f"\ufeff{c}" if not i else c for i, c in enumerate(papers.columns)]
+    papers.select(*[x.alias(n) for x, n in zip(cells, names, strict=True)]).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def papers_json(papers: DataFrame, path: str) -> None:
@@ -16,6 +23,19 @@ def papers_json(papers: DataFrame, path: str) -> None:
     papers.write.mode("overwrite").json(path)
 
 
+def json_list(papers: DataFrame, path: str, *order, search: dict | None = None, generated_at: str = "") -> None:
+    """One JSON document in a folder of its own: a list of the papers in order, or with `search` an envelope {schema_version, generated_at, search, papers}.
+
+    The rows are numbered where they are; one task then writes them line by line as they come, so that no list of all papers is ever built.
+    """
+    head, tail = "[", "]"
+    if search is not None:
+        head, tail = json.dumps({"schema_version": 1, "generated_at": generated_at, "search": search}, ensure_ascii=False)[:-1] + ', "papers": [', "]}"
+    lines = positions(papers, *order, name="_place").select("_place", F.concat(F.when(F.col("_place") > 0, ",").otherwise(""), F.to_json(F.struct(*papers.columns))).alias("value"))
+    frame = papers.sparkSession.createDataFrame([(-1, head), (2**62, tail)], "_place long, value string")
+    lines.unionByName(frame).coalesce(1).sortWithinPartitions("_place").select("value").write.mode("overwrite").text(path)
+
+
 def envelope(papers: DataFrame, search: DataFrame, generated_at: str) -> DataFrame:
     """One row {schema_version, generated_at, search, papers}; for the papers of one author, which are few."""
     body = papers.agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct(*[c for c in papers.columns if c != "ord"]).alias("p")))), lambda x: x.p).alias("papers"))

@@ -248,3 +248,48 @@ def test_orders_and_small_rules(spark):
     page = '<meta name="citation_pdf_url" content="https://x.org/a.pdf"> <link type="application/pdf" href="/b"> see https://y.org/c.pdf?v=1 or "http://z.org/d.pdf" and /e.pdf'
     row = spark.createDataFrame([(page,), (None,)], "h string").select(T.pdf_urls(F.col("h")).alias("u")).collect()
     assert list(row[0].u) == ["https://x.org/a.pdf", "/b", "https://y.org/c.pdf?v=1", "http://z.org/d.pdf"] and list(row[1].u) == []
+
+
+def test_written_documents(spark, tmp_path):
+    import json
+
+    from codexa.sources import sinks
+
+    rows = [(str(i), f'T "{i}", é', [{"name": "Li", "equal_contrib": True}]) for i in range(25)]
+    papers = spark.createDataFrame(rows, "pmid string, title string, authors array<struct<name: string, equal_contrib: boolean>>").repartition(5)
+    text = lambda name: "".join(p.read_text() for p in sorted((tmp_path / name).glob("part-*")))
+    sinks.json_list(papers, str(tmp_path / "list"), F.col("pmid").cast("int"))
+    assert [p["pmid"] for p in json.loads(text("list"))] == [r[0] for r in rows] and json.loads(text("list"))[3]["authors"] == rows[3][2]
+    sinks.json_list(papers, str(tmp_path / "box"), F.col("pmid").cast("int"), search={"fetched": 30}, generated_at="now")
+    box = json.loads(text("box"))
+    assert (box["schema_version"], box["generated_at"], box["search"], len(box["papers"])) == (1, "now", {"fetched": 30}, 25)
+    sinks.json_list(papers.limit(0), str(tmp_path / "none"), "pmid")
+    assert json.loads(text("none")) == []
+    sinks.papers_csv(papers, str(tmp_path / "csv"))
+    assert all(p.read_bytes().startswith(b"\xef\xbb\xbfpmid,title,authors") for p in (tmp_path / "csv").glob("part-*"))
+    back = {r.pmid: r for r in readers.papers_csv(spark, str(tmp_path / "csv")).collect()}
+    assert len(back) == 25 and back["3"].title == 'T "3", é' and json.loads(back["3"].authors) == rows[3][2]
+
+
+def test_people_with_all_that_is_known(spark):
+    from codexa.operators import identity
+
+    schema = "pmid string, idx int, name string, last string, fore string, initials string, orcid string, affiliation string, equal_contrib boolean, date_iso string, year int, is_first boolean, is_last boolean, evidence string"
+    a = lambda pmid, idx, name, year, first, last, orcid="", aff="", eq=False: (pmid, idx, name, *name.split(" ", 1), name.split(" ", 1)[1][:1], orcid, aff, eq, f"{year}-06-01", year, first, last, "orcid")
+    rows = [a("1", 0, "Li Wei", 2010, True, False, aff="Nanhai"), a("2", 0, "Li Weiwei", 2012, True, False, eq=True), a("1", 1, "Bo A", 2010, False, True, "0000-1", "Else"), a("3", 1, "Bo A", 2015, False, False, "0000-1")]
+    got = {r.name: r for r in identity.build_people(spark.createDataFrame(rows, schema), F.lit(2010), F.lit(2018), ["Nanhai"]).collect()}
+    li, bo = got["Li Weiwei"], got["Bo A"]
+    assert (li.person_id, li.stratum, li.n_first_slots, list(li.flags), li.affiliation_signal, li.n_equal_contrib, list(li.pmids), list(li.first_slot_pmids), list(li.evidence)) == (1, "A", 2, ["drift_benign"], "internal", 1, ["1", "2"], ["1", "2"], ["orcid"])
+    assert (bo.person_id, bo.stratum, bo.affiliation_signal, bo.left_censored, bo.right_censored, list(bo.pmids)) == (0, "D", "external", True, False, ["1", "3"])
+    assert identity.build_people(spark.createDataFrame([], schema), F.lit(0), F.lit(1)).collect() == []
+
+
+def test_the_package_reaches_workers(spark):
+    import zipfile
+
+    from codexa.packaging import ship
+
+    path = ship(spark)
+    with zipfile.ZipFile(path.removeprefix("file:")) as z:
+        assert "codexa/operators/verify.py" in z.namelist()
+    assert any(p.endswith("codexa.zip") for p in spark.sparkContext._python_includes)
