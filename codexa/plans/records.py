@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexa.functions import markup
+from codexa.functions import text as T
 from codexa.functions.arrays import strict_zip
 from codexa.numbering import positions
 from codexa.operators import analyze, cache, identity, metrics, verify
@@ -232,3 +233,69 @@ def first_author_slots_eligible(spark, d):
 
     eligible = orders(spark, d).select("pmid").where("pmid % 3 <> 0")
     return metrics.first_author_slots(eligible, lead(spark, d)).select("denominator", "n_a", "n_b", "n_c", "n_d", "n_unclassified")
+
+
+@query("""with q as (select c_custkey, trim(replace(c_name, '#', ' ') || case when c_custkey % 3 = 0 then '' else ' ' || c_mktsegment end) as n, case when c_custkey % 5 = 0 then '0000-0002-1825-0097' else '' end as o, case when c_custkey % 2 = 0 then ['Nanhai', 'Uni ' || c_nationkey] else [] end as a from customer),
+p as (select *, split_part(n, ' ', 1) as h, substr(n, length(split_part(n, ' ', 1)) + 2) as r from q),
+t as (select c_custkey, o, a, '("' || h || ' ' || r || '"[Author] OR "' || h || ' ' || left(r, 1) || '*"[Author])' as names from p)
+select c_custkey, case when o <> '' then o || '[auid] OR ' else '' end || case when len(a) > 0 then '(' || names || ' AND ("' || a[1] || '"[Affiliation] OR "' || a[2] || '"[Affiliation]))' else names end as term from t""")
+def search_terms(spark, d):
+    c = read(spark, d, "customer")
+    name = F.concat(F.replace("c_name", F.lit("#"), F.lit(" ")), F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.concat(F.lit(" "), "c_mktsegment")))
+    places = F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("Nanhai"), F.concat(F.lit("Uni "), F.col("c_nationkey")))).otherwise(F.array().cast("array<string>"))
+    return c.select("c_custkey", T.search_term(name, F.when(F.col("c_custkey") % 5 == 0, "0000-0002-1825-0097").otherwise(""), places).alias("term"))
+
+
+@query("select doc_id::varchar as pmid, md5(text) as abstract, '[\"' || lang || '\",\"x\"]' as authors from documents where text is not null")
+def papers_csv(spark, d):
+    """Whole texts with line breaks, quotes and commas, and a list, through CSV and back."""
+    docs = read(spark, d, "documents").where("text is not null")
+    path = _folder(spark, "csv")
+    sinks.papers_csv(docs.select(F.col("doc_id").cast("string").alias("pmid"), F.col("text").alias("abstract"), F.array("lang", F.lit("x")).alias("authors")), path)
+    return readers.papers_csv(spark, path).select("pmid", F.md5("abstract").alias("abstract"), "authors")
+
+
+@query("select row_number() over (order by o_orderkey)::int - 1 as ord, case when o_orderkey % 2 = 0 then 'k' || o_orderkey else 'ref' || row_number() over (order by o_orderkey) end as key, o_orderpriority as title, year(o_orderdate)::varchar as year, '10.1/A' || o_orderkey as doi, case when o_orderkey % 4 = 1 then '' else o_orderkey::varchar end as pmid, 'article' as entry_type from orders")
+def refs_json(spark, d):
+    o = orders(spark, d)
+    k = F.col("pmid").cast("string")
+    number = F.when(F.col("pmid") % 4 == 0, F.concat(F.lit("PMID: "), k)).when(F.col("pmid") % 4 == 1, F.concat(F.lit("PMC"), k)).when(F.col("pmid") % 4 == 2, F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), k, F.lit("/"))).otherwise(k)
+    rows = o.select(F.when(F.col("pmid") % 2 == 0, F.concat(F.lit("k"), k)).alias("key"), F.col("journal").alias("title"), "year", F.concat(F.lit("https://doi.org/10.1/A"), k).alias("doi"), number.alias("pmid"), F.col("o_custkey").alias("odd"), F.col("pmid").alias("place"))
+    path = _folder(spark, "refs")
+    sinks.json_list(rows, path, "place")
+    return readers.refs_json(spark, path).select("ord", "key", "title", "year", "doi", "pmid", "entry_type")
+
+
+@query("select 1 as schema_version, '2026-07-22T20:47:11' as generated_at, count(*) as papers, 12 as rejected, 'Chen' as author_name, true as fallback_fired, 900 as matched from orders")
+def corpus_json(spark, d):
+    path = _folder(spark, "corpus")
+    papers = orders(spark, d).select(F.col("pmid").cast("string").alias("pmid"), F.col("journal").alias("title"))
+    meta = {"position_filtered": None, "fallback_fired": True, "query": {"esearch_count": 900}, "identity": {"author_name": "Chen", "affiliation_keywords": ["x"]}, "counts": {"fetched": 20, "verified": 8, "rejected": 12, "by_evidence": {"orcid": 8}}}
+    sinks.json_list(papers, path, F.col("pmid").cast("long"), search={}, generated_at="2026-07-22T20:47:11", more=meta)
+    found, about = readers.corpus_json(spark, path)
+    n = found.agg(F.count("*").alias("papers"))
+    return about.select("schema_version", "generated_at", n.scalar().alias("papers"), F.col("counts.rejected").alias("rejected"), F.col("identity.author_name").alias("author_name"), "fallback_fired", F.col("query.esearch_count").alias("matched"))
+
+
+_TITLE = "case doc_id % 5 when 2 then left(t, 60) when 3 then array_to_string(list_reverse(string_split(left(t, 80), ' ')), ' ') when 4 then 'Entirely unrelated wording xyzzy quux' else 'Nothing here fits' end"
+_FLAT = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(f"""with q as (select doc_id, translate(coalesce(text, ''), chr(8239), ' ') as t from documents), b as (select doc_id, t, {_TITLE} as title, case when doc_id % 5 = 0 then '' when doc_id % 5 = 1 then t || ' see 10.1/ A' || doc_id || '.' else t end as body, '10.1/a' || doc_id as doi from q),
+w as (select *, list_distinct(list_filter(string_split({_FLAT.format('title')}, ' '), lambda x: length(x) >= 4 and x not in ({', '.join(f"'{x}'" for x in analyze.STOP)}))) as ws, string_split({_FLAT.format('body')}, ' ') as bs from b)
+select doc_id, case when trim(body) = '' then 'no_text' when contains(lower(body), doi) or contains(regexp_replace(lower(body), '\\s+', '', 'g'), doi) then 'doi' when {_FLAT.format('title')} <> '' and contains({_FLAT.format('body')}, {_FLAT.format('title')}) then 'title'
+ when len(ws) > 0 and len(list_intersect(ws, bs)) / len(ws) >= 0.45 then 'tokens' else 'reject' end as reason from w""")
+def pdf_matches(spark, d):
+    """Texts as those of files: empty, with the DOI torn by a space, opening with the title, with the words of the title in another order, and unrelated."""
+    k, t = F.col("doc_id") % 5, F.translate(T.text(F.col("text")), "\u202f", " ")
+    title = F.when(k == 2, F.left(t, F.lit(60))).when(k == 3, F.array_join(F.reverse(F.split(F.left(t, F.lit(80)), " ")), " ")).when(k == 4, "Entirely unrelated wording xyzzy quux").otherwise("Nothing here fits")
+    body = F.when(k == 0, "").when(k == 1, F.concat(t, F.lit(" see 10.1/ A"), F.col("doc_id"), F.lit("."))).otherwise(t)
+    return read(spark, d, "documents").select("doc_id", analyze.pdf_matches(F.concat(F.lit("https://doi.org/10.1/a"), F.col("doc_id")), title, body).alias("reason"))
+
+
+@query("select o_orderkey::varchar as pmid, o_orderpriority as primary_bucket, o_orderstatus as secondary_bucket, year(o_orderdate)::int as year from orders")
+def topic_records(spark, d):
+    rows = orders(spark, d).select(F.col("pmid").cast("string").alias("pmid"), F.col("journal").alias("primary_bucket"), F.col("o_orderstatus").alias("secondary_bucket"), "year")
+    folder = _folder(spark, "topics")
+    sinks.json_list(rows, f"{folder}/topic_extraction.json", F.col("pmid").cast("long"))
+    return readers.topic_records(spark, folder)

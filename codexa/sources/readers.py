@@ -12,7 +12,7 @@ from codexa.numbering import positions
 
 from .articles import articles_xml, parse_articles  # noqa: F401  re-exported
 from .bibtex import bibtex  # noqa: F401
-from .schemas import AUTHOR_FIELDS, CACHE, PAPER, PAPER_FIELDS, REFERENCE_FIELDS, TOPIC
+from .schemas import AUTHOR_FIELDS, CACHE, PAPER, PAPER_FIELDS, REFERENCE, REFERENCE_FIELDS, TOPIC
 
 
 def _filled(df: DataFrame) -> DataFrame:
@@ -70,14 +70,18 @@ def _first(*values: Column) -> Column:
 
 
 def refs_json(spark: SparkSession, path: str) -> DataFrame:
-    """A list, or an object with references or entries; unknown fields are dropped, values become text, the key defaults to ref{i}."""
-    whole = spark.read.text(path, wholetext=True)
-    kind = "array<map<string,string>>"
-    listed = F.when(F.startswith(F.ltrim("value"), F.lit("[")), F.from_json("value", kind)).otherwise(F.from_json(F.coalesce(F.get_json_object("value", "$.references"), F.get_json_object("value", "$.entries")), kind))
-    rows = whole.select(F.posexplode(listed).alias("ord", "m"))
-    get = lambda f: T.text(F.try_element_at("m", F.lit(f)))
-    key, kind_ = _first(get("key"), F.concat(F.lit("ref"), (F.col("ord") + 1).cast("string"))), _first(get("entry_type"), F.lit("article"))
-    return rows.select("ord", *[(key if f == "key" else kind_ if f == "entry_type" else get(f)).alias(f) for f in REFERENCE_FIELDS])
+    """References of a list, or of an object with references or entries: unknown fields are dropped, values become text, identifiers lose labels and addresses, the key defaults to ref{i}."""
+    kind = "array<struct<" + _nested(REFERENCE) + ">>"
+    rows = spark.read.schema(f"references {kind}, entries {kind}, {REFERENCE}").option("multiLine", True).json(path).withColumn("place", F.monotonically_increasing_id())
+    boxed = F.coalesce("references", "entries")
+    inside = rows.where(boxed.isNotNull()).select("place", F.posexplode(boxed).alias("at", "r")).select("place", "at", "r.*")
+    alone = rows.where("references is null and entries is null").select("place", F.lit(0).alias("at"), *REFERENCE_FIELDS)
+    found = positions(inside.unionByName(alone), "place", "at", name="ord")
+    get = lambda f: T.text(F.col(f))
+    made = {f: get(f) for f in REFERENCE_FIELDS} | {
+        "key": _first(get("key"), F.concat(F.lit("ref"), (F.col("ord") + 1).cast("string"))), "entry_type": _first(get("entry_type"), F.lit("article")), "doi": T.clean_doi(F.col("doi")), "pmid": T.clean_pmid(F.col("pmid")),
+    }
+    return found.select(F.col("ord").cast("int").alias("ord"), *[v.alias(f) for f, v in made.items()])
 
 
 def _record(df: DataFrame, c: str, schema: str, key: str | None) -> tuple[DataFrame, Column]:
