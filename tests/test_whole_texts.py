@@ -71,7 +71,7 @@ def test_title_duplicates_on_whole_texts(spark, folder):
 
 def test_date_iso_on_whole_texts(spark, tmp_path):
     long = "Étude " + "über alles " * 40
-    rows = [(1, f"{long} 1987"), (2, f"June {long} in 2011 and 1999"), (3, long), (4, "2003 May"), (5, "")]
+    rows = [(1, f"{long} 1987"), (2, f"June {long} in 2011 and 1999"), (3, long), (4, "2003 May"), (5, ""), (6, f"12 Mar 2004 {long} 7 or 123"), (7, f"{long} 2005 Dec 88")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["date_iso"] for r in catalogue.date_iso(spark, str(tmp_path)).collect()}
-    assert got == {1: "1987-01-12", 2: "2011-06-12", 3: "1900-01-12", 4: "2003-05-12", 5: "1900-03-12"}
+    assert got == {1: "1987-01-01", 2: "2011-06-01", 3: "1900-01-01", 4: "2003-05-01", 5: "1900-01-01", 6: "2004-03-07", 7: "2005-01-31"}
