@@ -7,7 +7,7 @@ the best score at each end; of equal paths the one whose last piece starts first
 and scored position by position. A character that no piece covers alone costs the least score minus 10 and becomes byte pieces. Decoding joins pieces, turns bytes back into text and markers into
 spaces, and drops the marker put in front. Scores are added in double precision.
 
-Defined cases. Null text: no pieces, decoded as null. Empty text: no pieces. A literal marker character decodes as a space (so round_trip is false).
+Defined cases. Null and empty texts: no pieces, round_trip true (both decode to the empty text). A literal marker character decodes as a space (so round_trip is false).
 Very long texts and units: besides the text itself, six bytes for each byte of the unit at hand and a block of the walk. Repeated rows alike. Empty table: no
 rows. Further columns are kept; made columns whose names are taken get underscores.
 """
