@@ -262,7 +262,7 @@ def kept_and_counted(judged: DataFrame) -> DataFrame:
 
 def skipped(papers: DataFrame, matched: DataFrame) -> DataFrame:
     """The papers whose id is not among the matched, rows of null or empty id included."""
-    return papers.join(matched.select("pmid").where("trim(pmid) <> ''").distinct(), "pmid", "left_anti")
+    return papers.join(matched.select("pmid").where("trim(cast(pmid as string)) <> ''").distinct(), "pmid", "left_anti")
 
 
 def lead_strata(apps: DataFrame, people_: DataFrame, key: str) -> DataFrame:

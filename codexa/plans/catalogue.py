@@ -496,13 +496,13 @@ def json_props(spark, d):
 
 @query("select o_orderstatus as status, count(*) as n from (select o_orderkey, o_orderstatus from orders where o_orderstatus <> 'P' union all select o_orderkey, o_orderstatus from orders where o_orderstatus = 'P') group by 1")
 def seen_union(spark, d):
-    o = orders(spark, d).select("pmid", "o_orderstatus")
-    return o.where("o_orderstatus <> 'P'").unionByName(o.where("o_orderstatus = 'P'")).groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+    judged = orders(spark, d).select("pmid", "o_orderstatus", F.when(F.col("o_orderstatus") == "P", "hyperauthorship").alias("reason"))
+    return identity.kept_and_counted(judged).groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
 
 
 @query("select o_orderkey as pmid from orders where o_orderkey not in (select l_orderkey from lineitem)")
 def unmatched_papers(spark, d):
-    return orders(spark, d).select("pmid").join(read(spark, d, "lineitem").select(F.col("l_orderkey").alias("pmid")), "pmid", "left_anti")
+    return identity.skipped(orders(spark, d).select("pmid"), read(spark, d, "lineitem").select(F.col("l_orderkey").alias("pmid")))
 
 
 @query(f"with {_A} select y0 as first_year, pid, row_number() over (partition by y0 order by pid) - 1 as place from p where s = 'B'")

@@ -36,11 +36,5 @@ def json_list(papers: DataFrame, path: str, *order, search: dict | None = None,
     lines.unionByName(frame).coalesce(1).sortWithinPartitions("_place").select("value").write.mode("overwrite").text(path)
 
 
-def envelope(papers: DataFrame, search: DataFrame, generated_at: str) -> DataFrame:
-    """One row {schema_version, generated_at, search, papers}; for the papers of one author, which are few."""
-    body = papers.agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct(*[c for c in papers.columns if c != "ord"]).alias("p")))), lambda x: x.p).alias("papers"))
-    return body.crossJoin(F.broadcast(search.limit(1).select(F.struct("*").alias("search")))).select(F.lit(1).alias("schema_version"), F.lit(generated_at).alias("generated_at"), "search", "papers")
-
-
 def verify_json(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").json(path)

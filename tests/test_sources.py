@@ -106,7 +106,7 @@ def test_papers_and_topics_round_trip(spark, tmp_path):
     (tmp_path / "f.json").write_text('{"search": {"mindate": "2000", "fetched": 3, "verified": 1}, "papers": [{"pmid": "2", "title": "a \\"q\\", b"}]}')
     papers, search = readers.papers_json(spark, str(tmp_path / "f.json"))
     assert search.first()["rejected"] == 2
-    sinks.envelope(papers, search, "now").write.json(str(tmp_path / "out"))
+    sinks.json_list(papers, str(tmp_path / "out"), "ord", search=search.drop("rejected").first().asDict(), generated_at="now")
     assert [r["pmid"] for r in readers.papers_json(spark, str(tmp_path / "out"))[0].collect()] == ["2"]
     sinks.papers_csv(papers, str(tmp_path / "csv"))
     assert [(r["pmid"], r["title"]) for r in readers.papers_csv(spark, str(tmp_path / "csv")).collect()] == [("2", 'a "q", b')]
