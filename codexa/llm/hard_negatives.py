@@ -56,6 +56,13 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """AT_ONCE rows at most: what is computed for a row is as long as there are lists."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, AT_ONCE):
+            yield batch.slice(a, AT_ONCE)
+
+
 def fit(sample: np.ndarray, lists: int, rounds: int = FIT_ROUNDS) -> np.ndarray:
     """Centroids by Lloyd's rounds; starts are spread evenly over the sample, lists that lose all members keep their place."""
     x = sample.astype(np.float64)
@@ -91,7 +98,7 @@ class Index:
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c = held.value
-            for batch in batches:
+            for batch in _slices(batches):
                 x = _matrix(batch.column(2), width).astype(np.float64)
                 near = np.argmin((c * c).sum(1)[None, :] - 2 * x @ c.T, axis=1)
                 gap = np.sqrt(((x - c[near]) ** 2).sum(1))
@@ -137,9 +144,7 @@ def search(index: Index, queries: DataFrame, k: int, same: bool) -> DataFrame:
     def plan(start: int, stop: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c, radius, by_label = told.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for batch in _slices(batches):
                 q = _matrix(batch.column(2), width).astype(np.float64)
                 labels = batch.column(1).to_pylist()
                 r = np.tile(radius, (len(q), 1))
