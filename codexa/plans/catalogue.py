@@ -361,22 +361,25 @@ def first_last_paragraph(spark, d):
     return read(spark, d, "documents").select("doc_id", T.first_paragraph(s).alias("first"), T.last_paragraph(s).alias("last"))
 
 
-def _refs(spark, d):
+def _refs(spark, d, spelt: bool = False):
+    """References and lookups. Names are compared by their letters, which all of "Author1", "Author2", ... share; spelt: numbers in letters, so that each customer is an author of its own."""
     o = orders(spark, d)
     k, s = F.col("pmid"), F.col("pmid").cast("string")
+    number = F.col("o_custkey").cast("string")
+    author = F.concat(F.lit("Author"), F.translate(number, "0123456789", "bcdfghjklm") if spelt else number)
     ref = o.select(
-        s.alias("key"), F.col("journal").alias("title"), F.concat(F.lit("Author"), F.col("o_custkey").cast("string")).alias("first_author"), F.col("year").cast("string").alias("year"), F.col("journal").alias("journal"),
+        s.alias("key"), F.col("journal").alias("title"), author.alias("first_author"), F.col("year").cast("string").alias("year"), F.col("journal").alias("journal"),
         (F.col("o_custkey") % 50).cast("string").alias("volume"), F.lit("").alias("issue"), F.lit("").alias("pages"), F.concat(F.lit("10.1/"), s).alias("doi"), F.when(k % 3 == 0, s).otherwise("").alias("pmid"), F.lit("article").alias("entry_type"),
     )
     some = lambda n, c: F.when(k % n == 0, None).otherwise(c)
-    none, people = F.lit(None).cast("string"), F.array(F.concat(F.lit("Author"), F.col("o_custkey").cast("string")))
+    none, people = F.lit(None).cast("string"), F.array(author)
     cross = o.where(k % 11 != 0).select(
-        F.concat(F.lit("10.1/"), s).alias("doi"), F.col("journal").alias("title"), F.concat(F.lit("Author"), F.col("o_custkey").cast("string")).alias("first_author"), people.alias("all_authors"), (F.col("year") + F.when(k % 7 == 0, 1).otherwise(0)).cast("string").alias("year"),
+        F.concat(F.lit("10.1/"), s).alias("doi"), F.col("journal").alias("title"), author.alias("first_author"), people.alias("all_authors"), (F.col("year") + F.when(k % 7 == 0, 1).otherwise(0)).cast("string").alias("year"),
         F.col("journal").alias("journal"), (F.col("o_custkey") % 50).cast("string").alias("volume"), F.lit("").alias("issue"), F.lit("").alias("pages"), F.lit("article").alias("type"), F.when(k % 13 == 0, "timeout").alias("lookup_error"),
     )
     link = o.where(k % 5 != 0).select(F.concat(F.lit("10.1/"), s).alias("doi"), F.when(k % 17 == 0, (k + 1).cast("string")).otherwise(s).alias("pmid"), none.alias("lookup_error"))
     pub = o.where(k % 19 != 0).select(
-        s.alias("pmid"), F.concat(F.lit("10.1/"), F.when(k % 23 == 0, F.lit("x")).otherwise(s)).alias("doi"), F.col("journal").alias("title"), F.concat(F.lit("Author"), F.col("o_custkey").cast("string")).alias("first_author"), people.alias("all_authors"),
+        s.alias("pmid"), F.concat(F.lit("10.1/"), F.when(k % 23 == 0, F.lit("x")).otherwise(s)).alias("doi"), F.col("journal").alias("title"), author.alias("first_author"), people.alias("all_authors"),
         F.col("year").cast("string").alias("year"), F.col("journal").alias("journal"), ((F.col("o_custkey") + F.when(k % 29 == 0, 1).otherwise(0)) % 50).cast("string").alias("volume"), F.lit("").alias("issue"), F.lit("").alias("pages"), none.alias("lookup_error"),
     )
     return ref, cross, link, pub
@@ -399,7 +402,7 @@ def crosscheck_conflicts(spark, d):
 
 @query(f"with {_V} select k::varchar as key, 'verified' as kind from f where not no_cr and not failed and k % 7 <> 0 and conf_fwd + conf_back + miss_pmid = 0 and (want is null or not found or (xy = y and xj = j and xc = c and xv = c % 50))")
 def verified_entries(spark, d):
-    v = verify.verify(*_refs(spark, d))
+    v = verify.verify(*_refs(spark, d, spelt=True))
     return v.where("status = 'verified'").select("key", F.col("status").alias("kind"))
 
 
