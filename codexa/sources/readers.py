@@ -12,6 +12,7 @@ from codexa.numbering import positions
 
 from .articles import articles_xml, parse_articles  # noqa: F401  re-exported
 from .bibtex import bibtex  # noqa: F401
+from .documents import in_lines, is_list
 from .schemas import AUTHOR_FIELDS, CACHE, PAPER, PAPER_FIELDS, REFERENCE, REFERENCE_FIELDS, TOPIC
 
 
@@ -36,8 +37,14 @@ def _boxed(spark: SparkSession, path: str, more: str) -> DataFrame:
 def papers_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(papers, provenance) of a bare list or an envelope {search, papers}; a bare list has no provenance. ord: the place in the file, from 0 and gapless within one file.
 
-    No file stands in memory as text. An object with neither papers nor search is a paper itself.
+    No file stands in memory as text. An object with neither papers nor search is a paper itself. A document of whole records on its lines, which may stand in several files of a folder, is read by
+    as many tasks as it has blocks; other layouts by one task for each file.
     """
+    lined = in_lines(spark, path, PAPER, ("papers",), f"search struct<{_nested(_SEARCH)}>")
+    if lined:
+        papers, about = lined
+        about = spark.createDataFrame([], f"search struct<{_nested(_SEARCH)}>") if about is None else about
+        return _filled(papers.withColumn("ord", F.col("ord").cast("int"))), _provenance(about)
     rows = _boxed(spark, path, f"search struct<{_nested(_SEARCH)}>")
     envelope = F.col("papers").isNotNull() | F.col("search").isNotNull()
     fields = [f.split()[0] for f in PAPER_FIELDS]
@@ -45,13 +52,22 @@ def papers_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     alone = rows.where(~envelope).select("place", F.lit(0).alias("at"), *fields)
     both = inside.unionByName(alone)
     papers = positions(both, "place", "at", name="ord").drop("place", "at").select(F.col("ord").cast("int").alias("ord"), *fields)
-    found = rows.where(F.col("search").isNotNull()).select("search.*")
-    return _filled(papers), found.withColumn("rejected", F.col("fetched") - F.col("verified"))
+    return _filled(papers), _provenance(rows)
+
+
+def _provenance(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("search").isNotNull()).select("search.*").withColumn("rejected", F.col("fetched") - F.col("verified"))
 
 
 def corpus_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(papers, one-row metadata) of a profile corpus, which is one JSON object; a list is refused."""
     meta = "schema_version int, generated_at string, position_filtered boolean, fallback_fired boolean, query struct<term: string, mindate: string, maxdate: string, years_back: int, retmax: int, esearch_count: int, pmids_returned: int, truncated: boolean>, identity struct<author_name: string, orcid: string, affiliation_keywords: array<string>, email_domains: array<string>>, counts struct<fetched: int, verified: int, name_only: int, rejected: int, by_evidence: map<string,int>>"
+    lined = in_lines(spark, path, PAPER, ("papers",), meta)
+    if lined:
+        papers, about = lined
+        if about is None:
+            raise ValueError("a corpus file holds one JSON object with papers")
+        return _filled(papers.withColumn("ord", F.col("ord").cast("int"))), about
     rows = _boxed(spark, path, meta)
     names = [c for c in rows.columns if c not in ("papers", "place", *PAPER_FIELDS)]
     if not rows.where("papers is null").isEmpty():
@@ -71,12 +87,17 @@ def _first(*values: Column) -> Column:
 
 def refs_json(spark: SparkSession, path: str) -> DataFrame:
     """References of a list, or of an object with references or entries: unknown fields are dropped, values become text, identifiers lose labels and addresses, the key defaults to ref{i}."""
+    if lined := in_lines(spark, path, REFERENCE, ("references", "entries")):
+        return _reference(lined[0])
     kind = "array<struct<" + _nested(REFERENCE) + ">>"
     rows = spark.read.schema(f"references {kind}, entries {kind}, {REFERENCE}").option("multiLine", True).json(path).withColumn("place", F.monotonically_increasing_id())
     boxed = F.coalesce("references", "entries")
     inside = rows.where(boxed.isNotNull()).select("place", F.posexplode(boxed).alias("at", "r")).select("place", "at", "r.*")
     alone = rows.where("references is null and entries is null").select("place", F.lit(0).alias("at"), *REFERENCE_FIELDS)
-    found = positions(inside.unionByName(alone), "place", "at", name="ord")
+    return _reference(positions(inside.unionByName(alone), "place", "at", name="ord"))
+
+
+def _reference(found: DataFrame) -> DataFrame:
     get = lambda f: T.text(F.col(f))
     made = {f: get(f) for f in REFERENCE_FIELDS} | {
         "key": _first(get("key"), F.concat(F.lit("ref"), (F.col("ord") + 1).cast("string"))), "entry_type": _first(get("entry_type"), F.lit("article")), "doi": T.clean_doi(F.col("doi")), "pmid": T.clean_pmid(F.col("pmid")),
@@ -133,8 +154,9 @@ def topics(spark: SparkSession, path: str) -> DataFrame:
     """Topic records of JSON (a list in any layout, or lines) or CSV."""
     if not path.endswith("json"):
         return spark.read.schema(TOPIC).option("header", True).csv(path)
-    listed = spark.read.text(path, wholetext=True).select(F.rlike("value", F.lit("^\\s*\\[")).alias("l")).agg(F.bool_or("l")).first()[0]
-    return spark.read.schema(TOPIC).option("multiLine", bool(listed)).json(path)
+    if lined := in_lines(spark, path, TOPIC, ordered=False):
+        return lined[0]
+    return spark.read.schema(TOPIC).option("multiLine", is_list(spark, path)).json(path)
 
 
 def papers_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -26,14 +26,14 @@ def papers_json(papers: DataFrame, path: str) -> None:
 def json_list(papers: DataFrame, path: str, *order, search: dict | None = None, generated_at: str = "", more: dict | None = None) -> None:
     """One JSON document in a folder of its own: a list of the papers in order, or with `search` an envelope {schema_version, generated_at, search, papers}, `more` being further fields of it.
 
-    The rows are numbered where they are; one task then writes them line by line as they come, so that no list of all papers is ever built.
+    The document stands in part files, one record on a line; their contents in the order of their names are the document. Each is written by a task of its own.
     """
     head, tail = "[", "]"
     if search is not None:
         head, tail = json.dumps({"schema_version": 1, "generated_at": generated_at, "search": search, **(more or {})}, ensure_ascii=False)[:-1] + ', "papers": [', "]}"
     lines = positions(papers, *order, name="_place").select("_place", F.concat(F.when(F.col("_place") > 0, ",").otherwise(""), F.to_json(F.struct(*papers.columns))).alias("value"))
     frame = papers.sparkSession.createDataFrame([(-1, head), (2**62, tail)], "_place long, value string")
-    lines.unionByName(frame).coalesce(1).sortWithinPartitions("_place").select("value").write.mode("overwrite").text(path)
+    lines.unionByName(frame).repartitionByRange("_place").sortWithinPartitions("_place").select("value").write.mode("overwrite").text(path)
 
 
 def verify_json(results: DataFrame, path: str) -> None:
