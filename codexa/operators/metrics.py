@@ -166,10 +166,10 @@ def tallest_stack(points: DataFrame, value: str) -> DataFrame:
 
 
 def stack_positions(points: DataFrame, value: str, name: str) -> DataFrame:
-    """Place of each point in the stack of its value, by name."""
-    from pyspark.sql import Window as W
-
-    return points.withColumn("place", F.row_number().over(W.partitionBy(value).orderBy(name)) - 1)
+    """Place of each point in the stack of its value, by name. For stacks of any size: places come from one numbering of all points."""
+    rows = positions(points, value, name, name="place")
+    first = rows.groupBy(F.col(value).alias("of")).agg(F.min("place").alias("first"))
+    return rows.join(first, F.col(value).eqNullSafe(F.col("of"))).withColumn("place", (F.col("place") - F.col("first")).cast("int")).drop("of", "first")
 
 
 def lag_rows(people: DataFrame, end: Column, lag: int = 3) -> DataFrame:

@@ -39,10 +39,19 @@ def orders(spark, d):
     return read(spark, d, "orders").select(F.col("o_orderkey").alias("pmid"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date_iso"), F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("journal"), "o_custkey", "o_totalprice", "o_orderstatus")
 
 
+#: Line items that one task sorts, joins and aggregates at most, but for skew.
+TASK_ROWS = 500_000
+
+
+def tasks(spark, d) -> int:
+    """Partitions for the line items: their number grows with the table, so that the memory of one task does not."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-read(spark, d, "lineitem").count() // TASK_ROWS))
+
+
 def lines(spark, d, *more):
     w = W.partitionBy("l_orderkey")
     pos = F.row_number().over(w.orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1
-    li = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *more)
+    li = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *more).repartition(tasks(spark, d), "l_orderkey")
     return li.select(F.col("l_orderkey").alias("pmid"), pos.alias("idx"), F.count("*").over(w).cast("int").alias("n_persons"), "l_suppkey", "l_partkey", *more)
 
 
@@ -52,7 +61,7 @@ def apps(spark, d):
 
 
 def roster(spark, d):
-    return identity.people(apps(spark, d), "pid", F.lit(START), F.lit(END))
+    return identity.people(apps(spark, d).repartition(tasks(spark, d), "pid"), "pid", F.lit(START), F.lit(END))
 
 
 def lead(spark, d):
