@@ -11,12 +11,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from codexa.functions import text as T
 from codexa.staging import stage
 
 TITLE_THRESHOLD = 0.55
 COMMON = 200_000
+FEW = 100_000  # DOIs whose records are broadcast
 STATUSES = ["verified", "mismatch", "partial", "not_found", "error"]
 ISSUE = "struct<field:string,supplied:string,canonical:string,source:string,severity:string>"
 FIELDS = ["doi", "pmid", "title", "first_author", "all_authors", "year", "journal", "volume", "issue", "pages", "lookup_error"]
@@ -30,6 +32,12 @@ def _issues(*found: Column) -> Column:
     return F.array_compact(F.array(*found))
 
 
+def _some(*found: Column) -> Column:
+    """Those that are not null, of cheap columns: most rows have none, for which no list is built and filtered."""
+    listed = _issues(*found)
+    return F.when(F.coalesce(*found).isNotNull(), listed).otherwise(F.filter(listed, lambda x: F.lit(False)))
+
+
 def first_author_differs(cited: Column, first: Column, everyone: Column) -> Column:
     """No reading of the cited name fits the first author or any individual author. A person is not compared with an organisation alone."""
     single = F.filter(F.coalesce(everyone, F.array().cast("array<string>")), lambda a: (T.text(a) != "") & ~T.is_collective(a))
@@ -57,14 +65,16 @@ def compare_fields(ref: str, meta: str, source: str) -> Column:
         issue(titles & (T.title_similarity(r("title"), m("title")) < TITLE_THRESHOLD), "title", r("title"), m("title"), source),
     )
     usable = F.col(meta).isNotNull() & (T.text(F.col(f"{meta}.lookup_error")) == "")
-    return F.when(usable, found).otherwise(F.array().cast(f"array<{ISSUE}>"))
+    # compiled code passes by records that give no field to compare; the list above is interpreted
+    some = both("first_author") | both("year") | both("journal") | both("volume") | both("issue") | both("pages") | titles
+    return F.when(usable & some, found).otherwise(F.array().cast(f"array<{ISSUE}>"))
 
 
 def cross_check(doi: Column, pmid: Column, derived_pmid: Column, pubmed_doi: Column) -> Column:
     """Up to two conflicts: the DOI leads to another PMID; the PMID's record has another DOI."""
     doi, pmid, derived, theirs = T.text(doi), T.text(pmid), T.text(derived_pmid), T.text(pubmed_doi)
     back, own = T.normalize_doi(theirs), T.normalize_doi(doi)
-    return _issues(
+    return _some(
         issue((doi != "") & (pmid != "") & (derived != "") & (derived != F.trim(pmid)), "pmid", pmid, derived, "cross-id", "conflict"),
         issue((pmid != "") & (own != "") & (back != "") & (back != own), "doi", doi, theirs, "cross-id", "conflict"),
     )
@@ -111,7 +121,7 @@ def title_candidates(refs: DataFrame, crossref: DataFrame, least: float = TITLE_
         return stage(df.select(name, tokens.alias("ts")).where("size(ts) > 0").select(name, F.xxhash64("ts").alias("node"), "ts"), "titles")
 
     refs = hashed(refs, "key")
-    canon = refs.withColumnRenamed("key", "doi") if same else hashed(crossref, "doi")
+    canon = refs.withColumnRenamed("key", "doi") if same else hashed(crossref.groupBy("title").agg(F.min("doi").alias("doi")), "doi")  # a title is taken apart once
     named = canon.groupBy("node").agg(F.min("doi").alias("doi"))
     if same:
         rest = canon.select("node", F.col("doi").alias("d")).join(named, "node").where("d <> doi").groupBy("node").agg(F.min("d").alias("next"))
@@ -141,41 +151,90 @@ def title_candidates(refs: DataFrame, crossref: DataFrame, least: float = TITLE_
     return exact.where("found_doi is not null").select("key", "found_doi", F.lit(1.0).alias("similarity")).union(found)
 
 
+def _least(df: DataFrame, key: str, *order: Column | str) -> DataFrame:
+    """The first row of each key in the order given. Rows are dealt and sorted once, and lie as a join by the key needs them."""
+    before = F.lag(F.lit(1)).over(W.partitionBy(key).orderBy(*order))
+    return df.withColumn("_before", before).where("_before is null").drop("_before")
+
+
+def _records(df: DataFrame, key: str, *order: Column | str, name: str) -> DataFrame:
+    """key and the first record of each key as a struct `name`."""
+    columns = [c for c in df.columns if c != key]
+    return _least(df, key, *order).select(key, F.struct(*columns).alias(name))
+
+
+def _once(df: DataFrame, keep: list[Column | str], found: dict[str, Column]) -> DataFrame:
+    """df with the columns kept and those found, the latter behind a generator, so that what is built on them does not evaluate them again. They are made in a projection before it, which is
+    compiled, where a generator's own argument would be interpreted."""
+    made = df.select(*keep, F.struct(*[c.alias(k) for k, c in found.items()]).alias("_made"))
+    return made.select(*[c for c in made.columns if c != "_made"], F.inline(F.array("_made")))
+
+
+def _by_doi(doi_pmid: DataFrame) -> DataFrame:
+    links = doi_pmid.select(T.normalize_doi(F.col("doi")).alias("_d"), "pmid", "lookup_error").where("_d <> ''")
+    return _records(links, "_d", F.asc_nulls_last("pmid"), name="dp")
+
+
+def _by_pmid(pubmed: DataFrame) -> DataFrame:
+    return _records(pubmed.withColumn("_key", F.trim("pmid")).where("_key <> ''"), "_key", "pmid", "title", name="pm")
+
+
+def _good(c: str) -> Column:
+    return F.col(c).isNotNull() & (T.text(F.col(f"{c}.lookup_error")) == "")
+
+
+def _derived() -> Column:
+    return F.when((F.col("_doi") != "") & (T.text(F.col("dp.lookup_error")) == ""), T.text(F.col("dp.pmid"))).otherwise("")
+
+
+def _conflicts() -> Column:
+    return cross_check(F.col("doi"), F.col("pmid"), F.col("derived"), F.when(_good("pm"), F.col("pm.doi")))
+
+
+def _keyed(refs: DataFrame) -> DataFrame:
+    """refs with _doi, _pmid and the join key _d. A row without an identifier finds nothing: its key is its own, behind a space that no trimmed identifier has, so that such rows spread over all tasks."""
+    own = F.concat(F.lit(" "), F.xxhash64("key", "title", "first_author", "year").cast("string"))
+    return refs.withColumns({"_doi": T.normalize_doi(F.col("doi")), "_pmid": F.trim(T.text(F.col("pmid")))}).withColumn("_d", F.coalesce(F.nullif("_doi", F.lit("")), own))
+
+
+def _pubmed_key() -> Column:
+    return F.coalesce(F.nullif("_pmid", F.lit("")), F.nullif("derived", F.lit("")), F.concat(F.lit(" "), F.col("_d")))
+
+
+def conflicts(refs: DataFrame, doi_pmid: DataFrame, pubmed: DataFrame) -> DataFrame:
+    """refs with the conflicts that verify() finds between their identifiers, as issues. Canonical texts play no part in it, so two equi-joins do."""
+    j = _keyed(refs).join(_by_doi(doi_pmid), "_d", "left").withColumn("derived", _derived())
+    j = j.withColumn("_key", _pubmed_key()).join(_by_pmid(pubmed.select("pmid", "doi", "title", "lookup_error")), "_key", "left")
+    return _once(j, refs.columns, {"issues": _conflicts()})
+
+
 def verify(refs: DataFrame, crossref: DataFrame, doi_pmid: DataFrame, pubmed: DataFrame) -> DataFrame:
-    """refs with derived_pmid, issues, errors, resolved and status, a row for each of refs, whether or not keys repeat; five equi-joins, no loop over references."""
-    refs = stage(refs.withColumn("_row", F.monotonically_increasing_id()), "references")  # rows are told apart by number, as BibTeX keys may repeat
-    # a row without an identifier finds nothing: its join key is its own, behind a space that no trimmed identifier has, so that such rows spread over all tasks
-    own = F.concat(F.lit(" "), F.col("_row").cast("string"))
-    doi = T.normalize_doi(F.col("doi"))
-    r = refs.withColumns({"_doi": doi, "_pmid": F.trim(T.text(F.col("pmid")))}).withColumn("_d", F.coalesce(F.nullif("_doi", F.lit("")), own))
-    c = crossref.withColumn("_d", doi).where("_d <> ''").groupBy("_d").agg(F.min_by(F.struct(*crossref.columns), F.struct("doi", "title")).alias("cr"))
-    d = doi_pmid.withColumn("_d", doi).where("_d <> ''").groupBy("_d").agg(F.min_by(F.struct("pmid", "lookup_error"), F.col("pmid")).alias("dp"))
-    p = pubmed.withColumn("_key", F.trim("pmid")).where("_key <> ''").groupBy("_key").agg(F.min_by(F.struct(*pubmed.columns), F.struct("pmid", "title")).alias("pm"))
-    j = r.join(c, "_d", "left").join(d, "_d", "left")
-    failed = F.col("cr.lookup_error").isNotNull() & (F.col("cr.lookup_error") != "")
-    look = r.join(c, "_d", "left").where(((F.col("_doi") == "") | failed) & (T.text(F.col("title")) != ""))
+    """refs with derived_pmid, issues, errors, resolved and status, a row for each of refs, whether or not keys repeat; equi-joins, no loop over references. The references with their records are
+    staged once, those whose title is to be sought apart from the others, which go through no further join but that by PMID."""
+    crossref = stage(crossref, "crossref")  # read three times, and what it is read from may be dear
+    canon = crossref.withColumn("_d", T.normalize_doi(F.col("doi"))).where("_d <> ''")
+    failed = T.text(F.col("cr.lookup_error")) != ""
+    j = _keyed(refs).join(_records(canon, "_d", "doi", "title", name="cr"), "_d", "left").join(_by_doi(doi_pmid), "_d", "left")
+    j = j.withColumns({"_failed": failed, "_look": ((F.col("_doi") == "") | failed) & (T.text(F.col("title")) != ""), "derived": _derived(), "_link_failed": T.text(F.col("dp.lookup_error")) != ""})
+    # rows are told apart by number, as BibTeX keys may repeat
+    j = stage(j.drop("dp").withColumn("_row", F.monotonically_increasing_id()), "references", by="_look")
+    look = j.where("_look")
     found = title_candidates(look.select(F.col("_row").alias("key"), "title"), crossref.where("lookup_error is null or lookup_error = ''"))
-    by = c.select(F.col("_d").alias("_found"), F.col("cr").alias("cr2"))
-    j = j.join(found.select(F.col("key").alias("_row"), T.normalize_doi(F.col("found_doi")).alias("_found")), "_row", "left").withColumn("_found", F.coalesce("_found", own)).join(by, "_found", "left")
-    j = j.withColumns({"_failed": failed, "derived": F.when((F.col("_doi") != "") & (T.text(F.col("dp.lookup_error")) == ""), T.text(F.col("dp.pmid"))).otherwise("")})
-    j = j.withColumn("_key", F.coalesce(F.nullif("_pmid", F.lit("")), F.nullif("derived", F.lit("")), own)).join(p, "_key", "left")
-    j = j.withColumns({"cr": F.when(~F.col("_failed") & F.col("cr").isNotNull(), F.col("cr")).otherwise(F.col("cr2")), "_pf": T.text(F.col("pm.lookup_error")) != ""})
-    j = stage(j.withColumn("ref", F.struct(*refs.columns)), "resolved")  # the comparison is one deep expression; its input is cut off from the joins
+    found = stage(found.select(F.col("key").alias("_row"), T.normalize_doi(F.col("found_doi")).alias("_d")), "found")
+    wanted = stage(found.select("_d").distinct(), "wanted")
+    few = wanted.limit(FEW + 1).count() <= FEW
+    records = _records(canon.join(F.broadcast(wanted) if few else wanted, "_d", "left_semi"), "_d", "doi", "title", name="cr")
+    matched = found.join(F.broadcast(records) if few else records, "_d").drop("_d")
+    rest = j.where("not _look").withColumn("cr", F.when(~F.col("_failed"), F.col("cr")))
+    j = rest.unionByName(look.drop("cr").join(matched, "_row", "left"))
+    j = j.withColumn("_key", _pubmed_key()).join(_by_pmid(pubmed), "_key", "left").withColumn("ref", F.struct(*refs.columns))
     absent_doi = (F.col("_doi") != "") & F.col("cr").isNull() & ~F.col("_failed")
     absent_pmid = (F.col("_pmid") != "") & F.col("pm").isNull()
-    errors = F.array_compact(F.array(
-        F.when(F.col("_failed"), "crossref lookup failed"), F.when(absent_doi, "DOI is not registered"),
-        F.when(T.text(F.col("dp.lookup_error")) != "", "DOI to PMID lookup failed"), F.when(F.col("_pf"), "PubMed lookup failed"),
-    ))
+    errors = _some(F.when(F.col("_failed"), "crossref lookup failed"), F.when(absent_doi, "DOI is not registered"), F.when(F.col("_link_failed"), "DOI to PMID lookup failed"), F.when(T.text(F.col("pm.lookup_error")) != "", "PubMed lookup failed"))
     nothing = F.lit(None).cast("string")
-    missing = _issues(issue(absent_doi, "doi", F.col("doi"), nothing, "crossref", "missing"), issue(absent_pmid, "pmid", F.col("pmid"), nothing, "pubmed", "missing"))
-    good = lambda c: F.col(c).isNotNull() & (T.text(F.col(f"{c}.lookup_error")) == "")
-    conflicts = cross_check(F.col("doi"), F.col("pmid"), F.col("derived"), F.when(good("pm"), F.col("pm.doi")))
-    issues = F.concat(missing, conflicts, compare_fields("ref", "cr", "crossref"), compare_fields("ref", "pm", "pubmed"))
-    # behind a generator, so that what is built on the issues does not evaluate them again
-    found = F.explode(F.array(F.struct(issues.alias("issues"), errors.alias("errors"), (good("cr") | good("pm")).alias("resolved")))).alias("x")
-    own_columns = [c for c in refs.columns if c != "_row"]
-    out = j.select(*own_columns, F.col("derived").alias("derived_pmid"), found).select(*own_columns, "derived_pmid", "x.*")
+    missing = _some(issue(absent_doi, "doi", F.col("doi"), nothing, "crossref", "missing"), issue(absent_pmid, "pmid", F.col("pmid"), nothing, "pubmed", "missing"))
+    issues = F.concat(missing, _conflicts(), compare_fields("ref", "cr", "crossref"), compare_fields("ref", "pm", "pubmed"))
+    out = _once(j, [*refs.columns, F.col("derived").alias("derived_pmid")], {"issues": issues, "errors": errors, "resolved": _good("cr") | _good("pm")})
     return out.withColumn("status", decide_status(F.col("resolved"), F.col("issues"), F.col("errors")))
 
 

@@ -404,7 +404,8 @@ f as (select *, failed and exists (select 1 from o z where z.k % 11 <> 0 and z.k
 
 @query(f"with {_V} select k::varchar as key, conf_fwd::bigint as forward, conf_back::bigint as reverse from f where conf_fwd + conf_back > 0")
 def crosscheck_conflicts(spark, d):
-    v = verify.verify(*_refs(spark, d))
+    ref, _, link, pub = _refs(spark, d)
+    v = verify.conflicts(ref, link, pub)
     n = lambda f: F.size(F.filter("issues", lambda i: (i.severity == "conflict") & (i.field == f))).cast("long")
     return v.select("key", n("pmid").alias("forward"), n("doi").alias("reverse")).where("forward + reverse > 0")
 

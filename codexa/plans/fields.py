@@ -229,7 +229,7 @@ _HARD = "n_conf + n_miss > 0"
 union all select 'partial', count(*) filter (where status = 'partial') from e union all select 'unresolved', count(*) filter (where status in ('not_found', 'error') and n_issues = 0) from e""")
 def verify_sections(spark, d):
     """Rows of each section of the verification report."""
-    v = verify.stage(verify.verify(*_refs(spark, d)), "verified")
+    v = verify.stage(verify.verify(*_refs(spark, d)).select("key", "issues", "errors", "status"), "verified")
     parts = [df.agg(F.lit(name).alias("section"), F.count("*").alias("n")) for name, df in verify.sections(v).items()]
     out = parts[0]
     for p in parts[1:]:

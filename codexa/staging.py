@@ -18,13 +18,14 @@ def shared_dir(spark: SparkSession) -> str:
     return "/tmp/checkpoints/codexa"
 
 
-def stage(df: DataFrame, what: str = "stage") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors, has a known size. The table goes when the session's JVM ends, or by drop()."""
+def stage(df: DataFrame, what: str = "stage", by: str | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors, has a known size. The table goes when the session's JVM ends, or by drop().
+    by: a column of few values, each of which gets files of its own, so that a condition on it reads only those."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     fs.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     _staged[id(out)] = (weakref.ref(out), fs, at)
