@@ -66,7 +66,7 @@ def roster(spark, d):
 
 def lead(spark, d):
     a = apps(spark, d)
-    return identity.lead_strata(a, roster(spark, d), "pid")
+    return identity.lead_strata(a, roster(spark, d), "pid").repartition(tasks(spark, d), "pmid")
 
 
 def pi(spark, d):
@@ -106,7 +106,7 @@ _SLOT = ", ".join(f"count(*) filter (where s = '{s}') as n_{s.lower()}, case whe
 
 @query(f"with {_A}, q as (select o_orderkey, coalesce(s, 'unclassified') as s from orders left join (select pmid, s from a join p using (pid) where f) on pmid = o_orderkey) select count(*) as denominator, {_SLOT}, count(*) < 5 as suppressed from q")
 def first_author_slots(spark, d):
-    return metrics.first_author_slots(orders(spark, d).select("pmid"), lead(spark, d))
+    return metrics.first_author_slots(orders(spark, d).select("pmid").repartition(tasks(spark, d), "pmid"), lead(spark, d))
 
 
 _PART = f"case when nf > 0 then 'holds_lead' when {END} - y0 >= {LAG} then 'observed_without_lead' else 'too_recent' end"
@@ -172,7 +172,8 @@ def equal_contrib(spark, d):
 
 
 def team(spark, d):
-    return read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("pmid")).agg(F.count("*").alias("n_persons"))
+    li = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("pmid")).repartition(tasks(spark, d), "pmid")
+    return li.groupBy("pmid").agg(F.count("*").alias("n_persons"))
 
 
 _TEAM = "t as (select l_orderkey as pmid, count(*) as k from lineitem group by 1)"
