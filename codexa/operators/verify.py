@@ -19,6 +19,8 @@ from codexa.staging import stage
 TITLE_THRESHOLD = 0.55
 COMMON = 200_000
 FEW = 100_000  # DOIs whose records are broadcast
+FEW_SETS = 300_000  # token sets whose signatures are broadcast
+SIGNATURE = [f"s{i}" for i in range(16)]  # 64 bits each
 STATUSES = ["verified", "mismatch", "partial", "not_found", "error"]
 ISSUE = "struct<field:string,supplied:string,canonical:string,source:string,severity:string>"
 FIELDS = ["doi", "pmid", "title", "first_author", "all_authors", "year", "journal", "volume", "issue", "pages", "lookup_error"]
@@ -84,8 +86,27 @@ def decide_status(resolved: Column, issues: Column, errors: Column) -> Column:
     return F.when(~resolved, F.when(F.size(errors) > 0, "error").otherwise("not_found")).when(F.size(issues) > 0, "mismatch").when(F.size(errors) > 0, "partial").otherwise("verified")
 
 
+def _signatures(flat: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """A row of 1,024 bits for each set: the parity of its tokens in each bucket. Two sets differ by at least as many tokens as their signatures by bits."""
+    out = np.zeros((rows, len(SIGNATURE) * 8), np.uint8)
+    for first in range(0, rows, 1000):
+        there = slice(*np.searchsorted(row, [first, first + 1000]))
+        k = min(1000, rows - first)
+        odd = np.bincount((row[there] - first) * 1024 + (flat[there] & 1023), minlength=k * 1024).astype(np.uint8) & 1
+        out[first : first + k] = np.packbits(odd.reshape(k, 1024), axis=1)
+    return out.view(np.int64)
+
+
+def _overlap_at_most(p: str, q: str) -> Column:
+    """Twice the most tokens that two sets of n and m can share, by the signatures p.* and q.*."""
+    differ = F.bit_count(F.col(f"{p}.{SIGNATURE[0]}").bitwiseXOR(F.col(f"{q}.{SIGNATURE[0]}")))
+    for c in SIGNATURE[1:]:
+        differ = differ + F.bit_count(F.col(f"{p}.{c}").bitwiseXOR(F.col(f"{q}.{c}")))
+    return F.col("n") + F.col("m") - differ
+
+
 def _rare_first(sets: DataFrame) -> DataFrame:
-    """sets(node, ts) with ts in one order for all: rare tokens by hash, then the COMMON most frequent ones, the most frequent last."""
+    """sets(node, ts) with ts in one order for all: rare tokens by hash, then the COMMON most frequent ones, the most frequent last; and their signatures."""
     seen = sets.select(F.explode("ts").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     top = seen.orderBy(F.desc("n"), "h").limit(COMMON).select("h", "n").toArrow()  # COMMON rows at most
     h, n = top.column("h").to_numpy(), top.column("n").to_numpy()
@@ -103,11 +124,14 @@ def _rare_first(sets: DataFrame) -> DataFrame:
             if len(common):
                 i = np.minimum(np.searchsorted(common, flat), len(common) - 1)
                 key = np.where(common[i] == flat, place[i], 0)
-            flat = flat[np.lexsort((flat, key, np.repeat(np.arange(len(sizes)), sizes)))]
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            flat = flat[np.lexsort((flat, key, row))]
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "ts"])
+            bits = _signatures(flat, row, len(sizes))
+            parts = [pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(SIGNATURE))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), *parts], ["node", "ts", *SIGNATURE])
 
-    return sets.select("node", "ts").mapInArrow(run, "node long, ts array<long>")
+    return sets.select("node", "ts").mapInArrow(run, "node long, ts array<long>, " + ", ".join(f"{c} long" for c in SIGNATURE))
 
 
 def title_candidates(refs: DataFrame, crossref: DataFrame, least: float = TITLE_THRESHOLD, same: bool = False) -> DataFrame:
@@ -141,7 +165,14 @@ def title_candidates(refs: DataFrame, crossref: DataFrame, least: float = TITLE_
     near = near & (F.lit(1 + least) * F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= F.lit(least) * (F.col("n") + F.col("m")) - 1e-9)
     pairs = x.join(y, "t").where(near).groupBy("a", "b", "n", "m").agg(F.count("*").alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))
     most = F.col("c") + F.least(F.col("n") - F.col("i") - 1, F.col("m") - F.col("j") - 1)
-    pairs = pairs.where(F.lit(1 + least) * most >= F.lit(least) * (F.col("n") + F.col("m")) - 1e-9).select("a", "b")
+    pairs = pairs.where(F.lit(1 + least) * most >= F.lit(least) * (F.col("n") + F.col("m")) - 1e-9).select("a", "b", "n", "m")
+    # signatures, of 128 bytes, drop most pairs before whole sets travel with them
+    bits = sets.select("node", F.struct(*SIGNATURE).alias("bits"))
+    few = bits.limit(FEW_SETS + 1).count() <= FEW_SETS
+    for node, name in (("a", "p"), ("b", "q")):
+        side = bits.select(F.col("node").alias(node), F.col("bits").alias(name))
+        pairs = pairs.join(F.broadcast(side) if few else side, node)
+    pairs = pairs.where(F.lit(1 + least) * _overlap_at_most("p", "q") >= F.lit(2 * least) * (F.col("n") + F.col("m")) - 1e-9).select("a", "b")
     both = stage(pairs, "pairs").join(sets.select(F.col("node").alias("a"), F.col("ts").alias("p")), "a").join(sets.select(F.col("node").alias("b"), F.col("ts").alias("q")), "b")
     shared = F.size(F.array_intersect("p", "q"))
     scored = both.select("a", "b", (shared / (F.size("p") + F.size("q") - shared)).alias("similarity")).where(F.col("similarity") >= least)
