@@ -163,16 +163,22 @@ def title_candidates(refs: DataFrame, crossref: DataFrame, least: float = TITLE_
     near = (F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - 1e-9) & (F.col("a") != F.col("b"))
     # the first common token of a pair leaves room for the whole overlap behind it in both sets
     near = near & (F.lit(1 + least) * F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= F.lit(least) * (F.col("n") + F.col("m")) - 1e-9)
-    pairs = x.join(y, "t").where(near).groupBy("a", "b", "n", "m").agg(F.count("*").alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))
-    most = F.col("c") + F.least(F.col("n") - F.col("i") - 1, F.col("m") - F.col("j") - 1)
-    pairs = pairs.where(F.lit(1 + least) * most >= F.lit(least) * (F.col("n") + F.col("m")) - 1e-9).select("a", "b", "n", "m")
-    # signatures, of 128 bytes, drop most pairs before whole sets travel with them
+    # signatures, of 128 bytes, drop most pairs before whole sets travel with them; where they can be broadcast, before the pairs themselves travel
     bits = sets.select("node", F.struct(*SIGNATURE).alias("bits"))
     few = bits.limit(FEW_SETS + 1).count() <= FEW_SETS
-    for node, name in (("a", "p"), ("b", "q")):
-        side = bits.select(F.col("node").alias(node), F.col("bits").alias(name))
-        pairs = pairs.join(F.broadcast(side) if few else side, node)
-    pairs = pairs.where(F.lit(1 + least) * _overlap_at_most("p", "q") >= F.lit(2 * least) * (F.col("n") + F.col("m")) - 1e-9).select("a", "b")
+
+    def signed(pairs: DataFrame) -> DataFrame:
+        kept = pairs.columns
+        for node, name in (("a", "p"), ("b", "q")):
+            side = bits.select(F.col("node").alias(node), F.col("bits").alias(name))
+            pairs = pairs.join(F.broadcast(side) if few else side, node)
+        return pairs.where(F.lit(1 + least) * _overlap_at_most("p", "q") >= F.lit(2 * least) * (F.col("n") + F.col("m")) - 1e-9).select(*kept)
+
+    met = x.join(y, "t").where(near)
+    pairs = (signed(met) if few else met).groupBy("a", "b", "n", "m").agg(F.count("*").alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))
+    most = F.col("c") + F.least(F.col("n") - F.col("i") - 1, F.col("m") - F.col("j") - 1)
+    pairs = pairs.where(F.lit(1 + least) * most >= F.lit(least) * (F.col("n") + F.col("m")) - 1e-9).select("a", "b", "n", "m")
+    pairs = (pairs if few else signed(pairs)).select("a", "b")
     both = stage(pairs, "pairs").join(sets.select(F.col("node").alias("a"), F.col("ts").alias("p")), "a").join(sets.select(F.col("node").alias("b"), F.col("ts").alias("q")), "b")
     shared = F.size(F.array_intersect("p", "q"))
     scored = both.select("a", "b", (shared / (F.size("p") + F.size("q") - shared)).alias("similarity")).where(F.col("similarity") >= least)
