@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codexa.staging import stage
+from codexa.staging import drop, stage
 
+#: Rows that one task sorts at most, but for uneven ranges.
+TASK_ROWS = 500_000
+#: Groups whose first numbers are sent to all tasks.
+FEW_GROUPS = 100_000
 #: monotonically_increasing_id holds the partition above this bit and the place in it below.
 _PLACE_BITS = 33
 
@@ -14,15 +18,21 @@ _PLACE_BITS = 33
 def positions(df: DataFrame, *order: Column | str, name: str = "pos") -> DataFrame:
     """df with `name`: 0, 1, 2, ... in the given order; staged.
 
-    The rows are dealt by ranges of the order, sorted within each and counted once a range; a number is the rows of the ranges before plus the place in the own range. The driver
-    sees one count a range. Rows that tie get any order among them and are dealt over several ranges, so that one value that a third of the rows share fills no single task.
+    The rows are staged and counted, dealt by ranges of the order, sorted within each and counted once a range; a number is the rows of the ranges before plus the place in the own range. The
+    driver sees one count a range. The number of ranges grows with the rows, so that the memory of one task does not. Rows that tie get any order among them and are dealt over several ranges,
+    so that one value that a third of the rows share fills no single task.
     An empty table stays empty; `name` must not be a column of df.
     """
     spark = df.sparkSession
     tie, mark = (f"__{x}_{name}" for x in ("tie", "mark"))
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    dealt = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*keys, F.col(tie)).sortWithinPartitions(*keys, tie)
+    rows = stage(df.withColumn(tie, F.monotonically_increasing_id()), "unordered")
+    n = -(-rows.count() // TASK_ROWS)
+    # Spark merges small ranges only where it chooses their number itself
+    many = [n] if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else []
+    dealt = rows.repartitionByRange(*many, *keys, F.col(tie)).sortWithinPartitions(*keys, tie)
     held = stage(dealt.withColumn(mark, F.monotonically_increasing_id()).drop(tie), "positions")
+    drop(rows)
     part = F.shiftright(mark, _PLACE_BITS)
     sizes = sorted(tuple(r) for r in held.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
     starts, total = [], 0
