@@ -42,3 +42,15 @@ def positions(df: DataFrame, *order: Column | str, name: str = "pos") -> DataFra
     first = spark.createDataFrame(starts, "__part long, __first long")
     place = F.col(mark).bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
     return held.join(F.broadcast(first), part == F.col("__part")).withColumn(name, F.col("__first") + place).drop("__part", "__first", mark)
+
+
+def places(df: DataFrame, by: str, *order: Column | str, name: str = "place") -> DataFrame:
+    """df with `name`: 0, 1, 2, ... within each value of `by`, null among them, in the given order; staged. For values of any number of rows.
+
+    One numbering of all rows, less the first number of the value. The first numbers are broadcast where they are few: dealt by few values, the rows would lie in as few tasks.
+    """
+    rows = positions(df, by, *order, name=name)
+    of, start = f"__of_{name}", f"__start_{name}"
+    first = stage(rows.groupBy(F.col(by).alias(of)).agg(F.min(name).alias(start)), "first")
+    first = F.broadcast(first) if first.count() <= FEW_GROUPS else first
+    return rows.join(first, F.col(by).eqNullSafe(F.col(of))).withColumn(name, F.col(name) - F.col(start)).drop(of, start)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codexa.functions.text import percent
-from codexa.numbering import positions
+from codexa.numbering import places, positions
 
 PCT_FLOOR, AGG_FLOOR, SUBSET_FLOOR = 20, 5, 10
 
@@ -154,10 +154,9 @@ def titles_by_year(papers: DataFrame) -> DataFrame:
 
 
 def titles_in_order(papers: DataFrame) -> DataFrame:
-    """papers(year, pmid, title) -> year, place, pmid, title: the titles of a year by pmid as text, place from 0. For years of any size: places come from one numbering of all rows."""
-    rows = positions(papers.select("year", F.col("pmid").cast("string").alias("pmid"), "title"), "year", "pmid", "title", name="place")
-    first = rows.groupBy(F.col("year").alias("of")).agg(F.min("place").alias("first"))
-    return rows.join(first, F.col("year").eqNullSafe(F.col("of"))).select("year", (F.col("place") - F.col("first")).alias("place"), "pmid", "title")
+    """papers(year, pmid, title) -> year, place, pmid, title: the titles of a year by pmid as text, place from 0. For years of any size."""
+    rows = papers.select("year", F.col("pmid").cast("string").alias("pmid"), "title")
+    return places(rows, "year", "pmid", "title").select("year", "place", "pmid", "title")
 
 
 def tallest_stack(points: DataFrame, value: str) -> DataFrame:
@@ -166,10 +165,8 @@ def tallest_stack(points: DataFrame, value: str) -> DataFrame:
 
 
 def stack_positions(points: DataFrame, value: str, name: str) -> DataFrame:
-    """Place of each point in the stack of its value, by name. For stacks of any size: places come from one numbering of all points."""
-    rows = positions(points, value, name, name="place")
-    first = rows.groupBy(F.col(value).alias("of")).agg(F.min("place").alias("first"))
-    return rows.join(first, F.col(value).eqNullSafe(F.col("of"))).withColumn("place", (F.col("place") - F.col("first")).cast("int")).drop("of", "first")
+    """Place of each point in the stack of its value, by name. For stacks of any size."""
+    return places(points, value, name).withColumn("place", F.col("place").cast("int"))
 
 
 def lag_rows(people: DataFrame, end: Column, lag: int = 3) -> DataFrame:
