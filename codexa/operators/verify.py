@@ -5,6 +5,7 @@ Missing side of a comparison is never a mismatch; a failed lookup is never 'veri
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +20,11 @@ from codexa.staging import stage
 TITLE_THRESHOLD = 0.55
 COMMON = 200_000
 FEW = 100_000  # DOIs whose records are broadcast
-FEW_SETS = 300_000  # token sets whose signatures are broadcast
-SIGNATURE = [f"s{i}" for i in range(16)]  # 64 bits each
+FEW_SETS = 300_000  # token sets whose numbers are broadcast to fetch them
+SIGNATURE = [f"s{i}" for i in range(4)]  # of short titles, 64 bits each
+SMALL = 64  # tokens from which titles are compared in tiles
+TILE_ROWS, TILE_BYTES = 32_768, 16 << 20  # most of a tile
+JOB_PAIRS, SMALL_JOBS, MOST_PARTS = 1_000_000, 200, 10_000  # pairs that one task counts at a time, but for skew
 STATUSES = ["verified", "mismatch", "partial", "not_found", "error"]
 ISSUE = "struct<field:string,supplied:string,canonical:string,source:string,severity:string>"
 FIELDS = ["doi", "pmid", "title", "first_author", "all_authors", "year", "journal", "volume", "issue", "pages", "lookup_error"]
@@ -86,22 +90,23 @@ def decide_status(resolved: Column, issues: Column, errors: Column) -> Column:
     return F.when(~resolved, F.when(F.size(errors) > 0, "error").otherwise("not_found")).when(F.size(issues) > 0, "mismatch").when(F.size(errors) > 0, "partial").otherwise("verified")
 
 
-def _signatures(flat: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-    """A row of 1,024 bits for each set: the parity of its tokens in each bucket. Two sets differ by at least as many tokens as their signatures by bits."""
-    out = np.zeros((rows, len(SIGNATURE) * 8), np.uint8)
-    for first in range(0, rows, 1000):
-        there = slice(*np.searchsorted(row, [first, first + 1000]))
-        k = min(1000, rows - first)
-        odd = np.bincount((row[there] - first) * 1024 + (flat[there] & 1023), minlength=k * 1024).astype(np.uint8) & 1
-        out[first : first + k] = np.packbits(odd.reshape(k, 1024), axis=1)
+def _signatures(flat: np.ndarray, row: np.ndarray, rows: int, bits: int = 1024) -> np.ndarray:
+    """So many bits for each set: the parity of its tokens in each bucket. Two sets differ by at least as many tokens as their signatures by bits. Halves of a signature, one upon the other (XOR), are one of half the bits."""
+    out = np.zeros((rows, bits // 8), np.uint8)
+    step = max(1, (1 << 20) // bits)
+    for first in range(0, rows, step):
+        there = slice(*np.searchsorted(row, [first, first + step]))
+        k = min(step, rows - first)
+        odd = np.bincount((row[there] - first) * bits + (flat[there] & (bits - 1)), minlength=k * bits).astype(np.uint8) & 1
+        out[first : first + k] = np.packbits(odd.reshape(k, bits), axis=1)
     return out.view(np.int64)
 
 
 def _overlap_at_most(p: str, q: str) -> Column:
-    """Twice the most tokens that two sets of n and m can share, by the signatures p.* and q.*."""
-    differ = F.bit_count(F.col(f"{p}.{SIGNATURE[0]}").bitwiseXOR(F.col(f"{q}.{SIGNATURE[0]}")))
+    """Twice the most tokens that two sets of n and m can share, by the signatures p* and q*."""
+    differ = F.bit_count(F.col(f"{p}{SIGNATURE[0]}").bitwiseXOR(F.col(f"{q}{SIGNATURE[0]}")))
     for c in SIGNATURE[1:]:
-        differ = differ + F.bit_count(F.col(f"{p}.{c}").bitwiseXOR(F.col(f"{q}.{c}")))
+        differ = differ + F.bit_count(F.col(f"{p}{c}").bitwiseXOR(F.col(f"{q}{c}")))
     return F.col("n") + F.col("m") - differ
 
 
@@ -127,22 +132,180 @@ def _rare_first(sets: DataFrame) -> DataFrame:
             row = np.repeat(np.arange(len(sizes)), sizes)
             flat = flat[np.lexsort((flat, key, row))]
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            bits = _signatures(flat, row, len(sizes))
+            bits = _signatures(flat, row, len(sizes), 64 * len(SIGNATURE))
             parts = [pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(SIGNATURE))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), *parts], ["node", "ts", *SIGNATURE])
 
     return sets.select("node", "ts").mapInArrow(run, "node long, ts array<long>, " + ", ".join(f"{c} long" for c in SIGNATURE))
 
 
+def _pairs_of_small(sets: DataFrame, sought: DataFrame | None, named: DataFrame, least: float) -> DataFrame:
+    """sets(node, ts) -> job, a, b: pairs that may be similar, one of them at least of fewer than SMALL tokens, by equi-joins on prefix tokens. sought: the nodes of a; None: any, each pair once."""
+    sets = stage(_rare_first(sets), "sets").withColumn("n", F.size("ts"))
+    keep = (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).cast("int")
+    prefix = sets.select("node", "n", *SIGNATURE, F.posexplode(F.slice("ts", F.lit(1), keep)).alias("pos", "t"))
+    x = prefix if sought is None else prefix.join(sought, "node", "left_semi")
+    y = prefix if sought is None else prefix.join(named, "node", "left_semi")
+    x = x.select("t", F.col("node").alias("a"), "n", F.col("pos").alias("i"), *[F.col(c).alias(f"p_{c}") for c in SIGNATURE])
+    y = y.select("t", F.col("node").alias("b"), F.col("n").alias("m"), F.col("pos").alias("j"), *[F.col(c).alias(f"q_{c}") for c in SIGNATURE])
+    near = (F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - 1e-9) & (F.least("n", "m") < SMALL) & (F.col("a") < F.col("b") if sought is None else F.col("a") != F.col("b"))
+    # the first common token of a pair leaves room for the whole overlap behind it in both sets
+    near = near & (F.lit(1 + least) * F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= F.lit(least) * (F.col("n") + F.col("m")) - 1e-9)
+    near = near & (F.lit(1 + least) * _overlap_at_most("p_", "q_") >= F.lit(2 * least) * (F.col("n") + F.col("m")) - 1e-9)
+    return x.join(y, "t").where(near).select((-1 - F.pmod(F.xxhash64("a"), F.lit(SMALL_JOBS))).alias("job"), "a", "b").distinct()
+
+
+def _bits_of(size_class: int) -> int:
+    return min(max(4 << (size_class // 2), 256), 1 << 16)
+
+
+def _signed(sets: DataFrame) -> DataFrame:
+    """sets(node, ts) -> node, n, class, sig: signatures of so many bits as the class of sizes asks for. Two classes double the size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            flat, sizes = batch.column(2).flatten().to_numpy(), batch.column(2).value_lengths().to_numpy()
+            bits = np.array([_bits_of(c) for c in range(200)])[kind]
+            for w in np.unique(bits):
+                own = bits == w
+                k = int(own.sum())
+                sig = _signatures(flat[np.repeat(own, sizes)], np.repeat(np.arange(k), sizes[own]), k, int(w))
+                ends = (np.arange(k + 1) * (w // 8)).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(sig.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(sizes[own].astype(np.int32)), pa.array(kind[own]), packed], ["node", "n", "class", "sig"])
+
+    kind = F.floor(2 * F.log2(F.size("ts"))).cast("int")
+    return sets.select("node", kind.alias("class"), "ts").mapInArrow(run, "node long, n int, class int, sig binary")
+
+
+def _compared(least: float, once: bool):
+    """Two tiles of signatures -> pairs that may be similar. once: each pair once, where both tiles are one."""
+
+    def tile(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = t.column("n").to_numpy()
+        at = np.argsort(n, kind="stable")
+        bits = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint64).reshape(len(n), -1)
+        return t.column("node").to_numpy()[at], n[at].astype(np.int64), bits[at]
+
+    def folded(bits: np.ndarray, words: int) -> np.ndarray:
+        while bits.shape[1] > words:
+            bits = bits[:, : bits.shape[1] // 2] ^ bits[:, bits.shape[1] // 2 :]
+        return bits
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found_a, found_b = [], []
+        if left.num_rows and right.num_rows:
+            (a, n, p), (b, m, q) = tile(left), tile(right)
+            words = min(p.shape[1], q.shape[1])
+            p, q = folded(p, words), np.ascontiguousarray(folded(q, words).T)
+            alike = once and left.column("tile")[0] == right.column("tile")[0]
+            for i in range(0, len(a), 32):
+                x, size = p[i : i + 32], n[i : i + 32, None]
+                lo, hi = np.searchsorted(m, [least * size[0, 0] - 1e-9, size[-1, 0] / least + 1e-6])
+                for j in range(lo, hi, 4096):
+                    to = min(hi, j + 4096)
+                    differ = np.zeros((len(x), to - j), np.int32 if words > 500 else np.uint16)
+                    for w in range(words):
+                        differ += np.bitwise_count(x[:, w, None] ^ q[w, None, j:to])
+                    both = size + m[None, j:to]
+                    r, c = np.nonzero(differ <= ((1 - least) * both + 1e-9) / (1 + least))
+                    y, z = a[i + r], b[j + c]
+                    s, t = n[i + r], m[j + c]
+                    ok = (np.minimum(s, t) >= least * np.maximum(s, t) - 1e-9) & (y < z if alike else y != z)
+                    found_a.append(y[ok])
+                    found_b.append(z[ok])
+        y, z = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (found_a, found_b))
+        job = left.column("job")[0].as_py() if len(y) else 0
+        return pa.table({"job": np.full(len(y), job, np.int64), "a": y, "b": z})
+
+    return run
+
+
+def _pairs_of_large(signed: DataFrame, sought: DataFrame | None, named: DataFrame, least: float) -> DataFrame:
+    """signed() of distinct sets -> job, a, b: pairs that may be similar, by their signatures, tile by tile. A tile has sets of one class of sizes, TILE_ROWS of them and TILE_BYTES
+    at most; it meets those of classes that are near enough. Nothing is stored for a pair that the signatures part. sought: as above."""
+    spark = signed.sparkSession
+    classes, reach, tiles = sorted(tuple(r) for r in signed.groupBy("class").count().collect()), math.ceil(-2 * math.log2(least)), []
+    for c, n in classes:
+        tiles.append((c, -(-n // max(1, min(TILE_ROWS, TILE_BYTES * 8 // _bits_of(c)))), tiles[-1][2] + tiles[-1][1] if tiles else 0))
+    total = sum(t[1] for t in tiles)
+    reached = [[f for k, many, first in tiles if abs(k - c) <= reach for f in (first, first + many - 1)] for c, _, _ in tiles]
+    plan = spark.createDataFrame([(*t, min(f), max(f)) for t, f in zip(tiles, reached, strict=True)], "class int, many long, first long, low long, high long")
+    jobs = sum(many * (max(f) - min(f) + 1) for (_, many, _), f in zip(tiles, reached, strict=True))
+    parts = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), jobs), MOST_PARTS)
+    placed = signed.join(F.broadcast(plan), "class").withColumn("tile", F.col("first") + F.pmod("node", "many"))
+    a, b = (placed, placed) if sought is None else (placed.join(sought, "node", "left_semi"), placed.join(named, "node", "left_semi"))
+    cols = ["job", "tile", "node", "n", "sig"]
+    a = a.withColumn("other", F.explode(F.sequence("tile" if sought is None else "low", "high"))).withColumn("job", F.col("tile") * total + F.col("other")).select(*cols)
+    b = b.withColumn("other", F.explode(F.sequence("low", "tile" if sought is None else "high"))).withColumn("job", F.col("other") * total + F.col("tile")).select(*[F.col(c).alias(c) for c in cols])
+    dealt = [x.repartition(parts, "job").groupBy("job") for x in (a, b)]  # bytes say little of the work, so the planner is not to merge them
+    return dealt[0].cogroup(dealt[1]).applyInArrow(_compared(least, sought is None), "job long, a long, b long")
+
+
+def _scored(least: float, both_ways: bool):
+    """Pairs of a job and its sets, each once -> the best of each a (both_ways: of each b, too), with its DOI."""
+
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        out = pa.schema([("node", pa.int64()), ("doi", pa.string()), ("similarity", pa.float64())])
+        if not pairs.num_rows or not sets.num_rows:
+            return out.empty_table()
+        nodes, at = np.unique(sets.column("node").to_numpy(), return_index=True)
+        ts, doi = sets.column("ts").combine_chunks(), np.array(sets.column("doi").to_pylist(), object)[at]
+        size = ts.value_lengths().to_numpy().astype(np.int64)
+        start = (np.cumsum(size) - size)[at]
+        vocabulary, flat = np.unique(ts.flatten().to_numpy(), return_inverse=True)
+        size = size[at]
+        a, b = (np.searchsorted(nodes, pairs.column(c).to_numpy()) for c in "ab")
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        shared, marked = np.zeros(len(a), np.int64), np.zeros(len(vocabulary), bool)
+        first = np.concatenate([np.flatnonzero(np.diff(a, prepend=-1)), [len(a)]])
+        for lo, hi in zip(first[:-1], first[1:], strict=True):
+            own = flat[start[a[lo]] : start[a[lo]] + size[a[lo]]]
+            marked[own] = True
+            for j in range(lo, hi, 500):
+                k = b[j : min(hi, j + 500)]
+                ends = np.cumsum(size[k])
+                places = np.arange(ends[-1]) + np.repeat(start[k] - ends + size[k], size[k])
+                shared[j : j + len(k)] = np.add.reduceat(marked[flat[places]], ends - size[k], dtype=np.int64)
+            marked[own] = False
+        alike = shared / (size[a] + size[b] - shared)
+        ok = alike >= least
+        a, b, alike = a[ok], b[ok], alike[ok]
+        if both_ways:
+            a, b, alike = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([alike, alike])
+        rank = np.empty(len(nodes), np.int64)
+        rank[sorted(range(len(nodes)), key=lambda i: (doi[i] is None, doi[i] or ""))] = np.arange(len(nodes))
+        order = np.lexsort((rank[b], -alike, a))
+        best = order[np.flatnonzero(np.diff(a[order], prepend=-1))]
+        return pa.table([nodes[a[best]], pa.array(doi[b[best]], pa.string()), alike[best]], schema=out)
+
+    return run
+
+
+def _best_of(pairs: DataFrame, titles: DataFrame, named: DataFrame, least: float, both_ways: bool) -> DataFrame:
+    """pairs(job, a, b) -> node, doi, similarity: the best of each job. A set travels once to each part of a job that has pairs of it, however many they are."""
+    sizes = pairs.groupBy("job").count().select("job", F.ceil(F.col("count") / JOB_PAIRS).alias("many"))
+    pairs = pairs.join(F.broadcast(sizes), "job").withColumn("part", F.pmod(F.xxhash64("a"), "many")).drop("many")
+    wanted = pairs.select("job", "part", F.explode(F.array("a", "b")).alias("node")).distinct()
+    some = stage(wanted.select("node").distinct(), "wanted")
+    some = F.broadcast(some) if some.count() <= FEW_SETS else some
+    fetched = titles.join(some, "node", "left_semi").groupBy("node").agg(F.any_value("ts").alias("ts")).join(named, "node", "left")
+    sets = wanted.join(fetched, "node").select(*[F.col(c).alias(c) for c in ("job", "part", "node", "doi", "ts")])  # other columns than those of the pairs
+    return pairs.groupBy("job", "part").cogroup(sets.groupBy("job", "part")).applyInArrow(_scored(least, both_ways), "node long, doi string, similarity double")
+
+
 def title_candidates(refs: DataFrame, crossref: DataFrame, least: float = TITLE_THRESHOLD, same: bool = False) -> DataFrame:
-    """key -> the most similar title (Jaccard of tokens, then DOI), by equi-joins on prefix tokens: a pair of at least `least` shares one of the
-    first n - ceil(least n) + 1 tokens in a fixed order, here rare ones first. What a pair shares up to its last common prefix token is known exactly, so
-    its overlap is at most that number plus what follows. Equal titles need no search; each distinct token set is compared once. Tokens and token sets are
-    compared by 64-bit hashes. same: keys and DOIs name the same rows, and no row is matched with its own name."""
-    tokens = F.array_sort(F.array_distinct(F.transform(T.tokens(F.col("title")), lambda x: F.xxhash64(x))))
+    """key -> the most similar title (Jaccard of tokens, then DOI). Equal titles need no search; each distinct token set is compared once. Short titles meet by equi-joins on prefix
+    tokens: a pair of at least `least` shares one of the first n - ceil(least n) + 1 tokens in a fixed order, here rare ones first. Long ones, whose common words would make most
+    pairs meet, are compared by signatures in tiles. Pairs that are left are counted token by token, part by part, so no set is stored for each pair that holds it. Tokens and token
+    sets are compared by 64-bit hashes. same: keys and DOIs name the same rows, and no row is matched with its own name."""
+    words = F.split(T.norm_text(F.col("title")), " ")
+    tokens = F.sort_array(F.array_remove(F.array_distinct(F.transform(words, lambda x: F.xxhash64(x))), F.xxhash64(F.lit(""))))
 
-    def hashed(df: DataFrame, name: str) -> DataFrame:
-        return stage(df.select(name, tokens.alias("ts")).where("size(ts) > 0").select(name, F.xxhash64("ts").alias("node"), "ts"), "titles")
+    def hashed(df: DataFrame, name: str) -> DataFrame:  # the empty ones go later: a condition before staging would build the tokens twice
+        return stage(df.select(name, tokens.alias("ts")).select(name, F.xxhash64("ts").alias("node"), "ts"), "titles").where("size(ts) > 0")
 
     refs = hashed(refs, "key")
     canon = refs.withColumnRenamed("key", "doi") if same else hashed(crossref.groupBy("title").agg(F.min("doi").alias("doi")), "doi")  # a title is taken apart once
@@ -154,36 +317,12 @@ def title_candidates(refs: DataFrame, crossref: DataFrame, least: float = TITLE_
     own = F.when(F.col("doi") != F.col("key"), F.col("doi")).otherwise(F.col("next")) if same else F.col("doi")
     exact = refs.select("key", "node").join(named, "node", "left").select("key", "node", own.alias("found_doi"))
     alone = exact.where("found_doi is null").select("key", "node")
-    ts = refs.select("node", "ts") if same else refs.select("node", "ts").union(canon.select("node", "ts"))
-    sets = stage(_rare_first(ts.groupBy("node").agg(F.any_value("ts").alias("ts"))), "sets").withColumn("n", F.size("ts"))
-    keep = (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).cast("int")
-    prefix = sets.select("node", "n", F.posexplode(F.slice("ts", F.lit(1), keep)).alias("pos", "t"))
-    x = prefix.join(alone.select("node").distinct(), "node", "left_semi").select("t", F.col("node").alias("a"), "n", F.col("pos").alias("i"))
-    y = (prefix if same else prefix.join(named, "node", "left_semi")).select("t", F.col("node").alias("b"), F.col("n").alias("m"), F.col("pos").alias("j"))
-    near = (F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - 1e-9) & (F.col("a") != F.col("b"))
-    # the first common token of a pair leaves room for the whole overlap behind it in both sets
-    near = near & (F.lit(1 + least) * F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= F.lit(least) * (F.col("n") + F.col("m")) - 1e-9)
-    # signatures, of 128 bytes, drop most pairs before whole sets travel with them; where they can be broadcast, before the pairs themselves travel
-    bits = sets.select("node", F.struct(*SIGNATURE).alias("bits"))
-    few = bits.limit(FEW_SETS + 1).count() <= FEW_SETS
-
-    def signed(pairs: DataFrame) -> DataFrame:
-        kept = pairs.columns
-        for node, name in (("a", "p"), ("b", "q")):
-            side = bits.select(F.col("node").alias(node), F.col("bits").alias(name))
-            pairs = pairs.join(F.broadcast(side) if few else side, node)
-        return pairs.where(F.lit(1 + least) * _overlap_at_most("p", "q") >= F.lit(2 * least) * (F.col("n") + F.col("m")) - 1e-9).select(*kept)
-
-    met = x.join(y, "t").where(near)
-    pairs = (signed(met) if few else met).groupBy("a", "b", "n", "m").agg(F.count("*").alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))
-    most = F.col("c") + F.least(F.col("n") - F.col("i") - 1, F.col("m") - F.col("j") - 1)
-    pairs = pairs.where(F.lit(1 + least) * most >= F.lit(least) * (F.col("n") + F.col("m")) - 1e-9).select("a", "b", "n", "m")
-    pairs = (pairs if few else signed(pairs)).select("a", "b")
-    both = stage(pairs, "pairs").join(sets.select(F.col("node").alias("a"), F.col("ts").alias("p")), "a").join(sets.select(F.col("node").alias("b"), F.col("ts").alias("q")), "b")
-    shared = F.size(F.array_intersect("p", "q"))
-    scored = both.select("a", "b", (shared / (F.size("p") + F.size("q") - shared)).alias("similarity")).where(F.col("similarity") >= least)
-    scored = scored.join(named.select(F.col("node").alias("b"), "doi"), "b")
-    best = scored.groupBy(F.col("a").alias("node")).agg(F.min_by(F.struct("doi", "similarity"), F.struct(-F.col("similarity"), "doi")).alias("x"))
+    titles = refs.select("node", "ts") if same else refs.select("node", "ts").union(canon.select("node", "ts"))
+    sought = None if same else stage(alone.select("node").distinct(), "sought")
+    small = titles.where(F.size("ts") * least < SMALL).groupBy("node").agg(F.any_value("ts").alias("ts"))
+    large = stage(_signed(titles.where(F.size("ts") >= SMALL)).dropDuplicates(["node"]), "signed")
+    pairs = stage(_pairs_of_small(small, sought, named, least).union(_pairs_of_large(large, sought, named, least)), "pairs")
+    best = _best_of(pairs, titles, named.select("node", "doi"), least, same).groupBy("node").agg(F.min_by(F.struct("doi", "similarity"), F.struct(-F.col("similarity"), "doi")).alias("x"))
     found = alone.join(best, "node").select("key", F.col("x.doi").alias("found_doi"), F.col("x.similarity").alias("similarity"))
     return exact.where("found_doi is not null").select("key", "found_doi", F.lit(1.0).alias("similarity")).union(found)
 
