@@ -1,18 +1,22 @@
 """Sources and operators over records: article XML, BibTeX, JSON, character references, folding, stored state, numbers, searches."""
 
+import gzip
 import html
+import pathlib
 import random
 import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
+from codexa import numbering
 from codexa.functions import markup
 from codexa.functions import text as T
 from codexa.functions.arrays import strict_zip
 from codexa.numbering import positions
 from codexa.operators import analyze, cache, metrics, verify
 from codexa.operators.state import StoredState
+from codexa.plans import records
 from codexa.sources import readers
 from codexa.sources import schemas as S
 from codexa.sources.bibtex import parse_bibtex
@@ -77,6 +81,33 @@ def test_a_large_file_is_read_by_many_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+@pytest.mark.parametrize("few", [100_000, 2])
+def test_articles_of_many_files_are_numbered_where_they_lie(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(numbering, "FEW_BLOCKS", few)
+    for i, name in enumerate(["c", "a", "b"]):
+        text = "<PubmedArticleSet>" + "\n".join(ARTICLE.format(100 * i + k) for k in range(100)) + "</PubmedArticleSet>"
+        (tmp_path / f"{name}.xml").write_text(text) if i else (tmp_path / f"{name}.xml.gz").write_bytes(gzip.compress(text.encode()))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        found = readers.articles_xml(spark, str(tmp_path / "*.xml*"))
+        assert found.select("block").distinct().count() > 1
+        rows = found.select("ord", F.regexp_extract("xml", ">([0-9]+)</PMID>", 1).cast("int").alias("pmid")).orderBy("ord").collect()
+        assert [tuple(r) for r in rows] == list(enumerate([*range(100, 300), *range(100)]))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_articles_leave_one_table_behind(spark):
+    d, shared = "/root/testdata/sf0.001", spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    files = lambda: {p: p.stat().st_size for p in pathlib.Path(shared).rglob("*") if p.is_file() and not p.name.startswith(".")}
+    before = set(files())
+    assert records.articles(spark, d).count() == spark.read.parquet(f"{d}/orders.parquet").count()
+    left = {p: n for p, n in files().items() if p not in before}
+    assert not [p for p in left if ".txt" in p.name] and len({p.parent for p in left}) == 1
+    assert sum(left.values()) < 2 * sum(pathlib.Path(f"{d}/{t}.parquet").stat().st_size for t in ("orders", "lineitem"))
+
+
 def test_no_articles(spark, tmp_path):
     (tmp_path / "a.xml").write_text("<PubmedArticleSet></PubmedArticleSet>")
     assert readers.parse_articles(readers.articles_xml(spark, str(tmp_path / "a.xml"))).collect() == []
